@@ -13,7 +13,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import checked, free_name, small
+from lexiforge.llm.common import checked, free_name, small, stored
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> dict[str | None, float]:
@@ -96,59 +96,78 @@ def route(mass: dict[frozenset, int], quota: dict[str | None, int], most: int) -
 def mix(df: DataFrame, size: Column, members: Column, order: list[str], weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, buckets: int = 1 << 14, most_patterns: int = 100_000) -> DataFrame:
     """df with pattern, size, source_size and target (of the row's first source) and repeats.
 
-    members is an array of the sources that hold the row (order and repetitions don't matter; null or an empty array: the one source null). A
-    row is taken repeats times, most at most. A pattern's flow is met by whole passes and then by documents in
-    the order of a seeded hash of the order columns, until the next would lead further away from the flow than
-    stopping. Rows of size 0 are never taken; an empty table gives no rows. Reruns agree: nothing depends on
+    members is an array of the sources that hold the row; order and repetitions in it don't matter, and a null
+    or empty one means the one source null. A row is taken repeats times, most at most. A pattern's flow is
+    met by whole passes, then by rows in the order of a seeded hash of the order columns while they fit; what is
+    then missing is made up by one more row, or by one more and one fewer, whichever comes nearest. Rows that agree in the order columns are taken
+    together. Rows of size 0 are never taken; an empty table gives no rows. Reruns agree: nothing depends on
     partitioning. Columns of df named like the results are replaced.
 
-    Plan: sums by pattern and hash bucket are pre-aggregated and small; only the rows of the bucket in which
-    the flow ends are ranked one by one, so a source with a third of all rows is never gathered. The number
-    of patterns is checked against most_patterns before the driver gets them.
+    Plan: a narrow table of patterns, sizes and hashes is stored once. Sums by pattern and hash bucket are
+    pre-aggregated; only the bucket in which a pattern's flow ends is summed up row by row, so a source with
+    a third of all rows is never gathered. The number of patterns is checked against most_patterns before
+    the driver gets anything; the last pass only compares hashes.
     """
     spark = df.sparkSession
-    h, b = free_name(df, "_hash"), free_name(df, "_bucket")
     keep = [c for c in df.columns if c.lower() not in ("pattern", "size", "source_size", "target", "repeats")]
-    # Nulls within the array sort first; a row without any source belongs to the source null.
+    # A row without any source belongs to the source null.
     pattern = F.sort_array(F.array_distinct(F.when(F.size(members) > 0, members).otherwise(F.array(F.lit(None).cast("string")))))
+    h, b = free_name(df, "_hash"), free_name(df, "_bucket")
     rows = df.select(*keep, pattern.alias("pattern"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *order).alias(h))
     rows = rows.withColumn(b, F.shiftrightunsigned(h, 64 - (buckets.bit_length() - 1)).cast("int"))
-    sums = checked(rows.groupBy("pattern").agg(F.sum("size")).limit(most_patterns + 1).collect(), most_patterns, "membership patterns")
+    narrow = stored(rows.groupBy("pattern", b, h).agg(F.sum("size").alias("size")), "mix")
+
+    def collected(found: DataFrame) -> list:
+        return checked(found.limit(most_patterns + 1).collect(), most_patterns, "membership patterns")
+
+    sums = collected(narrow.groupBy("pattern").agg(F.sum("size")))
     mass = {frozenset(p): n for p, n in sums}
     sizes: dict[str | None, int] = {}
     for p, n in mass.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
-    targets = source_targets(sizes, weights, most) if len(mass) == len(sizes) else source_targets_of(mass, sizes, weights, most)
+    targets = shared_targets(mass, sizes, weights, most)
     flow = route(mass, {s: round(t) for s, t in targets.items()}, most)
-    plans = []
-    for p, _ in sums:
-        got, n = sum(flow[frozenset(p)].values()), mass[frozenset(p)]
+    plans = {}
+    for p, n in sums:
+        got = sum(flow[frozenset(p)].values())
         whole = min(got // n, most) if n else 0
-        plans.append((p, whole, got - whole * n))
-    plan = F.broadcast(small(spark, plans, "_pattern array<string>, _whole int, _rest long"))
-    cells = rows.groupBy("pattern", b).agg(F.sum("size").alias("_in")).join(plan, F.col("pattern") == F.col("_pattern"))
-    before = F.sum("_in").over(Window.partitionBy("pattern").orderBy(b).rowsBetween(Window.unboundedPreceding, -1))
-    # One row for each pattern with a rest: the bucket that the rest ends in, and what the buckets before it hold.
-    ends = cells.withColumn("_before", F.coalesce(before, F.lit(0))).where("_before < _rest AND _before + _in >= _rest")
-    ends = checked(ends.select("pattern", b, "_before").limit(most_patterns + 1).collect(), most_patterns, "membership patterns")
-    ended = {tuple(p): (x, n) for p, x, n in ends}
-    split = [(p, whole, rest, *ended.get(tuple(p), (-1, 0))) for p, whole, rest in plans]
-    split = F.broadcast(small(spark, split, "_pattern array<string>, _whole int, _rest long, _end int, _before long"))
-    rows = rows.join(split, F.col("pattern") == F.col("_pattern"))
-    at_end = rows.where(F.col(b) == F.col("_end"))
-    upto = F.coalesce(F.sum("size").over(Window.partitionBy("pattern").orderBy(h, *order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_before")
-    at_end = at_end.withColumn("_more", (upto + F.col("size") / 2 <= F.col("_rest")).cast("int"))
-    others = rows.where(F.col(b) != F.col("_end")).withColumn("_more", (F.col(b) < F.col("_end")).cast("int"))
-    both = others.unionByName(at_end)
+        plans[tuple(p)] = (whole, got - whole * n)
+
+    def planned(values: dict[tuple, tuple], schema: str) -> DataFrame:
+        return F.broadcast(small(spark, [(list(p), *v) for p, v in values.items()], f"pattern array<string>, {schema}"))
+
+    up_to = Window.partitionBy("pattern").rowsBetween(Window.unboundedPreceding, 0)
+    cells = narrow.groupBy("pattern", b).agg(F.sum("size").alias("in_it")).withColumn("upto", F.sum("in_it").over(up_to.orderBy(b)))
+    cells = cells.join(planned(plans, "whole int, rest long"), "pattern").where("upto >= rest AND upto - in_it < rest")
+    ends = {tuple(p): (x, n, rest) for p, x, n, rest in collected(cells.select("pattern", b, F.col("upto") - F.col("in_it"), "rest"))}
+    last = narrow.join(planned(ends, "ends int, before long, rest long"), "pattern").where(F.col(b) == F.col("ends"))
+    last = last.withColumn("upto", F.col("before") + F.sum("size").over(up_to.orderBy(h))).where("upto <= rest")
+    cuts = {tuple(p): (x, n) for p, x, n in collected(last.groupBy("pattern").agg(F.max(h), F.max("upto")))}
+    # (bucket, last hash taken in it or null, still missing)
+    stops = {p: (x, cuts[p][0] if p in cuts else None, rest - (cuts[p][1] if p in cuts else n)) for p, (x, n, rest) in ends.items()}
+    taken = (F.col(b) < F.col("ends")) | ((F.col(b) == F.col("ends")) & (F.col(h) <= F.col("upto")))
+    near = narrow.where("size > 0").join(planned(stops, "ends int, upto long, missing long"), "pattern").withColumn("in_it", F.coalesce(taken, F.lit(False)))
+    left, gap = near.where("NOT in_it"), F.abs(F.col("size") - F.col("missing"))
+    # Either the row nearest to what is missing comes in, or the next larger one does and one of about the surplus goes.
+    come = {tuple(p): (x, y) for p, x, y in collected(left.groupBy("pattern").agg(F.min(F.struct(gap.alias("off"), h)), F.min(F.when(F.col("size") > F.col("missing"), F.struct("size", h)))))}
+    surplus = {p: (*stops[p], y[0] - stops[p][2]) for p, (_, y) in come.items() if y}
+    go = near.where("in_it").join(planned(surplus, "_e int, _u long, _m long, surplus long").drop("_e", "_u", "_m"), "pattern")
+    go = {tuple(p): x for p, x in collected(go.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("surplus")).alias("off"), h))))}
+    final = {}
+    for p, (whole, _) in plans.items():
+        x, y = come.get(p, (None, None))
+        options = [(stops[p][2] if p in stops else 0, None, None)] + ([(x[0], x[1], None)] if x else []) + ([(go[p][0], y[1], go[p][1])] if p in go else [])
+        final[p] = (whole, *stops.get(p, (-1, None, 0))[:2], *min(options, key=lambda o: o[0])[1:])
     by_source = F.broadcast(small(spark, [(s, sizes[s], float(targets[s])) for s in sizes], "_source string, source_size long, target double"))
-    both = both.join(by_source, F.element_at("pattern", 1).eqNullSafe(F.col("_source")), "left")
-    taken = F.least(F.col("_whole") + F.col("_more"), F.lit(most))
-    return both.select(*keep, "pattern", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("int").alias("repeats"))
+    found = rows.join(planned(final, "whole int, ends int, upto long, more long, less long"), "pattern").join(by_source, F.element_at("pattern", 1).eqNullSafe(F.col("_source")), "left")
+    extra = F.when(F.col(h) == F.col("less"), 0).when(taken | (F.col(h) == F.col("more")), 1).otherwise(0)
+    repeats = F.when(F.col("size") > 0, F.least(F.col("whole") + extra, F.lit(most))).otherwise(0)
+    return found.select(*keep, "pattern", "size", "source_size", "target", repeats.cast("int").alias("repeats"))
 
 
-def source_targets_of(mass: dict[frozenset, int], sizes: dict[str | None, int], weights: tuple[int, ...], most: float) -> dict[str | None, float]:
-    """Targets of overlapping sources: they share the mass of all documents, each counted once."""
+def shared_targets(mass: dict[frozenset, int], sizes: dict[str | None, int], weights: tuple[int, ...], most: float) -> dict[str | None, float]:
+    """Targets of sources that share the mass of all documents, each counted once though several sources may hold it."""
     scale = sum(mass.values()) / max(1, sum(sizes.values()))
     return {s: t * scale for s, t in source_targets(sizes, weights, most).items()}
 
