@@ -72,7 +72,7 @@ def walk(cells: dict[tuple[int, int], int], owners: list[int], most: list[int])
     return out
 
 
-def assign_shards(df: DataFrame, shards: int, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", vnodes: int = 128, cells: int = 1 << 15, salts: int = 4, slack: float | None = None) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", vnodes: int = 128, cells: int = 1 << 14, salts: int = 2, slack: float | None = None) -> DataFrame:
     """All columns of df but text_col, and size, text_crc32, shard and slot.
 
     slack None gives the tightest loads, counts at most one apart; a slack of 0.1, say, moves fewer rows when
