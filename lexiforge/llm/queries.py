@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import exact_dedup, mixing, packing, quality, sharding
+from lexiforge.llm import exact_dedup, mixing, packing, pii, quality, sharding
 from lexiforge.llm.common import word_count
 
 
@@ -20,6 +20,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(documents(spark, sf_dir)))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_count("text"), order=("text",))
 
@@ -89,6 +93,7 @@ FROM base LEFT JOIN failed f USING (row_)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_personal_data": op2_personal_data,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
