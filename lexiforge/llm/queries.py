@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import exact_dedup, mixing, packing, pii, quality, sharding
+from lexiforge.llm import exact_dedup, mixing, packing, pii, quality, sharding, token_files
 from lexiforge.llm.common import word_count
 
 
@@ -28,6 +28,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_count("text"), order=("text",))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_personal_data": op2_personal_data,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op5_token_files": op5_token_files,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
