@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import small
+from lexiforge.llm.common import small, stored
 
 
 def padded_cost(length: int) -> float:
@@ -116,7 +116,7 @@ def pack(df: DataFrame, size: Column, id_col: str = "doc_id", order: tuple[str,
     is dropped. A row without tokens (or with a null size) has one piece of 0 tokens, in no bin (null). Repeated rows are packed
     as often as they come. Ties (pieces of one size) go in the order of a hash of id_col and the order columns.
 
-    Plan: the histogram has max(lengths) * salts rows at most. Ranks need one shuffle by size and salt, so a
+    Plan: sizes are taken from the rows once and stored, narrow. The histogram has max(lengths) * salts rows at most. Ranks need one shuffle by size and salt, so a
     size that a third of all rows share is spread over salts tasks.
     """
     spark, longest = df.sparkSession, max(lengths)
@@ -126,6 +126,7 @@ def pack(df: DataFrame, size: Column, id_col: str = "doc_id", order: tuple[str,
     rows = rows.withColumn("piece_start", F.col("piece").cast("long") * longest)
     rows = rows.withColumn("piece_tokens", F.least(F.col("n_tokens") - F.col("piece_start"), F.lit(longest)).cast("int"))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_hash", "piece"), F.lit(salts)).cast("int"))
+    rows = stored(rows, "pieces")
     counted = sorted(tuple(r) for r in rows.where("piece_tokens > 0").groupBy("piece_tokens", "_salt").count().collect())  # max(lengths) * salts rows at most
     counts, at = {}, []
     for s, salt, n in counted:
