@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import exact_dedup, mixing, packing, pii, quality, sharding, token_files
+from lexiforge.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, token_files
 from lexiforge.llm.common import word_count
 
 
@@ -28,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_count("text"), order=("text",))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_personal_data": op2_personal_data,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_token_files": op5_token_files,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
