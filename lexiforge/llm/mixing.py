@@ -175,3 +175,9 @@ def shared_targets(mass: dict[frozenset, int], sizes: dict[str | None, int], wei
 def mix_documents(df: DataFrame, size: Column, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """mix() where each row has the one source in source_col."""
     return mix(df, size, F.array(F.col(source_col).cast("string")), [id_col, text_col], **options)
+
+
+def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns of mix()'s result, each row as often as it is taken."""
+    again = free_name(mixed, "again")
+    return mixed.where("repeats > 0").withColumn(again, F.explode(F.sequence(F.lit(1), "repeats"))).select(*columns)

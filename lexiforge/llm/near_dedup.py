@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import stored, text_of
+from lexiforge.llm.common import free_name, stored, text_of
 
 SHINGLE = 5
 #: Odd multipliers of the positions in a shingle, and the constants of a 64-bit finaliser.
@@ -240,3 +240,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = classes.join(least, "label").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")) & (F.col("nth") == 1)
     return found.select(F.col("doc_id").alias(id_col), "class_id", "class_size", kept.alias("kept"), "digest")
+
+
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df that stay, one of each class, with all their columns.
+
+    Repeated rows with the same id and text are one row, of which one copy stays.
+    """
+    digest, nth = free_name(df, "digest"), free_name(df, "row_order")
+    kept = near_duplicates(df, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    rows = df.withColumn(digest, digest_of(text_of(text_col)))
+    rows = rows.join(kept, rows[digest].eqNullSafe(F.col("_kept_digest")) & rows[id_col].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    order = Window.partitionBy(id_col, digest).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]))
+    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(digest, nth)

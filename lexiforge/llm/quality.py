@@ -168,5 +168,5 @@ def drop_low_quality(df: DataFrame, text_col: str = "text", lang_col: str = "lan
         renamed = {c: free_name(df, f"own_{c}") for c in df.columns if c.lower() in taken}
         found = drop_low_quality(df.withColumnsRenamed(renamed), text_col, lang_col, source_col, **options)
         return found.withColumnsRenamed({b: a for a, b in renamed.items()})
-    found = judge(with_base(counts(df, text_col)), lang_col, source_col, **options)
+    found = judge(stored(with_base(counts(df, text_col)), "counted"), lang_col, source_col, **options)
     return found.where("kept").select(*df.columns)
