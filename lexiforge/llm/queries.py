@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, suffix_dedup, token_files
+from lexiforge.llm import context_mixing, exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, suffix_dedup, token_files
 from lexiforge.llm.common import word_count
 
 
@@ -60,6 +60,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
+        "op9_context_mixing": op9_context_mixing,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
