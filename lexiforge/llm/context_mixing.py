@@ -259,7 +259,7 @@ def refined(total: np.ndarray, node: np.ndarray, refine: np.ndarray) -> np.ndarr
     return np.clip((_sigmoid(total) + _sigmoid(mapped)) / 2, 1e-6, 1 - 1e-6)
 
 
-def fit(table: np.ndarray, texts: list[bytes], rate: float = 0.02, step: int = 2048, passes: int = 2) -> Model:
+def fit(table: np.ndarray, texts: list[bytes], rate: float = 0.005, step: int = 2048, passes: int = 2) -> Model:
     """Learn weights and map online over the texts, all of which are in the table's counts (slot, bit).
 
     A text's own counts are taken out before it is predicted. Then steps of some bits, mixed over the texts, move the
