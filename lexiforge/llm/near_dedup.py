@@ -8,9 +8,9 @@ stops once its next point is later than all components. Components agree with a
 similarity, without bias; bands of them propose candidates, and whole bags verify each link.
 
 Candidates within a bucket are not all paired. Every member is compared with the bucket's most central
-member; the links give components; and only buckets that still hold more than one component have members of different components
-compared. A pair of one component needs no link of its own, so no component differs from what all pairs of
-all buckets would give.
+member; the links give components; and only in buckets that still hold more than one component are members
+of different components compared, in blocks, in the first band that two of them share. A pair of one
+component needs no link of its own, so no component differs from what all pairs of all buckets would give.
 """
 
 from __future__ import annotations
@@ -199,6 +199,89 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     return stored(found, name)
 
 
+def _compare(numerator: int, denominator: int):
+    """Over rows (group, side, digest, label, band, bands, text) in the order of group: links between members of different components.
+
+    A group is two blocks of one bucket, or one block with itself. A pair is compared in the first band that it shares, so
+    in one task of all, and not at all once it is of one component.
+    """
+
+    def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        bags = [bag(r[6]) for r in rows]
+        sizes = np.array([int(c.sum()) for _, c in bags])
+        root = {r[3]: r[3] for r in rows}
+
+        def find(x: bytes) -> bytes:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        left, right = [i for i, r in enumerate(rows) if r[1] < 2], np.array([i for i, r in enumerate(rows) if r[1] != 1])
+        if not len(right):
+            return
+        alone = len(left) == len(rows)  # side 0: one block with itself
+        keys = np.array([r[5] for r in rows], np.int64)
+        band = rows[0][4]
+        hashes, counts = np.concatenate([bags[i][0] for i in right]), np.concatenate([bags[i][1] for i in right])
+        of = np.repeat(np.arange(len(right)), [len(bags[i][0]) for i in right])
+        lengths = np.array([len(bags[i][0]) for i in right])
+        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        for i in left:
+            own = find(rows[i][3])
+            ok = denominator * np.minimum(sizes[right], sizes[i]) >= numerator * np.maximum(sizes[right], sizes[i])
+            ok &= ~(keys[right, :band] == keys[i, :band]).any(axis=1)
+            if alone:
+                ok &= right > i
+            which = [k for k in np.flatnonzero(ok) if find(rows[right[k]][3]) != own]
+            if not which:
+                continue
+            cells = np.concatenate([np.arange(begins[k], begins[k] + lengths[k]) for k in which])
+            h, c = bags[i]
+            at = np.minimum(np.searchsorted(h, hashes[cells]), len(h) - 1)
+            both = np.bincount(of[cells], weights=np.where(h[at] == hashes[cells], np.minimum(c[at], counts[cells]), 0), minlength=len(right)).astype(np.int64)
+            for k in which:
+                if denominator * both[k] >= numerator * (sizes[i] + sizes[right[k]] - both[k]):
+                    a, b = find(rows[i][3]), find(rows[right[k]][3])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        yield rows[i][2], rows[right[k]][2]
+
+    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found := list(links(rows)):
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and row[0] != rows[0][0]:
+                    yield from out(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from out(rows)
+
+    return run
+
+
+def compared_blocks(members: DataFrame, texts: DataFrame, similarity: tuple[int, int], block: int = 256) -> DataFrame:
+    """Links (a, b) among members(band, key, n, digest, label, bands) of one bucket and different labels.
+
+    A bucket of n members is cut into n / block blocks by a hash, and each two blocks meet in a task: a member
+    goes to as many tasks as there are blocks, and a task holds two blocks, whatever the bucket's size.
+    """
+    blocks = F.ceil(F.col("n") / block)
+    rows = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    rows = rows.select(F.struct("band", "key", low.alias("low"), high.alias("high")).alias("of"), side.alias("side"), "digest", "label", "band", "bands")
+    group = F.unhex(F.sha2(F.concat_ws(":", "of.band", "of.key", "of.low", "of.high"), 256))
+    full = rows.withColumn("group", group).join(texts, "digest").select("group", "side", "digest", "label", "band", "bands", "text")
+    return full.repartition("group").sortWithinPartitions("group", "digest").mapInArrow(_compare(*similarity), "a binary, b binary")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """id_col, class_id, class_size and kept for each row of df.
 
@@ -225,14 +308,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # What is left: members of different components in one bucket, not yet compared.
     placed = inside.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     mixed_ = placed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high AND low IS NOT NULL").select("band", "key")
-    open_ = stored(placed.join(mixed_, ["band", "key"], "left_semi").where("n > 2").select("band", "key", "digest", "shingles", "label"), "open")
-    x, y = (open_.select("band", "key", F.col("digest").alias(d), F.col("shingles").alias(f"s{d}"), F.col("label").alias(f"l{d}")) for d in ("a", "b"))
-    up, down = similarity
-    alike = (down * F.least("sa", "sb") >= up * F.greatest("sa", "sb")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))
-    rest = x.join(y, ["band", "key"]).where(alike).select("a", "b").distinct()
-    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.join(known, ["a", "b"], "left_anti")
-    more = stored(verified(rest, texts, similarity), "links")
+    open_ = placed.join(mixed_, ["band", "key"], "left_semi").where("n > 2").select("band", "key", "n", "digest", "label")
+    open_ = stored(open_.join(unique.select("digest", "bands"), "digest"), "open")
+    more = stored(compared_blocks(open_, texts, similarity), "links")
     labels = components(links.union(more))
     classes = signed.select("doc_id", "digest").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     classes = classes.groupBy("label", "digest", "doc_id").agg(F.count("*").alias("times"))
