@@ -27,7 +27,7 @@ def quota(requests: DataFrame, cap: int, ts: str = "ts", key: str = "event_id",
         state.update((n,))
 
     rows = requests.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", watermark)
-    return rows.groupBy(F.to_date("ts").alias("day")).applyInPandasWithState(count, "key long, ts timestamp, day date, nth long, admitted boolean", "n long", "append", GroupStateTimeout.NoTimeout)
+    return rows.withColumn("day", F.to_date("ts")).groupBy("day").applyInPandasWithState(count, "key long, ts timestamp, day date, nth long, admitted boolean", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, window: str, slide: str | None = None, watermark: str = "10 minutes", ts: str = "ts", by: str = "event_type") -> DataFrame:
