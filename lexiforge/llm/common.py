@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Drop stored tables that no later step reads, and let Spark delete the shuffle files of finished steps.
+
+    Spark does the latter when the driver collects garbage; a job of many steps would else keep them all.
+    """
+    for table in done:
+        for path in table.inputFiles()[:1]:
+            _remove(spark, path.rpartition("/")[0])
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import stored, text_of
+from lexiforge.llm.common import release, stored, text_of
 from lexiforge.llm.near_dedup import mixed
 
 LENGTH, ANCHOR = 200, 64
@@ -115,38 +115,48 @@ def _pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray,
         yield np.concatenate(parts), np.array(ends), rows
 
 
-_ANCHORS = "key long, doc_id long, digest binary, at int, lo int, hi int"
+def range_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each range: differences of one running polynomial, shifted to start at power 0."""
+    n = len(data)
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(_BASE))]))
+    inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))]))
+    upto = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * power[:-1])])
+    return mixed((upto[end] - upto[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
+#: ctx is a hash of the context; with the key, 128 bits of content tell contexts apart. digest holds 64 bits of the text's.
+_ANCHORS = "key long, ctx long, doc_id long, digest long, lo int, hi int, off int"
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        digests = [hashlib.sha256(x.as_buffer()).digest()[:16] for x in batch.column(1)]
+        digests = pa.array([int.from_bytes(hashlib.sha256(x.as_buffer()).digest()[:8], "big", signed=True) for x in batch.column(1)], pa.int64())
         for data, ends, rows in _pieces(batch.column(1)):
             key, at, lo, hi = anchors(data, ends)
             piece = np.searchsorted(ends, lo, side="right")
-            row = np.array([r for r, _ in rows])[piece]
+            row = pa.array(np.array([r for r, _ in rows])[piece])
             shift = np.array([o for _, o in rows])[piece] - np.concatenate([[0], ends[:-1]])[piece]
-            cols = [pa.array(key), ids.take(pa.array(row)), pa.array(digests, pa.binary()).take(pa.array(row)), *(pa.array((x + shift).astype(np.int32)) for x in (at, lo, hi))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "digest", "at", "lo", "hi"])
+            ctx = range_hashes(data, lo, hi + LENGTH).view(np.int64)
+            cols = [pa.array(key), pa.array(ctx), ids.take(row), digests.take(row), *(pa.array(x.astype(np.int32)) for x in (lo + shift, hi + shift, at - lo))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "ctx", "doc_id", "digest", "lo", "hi", "off"])
 
 
-_CONTEXTS = "key long, ctx binary, doc_id long, digest binary, lo int, hi int, off int, content binary"
+_PLACE = pa.struct([("doc_id", pa.int64()), ("digest", pa.int64()), ("lo", pa.int32())])
+_CONTEXTS = "key long, ctx long, contexts long, off int, first struct<doc_id:long,digest:long,lo:int>, content binary"
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, digest, text, runs): the context of each run, with its digest; off is the anchor's distance from the first start."""
+    """From (doc_id, digest, text, runs): the context of each run."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), _PLACE, pa.binary())
     for batch in batches:
         out = []
         for doc_id, digest, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
-            for r in runs:
-                content = raw[r["lo"] : r["hi"] + LENGTH]
-                out.append((r["key"], xxhash.xxh3_128_digest(content), doc_id, digest, r["lo"], r["hi"], r["at"] - r["lo"], content))
+            out += [(r["key"], r["ctx"], r["contexts"], r["off"], {"doc_id": doc_id, "digest": digest, "lo": r["lo"]}, raw[r["lo"] : r["hi"] + LENGTH]) for r in runs]
         for i in range(0, len(out), 20_000):
             cols = zip(*out[i : i + 20_000], strict=True)
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "ctx", "doc_id", "digest", "lo", "hi", "off", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "ctx", "contexts", "off", "first", "content"])
 
 
 def matches(contents: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -202,7 +212,7 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), (edge[1::2] - 1).tolist()
 
 
-_FOUND = "key long, ctx binary, early_from array<int>, early_to array<int>, other_from array<int>, other_to array<int>"
+_FOUND = "key long, ctx long, early_from array<int>, early_to array<int>, other_from array<int>, other_to array<int>"
 
 
 def _suffix_order(most: int):
@@ -212,13 +222,15 @@ def _suffix_order(most: int):
         earlier, later = matches([c for _, _, c in group])
         a, b = [_runs(e) for e in earlier], [_runs(e | f) for e, f in zip(earlier, later, strict=True)]
         cols = [[k for k, _, _ in group], [c for _, c, _ in group], [x for x, _ in a], [x for _, x in a], [x for x, _ in b], [x for _, x in b]]
-        types = [pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 4]
+        types = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "ctx", "early_from", "early_to", "other_from", "other_to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = [], 0
         for batch in batches:
             for key, ctx, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if group and (key, ctx) == group[-1][:2]:  # rows repeated with id and text give their contexts again
+                    continue
                 if size > most and key != group[-1][0]:
                     yield solve(group)
                     group, size = [], 0
@@ -230,7 +242,7 @@ def _suffix_order(most: int):
     return run
 
 
-_HALVES = "key long, ctx binary, off int, part int, sub_key long, sub_ctx binary, sub_off int, shift int, content binary, sub_first struct<doc_id:long,lo:int>"
+_HALVES = "key long, ctx long, off int, part int, sub_key long, sub_ctx long, sub_off int, shift int, content binary, sub_first struct<doc_id:long,digest:long,lo:int>"
 
 
 def _halve(level: int):
@@ -249,31 +261,30 @@ def _halve(level: int):
                     core = content[off - part * width : off - (part * width + width - 1) + LENGTH]
                     own = content[begin:end]
                     sub = xxhash.xxh3_64_intdigest(core + key.to_bytes(8, "little", signed=True), part) - (1 << 63)
-                    out.append((key, ctx, off, part, sub, xxhash.xxh3_128_digest(own), high, begin, own, {"doc_id": first["doc_id"], "lo": first["lo"] + begin}))
+                    out.append((key, ctx, off, part, sub, xxhash.xxh3_64_intdigest(own) - (1 << 63), high, begin, own, first | {"lo": first["lo"] + begin}))
             for i in range(0, len(out), 20_000):
                 cols = list(zip(*out[i : i + 20_000], strict=True))
-                types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.struct([("doc_id", pa.int64()), ("lo", pa.int32())]))
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), _PLACE)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "ctx", "off", "part", "sub_key", "sub_ctx", "sub_off", "shift", "content", "sub_first"])
 
     return run
 
 
-def _repeats(contexts: DataFrame, hot: int, level: int = 0) -> DataFrame:
-    """_FOUND for each distinct context of (key, ctx, n, first, off, content) that shares its key with another; n rows have it.
+def _repeats(sized: DataFrame, hot: int, level: int = 0) -> DataFrame:
+    """_FOUND for each of the different contexts (key, ctx, contexts, off, first, content) of keys that have several.
 
-    first is the earliest of these rows. Keys with more than hot contexts are halved and solved on their own.
+    contexts is the number of the key's contexts, first the earliest place of one. Keys with more than hot are halved and solved on their own.
     """
-    sizes = contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    sized = stored(contexts.join(sizes, "key"), "contexts")
     some = sized.where(F.col("contexts") <= hot).select("key", "ctx", "content", "first")
     found = some.repartition("key").sortWithinPartitions("key", "first").select("key", "ctx", "content").mapInArrow(_suffix_order(2 << 20), _FOUND)
     large = sized.where(F.col("contexts") > hot).select("key", "ctx", "off", "content", "first")
     if level > 8 or large.isEmpty():
         return stored(found, "found")
     halves = stored(large.mapInArrow(_halve(level + 1), _HALVES), "halves")
-    subs = halves.groupBy(F.col("sub_key").alias("key"), F.col("sub_ctx").alias("ctx")).agg(F.sum(F.lit(1)).alias("n"), F.min("sub_first").alias("first"), F.first("sub_off").alias("off"), F.first("content").alias("content"))
+    subs = halves.groupBy(F.col("sub_key").alias("key"), F.col("sub_ctx").alias("ctx")).agg(F.count("*").alias("n"), F.min("sub_first").alias("first"), F.first("sub_off").alias("off"), F.first("content").alias("content"))
     subs = stored(subs, "subs")
-    inner = _repeats(subs, hot, level + 1)
+    several = subs.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    inner = _repeats(subs.join(several, "key").select("key", "ctx", "contexts", "off", "first", "content"), hot, level + 1)
     inner = subs.select("key", "ctx", "n", "first").join(inner, ["key", "ctx"], "left").select(F.col("key").alias("sub_key"), F.col("ctx").alias("sub_ctx"), "n", "first", *[c for c in inner.columns if c not in ("key", "ctx")])
     back = halves.select("key", "ctx", "sub_key", "sub_ctx", "shift", "sub_first", (F.octet_length("content") - LENGTH).alias("last")).join(inner, ["sub_key", "sub_ctx"])
     whole = lambda x: F.array(x)
@@ -325,27 +336,36 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows. Rows repeated with id and text are copies of each other, which "first" can't tell apart: all keep
     what the first would.
 
-    Plan: runs of starts are narrow rows; those with an anchor of their own leave before any text moves. Contexts are
-    pre-aggregated before their shuffle. Texts are shuffled twice, to cut contexts and to remove spans.
+    Plan: runs of starts are narrow rows; those with an anchor of their own leave first, and equal contexts become
+    one by their hashes. Only then are texts shuffled, to cut the first copy of each context whose key has others, and at
+    the end to remove spans. Shuffle files and tables that are done with are released on the way.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
-    runs = rows.mapInArrow(_find_anchors, _ANCHORS)
-    runs = stored(runs, "anchors")
+    spark = df.sparkSession
+    runs = stored(rows.mapInArrow(_find_anchors, _ANCHORS), "anchors")
     twice = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    of_doc = runs.join(twice, "key", "left_semi").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("key", "at", "lo", "hi")).alias("runs"))  # bounded by the document
-    digest = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
-    texts = rows.withColumn("digest", digest)
-    cut = stored(texts.join(of_doc, (texts["doc_id"].eqNullSafe(of_doc["doc_id"])) & (texts["digest"] == of_doc["digest"])).select(texts["doc_id"], texts["digest"], "text", F.array_distinct("runs").alias("runs")).mapInArrow(_cut_contexts, _CONTEXTS), "cut")
-    place = F.struct("doc_id", "lo")
-    contexts = stored(cut.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("off").alias("off"), F.first("content").alias("content")), "distinct")
-    found = _repeats(contexts, hot)
+    places = stored(runs.join(twice, "key", "left_semi"), "places")
+    release(spark, runs)
+    contexts = stored(places.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "lo", "hi", "off")).alias("at")), "contexts")
+    release(spark)
+    # Only different contexts of one key need their bytes, each from its first place.
+    several = contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    wanted = contexts.join(several, "key").select("at.doc_id", "at.digest", F.struct("key", "ctx", "contexts", "at.lo", "at.hi", "at.off").alias("run"))
+    wanted = wanted.groupBy("doc_id", "digest").agg(F.collect_list("run").alias("runs"))  # bounded by the document
+    texts = rows.withColumn("digest", F.conv(F.substring(F.sha2("text", 256), 1, 16), 16, -10).cast("long"))
+    of_doc = (texts["doc_id"].eqNullSafe(wanted["doc_id"])) & (texts["digest"] == wanted["digest"])
+    sized = stored(texts.join(wanted, of_doc).select(texts["doc_id"], texts["digest"], "text", "runs").mapInArrow(_cut_contexts, _CONTEXTS), "sized")
+    release(spark)
+    found = _repeats(sized, hot)
+    release(spark, sized)
+    contexts = contexts.select("key", "ctx", "n", F.struct("at.doc_id", "at.digest", "at.lo").alias("first"))
     all_ = contexts.select("key", "ctx", "n", "first").join(found, ["key", "ctx"], "left")
     if keep == "none":
         solved = all_.where("n > 1 OR size(other_from) > 0").select("key", "ctx", (F.col("n") > 1).alias("whole"), F.lit(None).cast(contexts.schema["first"].dataType).alias("first"), F.col("other_from").alias("a"), F.col("other_to").alias("b"))
     else:
         solved = all_.where("n > 1 OR size(early_from) > 0").select("key", "ctx", (F.col("n") > 1).alias("whole"), "first", F.col("early_from").alias("a"), F.col("early_to").alias("b"))
-    places = cut.select("key", "ctx", "doc_id", "digest", "lo", "hi").join(solved, ["key", "ctx"])
-    everything = F.col("whole") & (F.col("first").isNull() | (F.struct("doc_id", "lo") != F.col("first")))
+    places = places.join(solved, ["key", "ctx"])
+    everything = F.col("whole") & (F.col("first").isNull() | (F.struct("doc_id", "digest", "lo") != F.col("first")))
     none = F.array().cast("array<int>")
     first = F.when(everything, F.array("lo")).otherwise(F.transform(F.coalesce("a", none), lambda x: x + F.col("lo")))
     last = F.when(everything, F.array("hi")).otherwise(F.transform(F.coalesce("b", none), lambda x: x + F.col("lo")))
