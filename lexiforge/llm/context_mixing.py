@@ -31,8 +31,8 @@ from lexiforge.llm.shared_files import read_whole, write_whole
 END = 0xFF  # no UTF-8 text has this byte
 PAD = 6  # end marks before each text, so that no context reaches another text
 #: Contexts and the bits of their tables' sizes.
-ORDERS = (1, 2, 3, 5)
-BITS = (16, 20, 20, 21, 22)
+ORDERS = (2, 3, 5)
+BITS = (20, 20, 22, 22)
 STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 SLOTS = int(STARTS[-1])
 SEGMENT = 1 << 16
@@ -42,18 +42,10 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte its 8 bits, and for each bit the slot in each table: shapes (n, 8) and (contexts, n, 8).
-
-    A context and a half byte pick 16 neighbouring slots, and the bits of the half seen so far one of these.
-    """
+def groups(data: np.ndarray) -> np.ndarray:
+    """For each context, byte and half byte the first of the 16 neighbouring slots that they pick: shape (contexts, n, 2)."""
     n = len(data)
     x = data.astype(np.uint64)
-    bits = np.unpackbits(data).reshape(n, 8)
-    node = np.ones((n, 8), np.uint32)
-    for k in (1, 2, 3):
-        node[:, k] = 2 * node[:, k - 1] + bits[:, k - 1]
-        node[:, k + 4] = 2 * node[:, k + 3] + bits[:, k + 3]
     back = [np.concatenate([np.full(k, END, np.uint64), x[:-k]]) for k in range(1, max(ORDERS) + 1)]
     contexts, h = [], np.zeros(n, np.uint64)
     for k, b in enumerate(back, 1):
@@ -62,20 +54,61 @@ def slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if k in ORDERS:
             contexts.append(h)
     # The word so far: a polynomial over the bytes since the last separator, shifted to start at power 0.
-    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _ODD[1])]))
-    inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(_ODD[1]), -1, 1 << 64)))]))
+    power, inverse = powers(n)
     upto = np.concatenate([[np.uint64(0)], np.cumsum((x + np.uint64(1)) * power[:-1])])
     space = (data <= 32) | (data == END)
     begin = np.concatenate([[0], np.maximum.accumulate(np.where(space, np.arange(1, n + 1), 0))[:-1]])
     contexts.append((upto[:-1] - upto[begin]) * inverse[begin])
-    out = np.empty((len(BITS), n, 8), np.uint32)
-    half = x >> np.uint64(4)
+    out = np.empty((len(BITS), n, 2), np.int64)
+    half = ((x >> np.uint64(4)) + np.uint64(2)) * _ODD[4]
     for i, (h, size) in enumerate(zip(contexts, BITS, strict=True)):
         shift = np.uint64(64 - (size - 4))
-        for k, g in ((0, (h + np.uint64(1)) * _ODD[2]), (4, (h + (half + np.uint64(2)) * _ODD[4]) * _ODD[3])):
-            g = ((g ^ (g >> np.uint64(31))) * _ODD[4]) >> shift
-            out[i, :, k : k + 4] = ((g << np.uint64(4)).astype(np.uint32) + np.uint32(STARTS[i]))[:, None] + node[:, k : k + 4]
-    return bits, out
+        for k, g in enumerate((h * _ODD[2], (h ^ half) * _ODD[3])):
+            g >>= shift
+            g <<= np.uint64(4)
+            out[i, :, k] = g
+        out[i] += STARTS[i]
+    return out
+
+
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of a multiplier and of its inverse modulo 2^64, kept for the next call."""
+    if not _powers or len(_powers[0]) <= n:
+        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 18), np.uint64(b))])) for b in (int(_ODD[1]), pow(int(_ODD[1]), -1, 1 << 64))]
+    return _powers[0][: n + 1], _powers[1][: n + 1]
+
+
+def half_nodes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each byte, and at each bit those of its half byte so far, with a leading 1."""
+    bits = np.unpackbits(data).reshape(-1, 8)
+    node = np.ones((len(data), 8), np.int64)
+    for k in (1, 2, 3):
+        node[:, k] = 2 * node[:, k - 1] + bits[:, k - 1]
+        node[:, k + 4] = 2 * node[:, k + 3] + bits[:, k + 3]
+    return bits, node
+
+
+def slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte its 8 bits, and for each bit the slot in each table: shapes (n, 8) and (contexts, n, 8).
+
+    Of the 16 slots that a context and a half byte pick, the bits of the half seen so far choose one.
+    """
+    bits, node = half_nodes(data)
+    return bits, (groups(data)[..., None] + node.reshape(-1, 2, 4)).reshape(len(BITS), len(data), 8)
+
+
+def bit_counts(halves: np.ndarray) -> np.ndarray:
+    """(slot, bit) counts from counts of the half bytes that followed each context (16 for each group of slots)."""
+    table = np.zeros((len(halves) // 16, 16, 2), np.uint32)
+    level = halves.reshape(-1, 16)
+    for first in (8, 4, 2, 1):  # nodes with a leading 1, from the last bit to the first
+        level = level.reshape(-1, first, 2)
+        table[:, first : 2 * first] = level
+        level = level.sum(axis=2)
+    return table.reshape(-1)
 
 
 def padded(texts: list[bytes], most: int = 1 << 17) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,8 +180,8 @@ def _merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the task's texts: kind 0, counts by token; kind 1, by segment of the tables, the filled cells (2 * slot + bit)."""
-    table = np.zeros(2 * SLOTS, np.uint32)
+    """Of the task's texts: kind 0, counts by token; kind 1, by segment, how often each half byte followed each context."""
+    table = np.zeros(SLOTS, np.uint32)
     tokens, waiting, n, seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0, False
 
     def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -168,15 +201,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out(*tokens)
                     tokens = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for _, data, begins, ends in padded(texts):
-            bits, at = slots(data)
             of = coded(len(data), begins, ends)
-            np.add.at(table, (2 * at[:, of] + bits[of]).reshape(-1), np.uint32(1))
+            halves = np.stack([data[of] >> 4, data[of] & 15], axis=1)
+            np.add.at(table, (groups(data)[:, of] + halves).reshape(-1), np.uint32(1))
     if waiting:
         tokens = _merge_counts(tokens, np.unique(np.concatenate(waiting), return_counts=True))
     if len(tokens[0]):
         yield out(*tokens)
     if seen:
-        for key in range(-(-2 * SLOTS // SEGMENT)):
+        for key in range(-(-SLOTS // SEGMENT)):
             cells = _packed(table[key * SEGMENT : (key + 1) * SEGMENT])
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([key], pa.int64()), pa.array([0], pa.int64()), pa.array([cells], pa.binary())], names=["kind", "key", "n", "cells"])
 
@@ -206,19 +239,19 @@ def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    table: np.ndarray  # float16 log-odds by slot; 0 where a context is unknown
+    table: np.ndarray  # log-odds by slot; 0 where a context is unknown
     weights: np.ndarray  # by gate and context
     refine: np.ndarray  # by bits of the byte so far and bin: log-odds
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, table=self.table, weights=self.weights, refine=self.refine)
+        np.savez(out, table=self.table.astype(np.float16), weights=self.weights, refine=self.refine)
         return out.getvalue()
 
     @staticmethod
     def load(data: bytes) -> Model:
         with np.load(io.BytesIO(data)) as f:
-            return Model(f["table"], f["weights"], f["refine"])
+            return Model(f["table"].astype(np.float32), f["weights"], f["refine"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -238,9 +271,9 @@ def nodes(bits: np.ndarray) -> np.ndarray:
 
 
 def mixed_odds(inputs: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    total = inputs[0] * weights[gate, 0]
+    total = inputs[0] * np.take(weights[:, 0], gate)
     for c in range(1, len(inputs)):
-        total += inputs[c] * weights[gate, c]
+        total += inputs[c] * np.take(weights[:, c], gate)
     return np.clip(total, -12, 12)
 
 
@@ -248,15 +281,15 @@ def bins(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower bin and the share of the upper one."""
     x = (total + np.float32(12)) * np.float32((BINS - 1) / 24)
     low = np.minimum(x.astype(np.int32), BINS - 2)
-    return low, x - low
+    return low, x - low.astype(np.float32)
 
 
 def refined(total: np.ndarray, node: np.ndarray, refine: np.ndarray) -> np.ndarray:
-    """P(bit is 1): the mean of the mixer's and the map's, the map interpolated between bins."""
+    """Log-odds that the bit is 1: the mean of the mixer's and the map's, the map interpolated between bins."""
     low, up = bins(total)
     flat, at = refine.reshape(-1), node * BINS + low
-    mapped = flat[at] * (1 - up) + flat[at + 1] * up
-    return np.clip((_sigmoid(total) + _sigmoid(mapped)) / 2, 1e-6, 1 - 1e-6)
+    below = np.take(flat, at)
+    return (total + below + (np.take(flat, at + 1) - below) * up) / 2
 
 
 def fit(table: np.ndarray, texts: list[bytes], rate: float = 0.005, step: int = 2048, passes: int = 2) -> Model:
@@ -276,7 +309,7 @@ def fit(table: np.ndarray, texts: list[bytes], rate: float = 0.005, step: int =
             for c in range(len(BITS)):
                 _, where = np.unique(at[c], return_inverse=True)
                 own0, own1 = np.bincount(where, weights=1 - y), np.bincount(where, weights=y)
-                x[c] = odds(np.maximum(table[2 * at[c].astype(np.int64)] - own0[where], 0), np.maximum(table[2 * at[c].astype(np.int64) + 1] - own1[where], 0))
+                x[c] = odds(np.maximum(table[2 * at[c]] - own0[where], 0), np.maximum(table[2 * at[c] + 1] - own1[where], 0))
             xs.append(x), ys.append(y), places.append(np.tile(np.arange(8), len(of))), froms.append(nodes(bits).reshape(-1))
     weights = np.full((GATES, len(BITS)), 0.3, np.float32)
     refine = np.tile(np.linspace(-12, 12, BINS, dtype=np.float32), (256, 1))
@@ -298,24 +331,23 @@ def fit(table: np.ndarray, texts: list[bytes], rate: float = 0.005, step: int =
                         np.add.at(n0n1[0], (node[s], low + shift), share * (1 - y[s]))
                         np.add.at(n0n1[1], (node[s], low + shift), share * y[s])
         refine = np.log(n0n1[1] / n0n1[0]).astype(np.float32)
-    return Model(odds(table[0::2].astype(np.float32), table[1::2].astype(np.float32)).astype(np.float16), weights, refine)
+    return Model(odds(table[0::2].astype(np.float32), table[1::2].astype(np.float32)), weights, refine)
 
 
 def bit_scores(model: Model, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each text and its end."""
     scores = np.zeros(len(texts))
+    place = np.arange(8, dtype=np.int32)[None, :]
     for of, data, begins, ends in padded(texts):
-        bits, at = slots(data)
-        node = nodes(bits)
-        total = np.zeros(len(data))
-        for lo in range(0, len(data), 1 << 14):  # pieces that stay in the cache
-            s = slice(lo, lo + (1 << 14))
-            inputs = model.table[at[:, s]].astype(np.float32)
-            gate = gates(inputs, np.arange(8, dtype=np.int32)[None, :])
-            p = refined(mixed_odds(inputs, gate, model.weights), node[s], model.refine)
-            total[s] = np.log(np.where(bits[s] == 1, p, 1 - p)).sum(axis=1, dtype=np.float64)
-        upto = np.concatenate([[0.0], np.cumsum(total)])
-        sums = np.add.reduceat(total, np.stack([begins, ends], axis=1).reshape(-1)[: 2 * len(of) - 1])[::2] if len(of) else upto[:0]
+        picked, total = groups(data), np.zeros(len(data))
+        for lo in range(0, len(data), 1 << 13):  # pieces that stay in the cache
+            s = slice(lo, lo + (1 << 13))
+            bits, half = half_nodes(data[s])
+            inputs = np.take(model.table, (picked[:, s, :, None] + half.reshape(-1, 2, 4)).reshape(len(BITS), -1, 8))
+            odds_ = refined(mixed_odds(inputs, gates(inputs, place), model.weights), nodes(bits), model.refine)
+            odds_[bits == 1] *= -1  # of the other bit
+            total[s] = -np.log1p(np.exp(odds_)).sum(axis=1, dtype=np.float64)
+        sums = np.add.reduceat(total, np.stack([begins, ends], axis=1).reshape(-1)[: 2 * len(of) - 1])[::2]
         scores[of] = sums / np.log(10)
     return scores
 
@@ -395,7 +427,7 @@ def _doc_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["digest", "key", "times"])
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, sample: int = 300, sample_bytes: int = 1 << 16, most_shipped: int = 1 << 24) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, sample: int = 300, sample_bytes: int = 1 << 16, total_bytes: int = 400_000, most_shipped: int = 1 << 24) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of df.
 
     Rows whose crc32 of the id as text leaves fold modulo folds are held out; the model learns from all others. A null id counts as
@@ -403,8 +435,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     learn from, all predictors are silent and each bit costs one bit. Repeated rows are scored as often as they come.
 
     Plan: one pass over the training texts sums tokens and table cells in each task; both are merged by key.
-    The tables have a fixed size, whatever the corpus (67 MB of counts, sent compressed to the driver, which
-    learns the mixer from sample texts of up to sample_bytes, and back as a file of 17 MB). Token counts go to
+    The tables have a fixed size, whatever the corpus (42 MB of counts, sent compressed to the driver, which
+    learns the mixer from sample texts of up to sample_bytes each and total_bytes together, and back as a file of 21 MB). Token counts go to
     files in the shared folder that tasks read while there are most_shipped tokens at most; beyond that,
     documents' tokens are joined with them.
     """
@@ -418,13 +450,15 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     files = stored(words.mapInArrow(_word_files(folder), "path string, words long, tokens long"), "words")
     n_words, n_tokens = files.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     merged = counted.where("kind = 1").select("key", "cells").repartition("key").sortWithinPartitions("key").mapInArrow(_merge_segments, "key long, cells binary")
-    table = np.zeros(-(-2 * SLOTS // SEGMENT) * SEGMENT, np.int64)
-    for key, cells in merged.toLocalIterator():  # 2 * SLOTS / SEGMENT rows
+    table = np.zeros(-(-SLOTS // SEGMENT) * SEGMENT, np.uint32)
+    for key, cells in merged.toLocalIterator():  # SLOTS / SEGMENT rows
         at, n = _unpacked(bytes(cells))
         table[key * SEGMENT + at] = n
     chosen = train.where(F.octet_length("text") <= sample_bytes).orderBy(F.xxhash64("text"), "doc_id").limit(sample).select("text").collect()
+    chosen = [bytes(r[0]) for r in chosen]
+    chosen = [t for t, upto in zip(chosen, np.cumsum([len(t) for t in chosen]), strict=True) if upto <= total_bytes]
     model_at = f"{folder}/mixer.npz"
-    write_whole(model_at, [fit(table[: 2 * SLOTS], [bytes(r[0]) for r in chosen]).dump()])
+    write_whole(model_at, [fit(bit_counts(table[:SLOTS]), chosen).dump()])
     ship = n_words <= most_shipped
     paths = tuple(sorted(r[0] for r in files.select("path").collect())) if ship else None  # a row for each shuffle partition
     scored = rows.mapInArrow(_score(model_at, paths), _SCORED)
