@@ -12,6 +12,7 @@ packing piece by piece would. Rows then find their bin from their rank among the
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,7 @@ def padded_cost(length: int) -> float:
 
 
 class Bins:
-    """Runs of equal open bins, by what they have left."""
+    """Runs of equal open bins, by what they have left; of equal rooms the bin opened first is taken."""
 
     def __init__(self, lengths: tuple[int, ...], cost: Callable[[int], float]):
         self.lengths, self.cost = sorted(lengths), cost
@@ -38,14 +39,14 @@ class Bins:
         if room not in self.runs:
             bisect.insort(self.rooms, room)
             self.runs[room] = []
-        self.runs[room].append(run)
+        heapq.heappush(self.runs[room], run)
 
     def best(self, size: int) -> int | None:
         i = bisect.bisect_left(self.rooms, size)
         return self.rooms[i] if i < len(self.rooms) else None
 
     def pop(self, room: int) -> tuple[int, int, int]:
-        run = self.runs[room].pop()
+        run = heapq.heappop(self.runs[room])
         if not self.runs[room]:
             del self.runs[room]
             self.rooms.remove(room)

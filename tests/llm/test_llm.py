@@ -1,0 +1,599 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
+
+import collections
+import hashlib
+import itertools
+import math
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexiforge.llm import common, context_mixing, exact_dedup, mixing, near_dedup, packing, pii, quality, queries, sharding, suffix_dedup, token_files
+from tests.parity import check
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, texts, languages and sources; empty, blank and long texts; repeated rows and ties."""
+    long_ = "lorem ipsum dolor sit amet " * 30_000
+    rows = [(1, None, "en", "a"), (2, "", "en", None), (3, "  \n ", None, "a"), (4, "one", "en", "a"), (5, long_, "en", "b"), (6, "a b c d e f", "en", "b"), (6, "a b c d e f", "en", "b"), (7, "a b c d e f", "de", "c"), (None, "x y", None, None), (None, "x y", None, None), (8, "é" * 300, "fr", "c"), (9, "\x00 nul \U0001f600 +1 (555) 010-9999", "fr", "c")]
+    return spark.createDataFrame([(i, t, x, s, len(t or "")) for i, t, x, s in rows], SCHEMA)
+
+
+def clash(df):
+    """Columns named like those that operators make."""
+    for name in "size shard slot keep_id kept digest label pattern repeats target n_words text_sha256 bands key group".split():
+        df = df.withColumn(name, F.lit(7))
+    return df
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, sf_dir, name):
+    check(spark, sf_dir, queries.queries()[name], queries.oracle_sql()[name])
+
+
+# 1 sharding
+
+
+def test_shards_differ_by_one_row(spark, sf_dir):
+    found = queries.op1_sharding(spark, sf_dir).toPandas()
+    sizes = found.groupby("shard").size().reindex(range(24), fill_value=0)
+    assert sizes.max() - sizes.min() <= 1 and found.doc_id.is_unique
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in found.groupby("shard"))
+
+
+def test_shards_match_plain_walk(docs):
+    """The assignment from counts equals walking every key around the ring."""
+    shards, cells, vnodes = 5, 1 << 14, 128
+    found = sharding.assign_shards(docs.select("doc_id", "text"), shards, slack=0.05)
+    keyed = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - 14).cast("int").alias("cell"), F.pmod(F.xxhash64("text"), F.lit(2)).alias("salt"), F.xxhash64("doc_id", "text").alias("o")).collect()
+    owners = sharding.cell_owners(shards, vnodes, cells)
+    most = sharding.bounded(len(keyed), shards, 0.05)
+    load, want, late = [0] * shards, {}, []
+    for r in sorted(keyed, key=lambda r: (r["cell"], r["salt"], r["o"], r["doc_id"])):
+        s = owners[r["cell"]]
+        if load[s] < most[s]:
+            load[s] += 1
+            want[r["doc_id"]] = s
+        else:
+            late.append(r)
+    for r in late:
+        at = r["cell"]
+        while load[owners[at]] >= most[owners[at]]:
+            at = (at + 1) % cells
+        load[owners[at]] += 1
+        want[r["doc_id"]] = owners[at]
+    assert {r["doc_id"]: r["shard"] for r in rows(found)} == want
+
+
+def test_growth_moves_few_rows(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    a, b = ({r["doc_id"]: r["shard"] for r in rows(sharding.assign_shards(df, n, slack=0.1))} for n in (24, 25))
+    assert sum(a[i] != b[i] for i in a) < 0.25 * len(a)
+
+
+def test_sharding_odd_rows(odd):
+    found = rows(sharding.assign_shards(clash(odd), 3))
+    assert len(found) == 12 and sorted(r["size"] for r in found)[:2] == [8, 8]
+    assert rows(sharding.assign_shards(odd.limit(0), 3)) == []
+
+
+# 2 personal data
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def base_spans(t):
+    good = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")), "card": lambda m: 16 <= len(d := re.sub("[ -]", "", m)) <= 19 and luhn(d), "phone": lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15}
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS for m in re.finditer(p, t or "") if good[k](m[0])]
+
+
+def test_base_spans(spark, docs):
+    rng = random.Random(5)
+    pieces = ["a@b.c", "@", ".", "x", " ", "+", "-", "(", ")", "12", "256.1.2.3", "1.2.3.4", "4111 1111 1111 1111", "4111111111111111", "+1 (555) 010-9999", "é", "\U0001f600", "\n", "_", "%", "007", "1"]
+    made = [(10_000 + i, "".join(rng.choices(pieces, k=rng.randint(0, 25)))) for i in range(600)]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    found = {r["doc_id"]: r for r in rows(pii.digests(pii.personal_data(table)))}
+    for r in table.collect():
+        want = base_spans(r["text"])
+        got = found[r["doc_id"]]
+        assert got["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), (r["text"], got["spans"])
+        assert got["n_phone"] == sum(x.startswith("phone") for x in want)
+
+
+def test_labelers_decide_further_spans(spark):
+    texts = ["call 555-123-4567 now", "the code 555-123-4567", "my ssn: 123-45-6789", "sum 123-45-6789 of", "Mr. James Miller came", "a James in Paris"]
+    found = [r["spans"] for r in sorted(rows(pii.digests(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))), key=lambda r: r["doc_id"])]
+    assert found[0] == "local_phone:5:17" and found[2] == "national_id:8:19" and found[4] == "name:4:16"
+    assert found[1] == "" and found[3] == ""
+
+
+def test_label_model_learns():
+    """Labels drawn from known rates: the posterior tells right from wrong better than any one labeler."""
+    rng, counts, truth = random.Random(1), collections.Counter(), collections.Counter()
+    for _ in range(5000):
+        y = rng.random() < 0.5
+        v = tuple(int(rng.random() < (r if y else w)) for r, w in ((0.9, 0.2), (0.8, 0.1), (0.4, 0.05)))
+        counts[v] += 1
+        truth[v] += y
+    soft = pii.label_model([("email", v, n) for v, n in sorted(counts.items())])
+    right = sum(max(truth[v], n - truth[v]) if (soft["email", v] > 0.5) == (2 * truth[v] > n) else min(truth[v], n - truth[v]) for v, n in counts.items())
+    alone = max(sum(max(0, (truth[v] if v[i] else n - truth[v])) for v, n in counts.items()) for i in range(3))
+    assert right > alone + 100
+
+
+def test_pii_odd_rows(odd):
+    found = rows(pii.personal_data(clash(odd)))
+    assert len(found) == 12 and sum(len(r["spans"]) for r in found) == 1
+    assert rows(pii.personal_data(odd.limit(0))) == []
+    assert [r["text"] for r in rows(pii.redact(odd.where("doc_id = 9")))] == ["\x00 nul \U0001f600 <phone>"]
+
+
+# 3 packing
+
+
+def plain_best_fit(counts, lengths):
+    """Piece by piece, with the same choices."""
+    model, bins, mass = packing.Bins(lengths, packing.padded_cost), [], sum(s * n for s, n in counts.items())
+    for size in sorted(counts, reverse=True):
+        mass -= size * counts[size]
+        for _ in range(counts[size]):
+            fits = [b for b in bins if b[0] - b[1] >= size]
+            if fits:
+                best = min(b[0] - b[1] for b in fits)
+                # a bin that just took a piece is the tighter fit of equals
+                target = next(b for b in fits if b[0] - b[1] == best)
+            else:
+                target = [model.to_open(size, mass), 0]
+                bins.append(target)
+            target[1] += size
+    return collections.Counter((min(x for x in lengths if x >= b[1]), b[1]) for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_histogram_equals_piece_by_piece(seed):
+    rng = random.Random(seed)
+    counts = {rng.randint(1, 64): rng.randint(1, 9) for _ in range(25)}
+    placed, final = packing.pack_histogram(counts, (16, 32, 64))
+    fill = collections.Counter()
+    for size, rank, last, first, per, _, length in packing.cut(placed, final):
+        for i in range(last - rank + 1):
+            fill[first + i // per, length] += size
+        assert length in (16, 32, 64)
+    assert collections.Counter((length, used) for (_, length), used in fill.items()) == plain_best_fit(counts, (16, 32, 64))
+
+
+def test_packing_is_whole(docs):
+    found = packing.pack(docs, common.word_count("text"), order=("text",), lengths=(64, 128, 256)).toPandas()
+    assert found.groupby("doc_id").piece_tokens.sum().to_dict() == {r["doc_id"]: len((r["text"] or "").encode().split()) for r in docs.collect()}
+    for _, b in found[found.bin_id.notna()].groupby("bin_id"):
+        b, at = b.sort_values("bin_offset"), 0
+        for o, n in zip(b.bin_offset, b.piece_tokens, strict=True):
+            assert o == at
+            at += n
+        assert at <= b.bin_length.iloc[0] and b.bin_length.nunique() == 1 and not any(at <= x < b.bin_length.iloc[0] for x in (64, 128, 256))
+
+
+def test_packing_odd_rows(odd):
+    found = rows(packing.pack(clash(odd), common.word_count("text"), order=("text",)))
+    assert sum(r["piece_tokens"] == 0 for r in found) == 3 and sum(r["piece_tokens"] for r in found) == 1 + 150_000 + 18 + 4 + 1 + 6
+    assert rows(packing.pack(odd.limit(0), common.word_count("text"))) == []
+
+
+# 4 near-duplicates
+
+
+def plain_bag(text):
+    w = (text or "").encode().split()
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+
+
+def plain_classes(table):
+    root = {i: i for i, _ in table}
+    bags = {i: plain_bag(t) for i, t in table}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, s), (b, t) in itertools.combinations(table, 2):
+        both = (bags[a] & bags[b]).total()
+        if (s or "") == (t or "") or (both and 5 * both >= 4 * (bags[a].total() + bags[b].total() - both)):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i, _ in table}
+
+
+def test_near_duplicates(spark, docs):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(150)]
+    made = []
+    for i in range(80):  # one group over the whole range of similarities
+        own = list(words)
+        for _ in range(rng.randint(0, 12)):
+            own[rng.randrange(150)] = f"x{rng.random()}"
+        made.append((10_000 + i, " ".join(own)))
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    want = plain_classes([(r["doc_id"], r["text"]) for r in table.collect()])
+    found = rows(near_dedup.near_duplicates(table))
+    assert {r["doc_id"]: r["class_id"] for r in found} == want
+    assert sum(r["kept"] for r in found) == len(set(want.values()))
+
+
+def test_signatures_are_unbiased():
+    rng = np.random.default_rng(3)
+    gaps = []
+    for _ in range(30):
+        h = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+        a, b = rng.integers(0, 9, len(h)), rng.integers(0, 9, len(h))
+        true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        sig = near_dedup.signatures([(h[a > 0], a[a > 0]), (h[b > 0], b[b > 0])], 512)
+        gaps.append((sig[0] == sig[1]).mean() - true)
+    assert abs(np.mean(gaps)) < 0.01 and np.abs(gaps).max() < 0.1
+
+
+def test_blocks_find_all_links(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{j}" if rng.random() > 0.02 * (i % 4) else f"y{i}{j}" for j in range(60)) for i in range(40)]
+    bags = [near_dedup.bag(t.encode()) for t in texts]
+    keys = near_dedup.band_keys(near_dedup.signatures(bags, 160), 32, 5)
+    digests = [hashlib.sha256(t.encode()).digest()[:16] for t in texts]
+    members = [(0, 1, 40, bytearray(d), bytearray(d), [int(x) for x in k]) for d, k in zip(digests, keys, strict=True)]
+    table = spark.createDataFrame(members, "band int, key long, n long, digest binary, label binary, bands array<long>")
+    links = near_dedup.compared_blocks(table, spark.createDataFrame([(bytearray(d), bytearray(t.encode())) for d, t in zip(digests, texts, strict=True)], "digest binary, text binary"), (4, 5), block=8)
+    root = {d: d for d in digests}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links.collect():
+        root[find(bytes(r["a"]))] = find(bytes(r["b"]))
+    want = plain_classes(list(enumerate(texts)))
+    assert all((find(digests[a]) == find(digests[b])) == (want[a] == want[b]) for a, b in itertools.combinations(range(40), 2))
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    node = lambda i: bytearray(hashlib.sha256(str(i).encode()).digest()[:16])
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + rng.randint(1, 30)) for _ in range(40)]
+    found = near_dedup.components(spark.createDataFrame([(node(a), node(b)) for a, b in edges], "a binary, b binary"))
+    label = {bytes(r["node"]): bytes(r["label"]) for r in found.collect()}
+    assert len({label[bytes(node(i))] for i in range(41)}) == 1 and len(set(label.values())) == 2
+
+
+def test_near_odd_rows(odd):
+    found = rows(near_dedup.near_duplicates(clash(odd)))
+    assert len(found) == 12
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r["doc_id"]].append(r)
+    assert by[1][0]["class_id"] == by[2][0]["class_id"] == 1 and by[3][0]["class_id"] == 3
+    assert [r["kept"] for r in by[6]].count(True) == 1 and by[7][0]["class_id"] == 6
+    assert [r["kept"] for r in by[None]].count(True) == 1
+    assert rows(near_dedup.near_duplicates(odd.limit(0))) == []
+    assert near_dedup.drop_near(clash(odd)).columns == clash(odd).columns and near_dedup.drop_near(odd).count() == 8
+
+
+# 5 token files
+
+
+@pytest.mark.parametrize("top", [1, 2, 300, 49_408, 2**32])
+def test_blocks_round_trip(top):
+    rng = np.random.default_rng(top)
+    for n in (0, 1, 511, 512, 513, 5000):
+        ids = np.where(rng.random(n) < 0.95, rng.integers(0, min(top, 200), n), rng.integers(0, top, n)).astype(np.uint32)
+        data = b"".join(token_files.file_parts(ids, [7], [n]))
+        back, docs_, lengths = token_files.parse_file(data)
+        assert (back == ids).all() and docs_.tolist() == [7] and lengths.tolist() == [n]
+
+
+def test_cut_file_is_refused():
+    data = b"".join(token_files.file_parts(np.arange(600, dtype=np.uint32), [1], [600]))
+    with pytest.raises(ValueError):
+        token_files.parse_file(data[:-3])
+
+
+def test_token_files(spark, docs, odd):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    made = [(20_000, "İstanbul Σίσυφος ΣΣ don't we've x1y2 ﬁn á Å <|endoftext|> ü.Ü! (a) 日本語 а́ b\x85c")]
+    table = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame(made, "doc_id long, text string"))
+    found = rows(token_files.round_trip(table, path, file_ids=3000))
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r["doc_id"]].append(r)
+    for r in table.collect():
+        ids = np.array([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert any(x["n_tokens"] == len(ids) and x["ids_crc32"] == zlib.crc32(ids.tobytes()) for x in by[r["doc_id"]]), r["text"][:50]
+    at = 0
+    for r in sorted(found, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+    assert rows(token_files.round_trip(odd.limit(0), path)) == []
+
+
+# 6 exact duplicates
+
+
+@pytest.mark.parametrize(("memory", "fanout"), [(1 << 20, 16), (2000, 2), (1, 3)])
+def test_grace_spills_and_merges(tmp_path, memory, fanout):
+    rng = random.Random(8)
+    records = [(rng.choice([b"", b"a", b"b" * 400, b"x%d" % rng.randint(0, 200)]), i, 1) for i in range(2000)]
+    want = {}
+    for content, i, _ in records:
+        keep, n = want.get(content, (-1, 0))
+        want[content] = (max(keep, i), n + 1)
+    found = list(exact_dedup.grace(iter(records), memory, fanout, tmp_path))
+    assert len(found) == len(want) and {c: (k, n) for c, k, n in found} == want
+    assert not [f for f in tmp_path.rglob("*") if f.is_file()]
+
+
+def test_exact_odd_rows(odd):
+    found = rows(exact_dedup.exact_dedup(clash(odd), memory=100, fanout=2))
+    assert len(found) == 12 and sum(r["kept"] for r in found) == 8
+    assert {r["keep_id"] for r in found if r["doc_id"] in (6, 7)} == {7} and {r["keep_id"] for r in found if r["doc_id"] in (1, 2)} == {2}
+    assert rows(exact_dedup.exact_dedup(odd.limit(0))) == []
+    kept = exact_dedup.drop_exact(clash(odd))
+    assert kept.columns == clash(odd).columns and kept.count() == 8
+
+
+# 7 mixing
+
+
+def test_targets():
+    assert mixing.source_targets({"a": 100, "b": 100, "c": 100}) == {"a": 50.0, "b": 100.0, "c": 150.0}
+    t = mixing.source_targets({"a": 1000, "b": 10, None: 10})
+    assert t["b"] == 30.0 and t[None] == 30.0 and t["a"] == 960.0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_flow_is_cheapest(seed):
+    """Against all integral flows of a small network."""
+    rng = random.Random(seed)
+    patterns = [frozenset("a"), frozenset("b"), frozenset("ab")]
+    mass = {p: rng.randint(1, 3) for p in patterns}
+    quota = {"a": rng.randint(0, 6), "b": rng.randint(0, 6)}
+    flow = mixing.route(mass, quota, 3)
+
+    def cost(used):
+        return sum(sum(k * max(0, min(m, used[p] - k * m)) for k in range(3)) for p, m in mass.items())
+
+    best = None
+    for a, b, x, y in itertools.product(range(10), repeat=4):
+        used = {patterns[0]: a, patterns[1]: b, patterns[2]: x + y}
+        if a + x <= quota["a"] and b + y <= quota["b"] and all(used[p] <= 3 * mass[p] for p in patterns):
+            key = (-(a + b + x + y), cost(used))
+            best = key if best is None or key < best else best
+    used = {p: sum(f.values()) for p, f in flow.items()}
+    assert (-sum(used.values()), cost(used)) == best
+
+
+def test_mix_meets_targets(spark, sf_dir):
+    found = queries.op7_mixing(spark, sf_dir).toPandas()
+    source = {r["doc_id"]: r["source"] for r in queries.documents(spark, sf_dir).collect()}
+    by = found.groupby(found.doc_id.map(source))
+    gap = (by.taken.sum() - by.target.first()).abs()
+    assert (gap <= by["size"].max() / 2 + 1).all() and (found.taken <= 3 * found["size"]).all()
+    assert (by["size"].sum() == by.source_size.first()).all()
+    again = queries.op7_mixing(spark, sf_dir).toPandas()
+    assert again.set_index("doc_id").taken.sort_index().equals(found.set_index("doc_id").taken.sort_index())
+
+
+def test_overlapping_sources(spark):
+    table = spark.createDataFrame([(i, ["a"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["b", "a"]) for i in range(300)], "doc_id long, sources array<string>")
+    found = mixing.mix(table, F.lit(10), F.col("sources"), ["doc_id"]).toPandas()
+    assert (found.repeats <= 3).all() and abs(int((found["size"] * found.repeats).sum()) - 3000) <= 10
+
+
+def test_mixing_odd_rows(odd):
+    found = mixing.mix_documents(clash(odd), common.word_count("text"))
+    assert found.count() == 12 and rows(mixing.mix_documents(odd.limit(0), common.word_count("text"))) == []
+    assert mixing.repeated(found, odd.columns).columns == odd.columns
+
+
+# 8 quality rules
+
+
+def plain_counts(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    windows = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in quality.SYMBOLS for c in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_counts(docs, odd):
+    table = docs.unionByName(odd)
+    found = quality.counts(table).select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+    assert len(found) == table.count() and all(tuple(r)[1:] == plain_counts(r["text"]) for r in found)
+
+
+def test_quality_against_labels(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality.quality_rules(docs).join(labels, "doc_id").toPandas()
+    assert found[(found.quality == 1) & ~found.base_failed].kept.all() and not found[found.quality == 0].kept.any()
+
+
+def test_quality_odd_rows(odd):
+    found = rows(quality.quality_rules(clash(odd)))
+    assert len(found) == 12 and not any(r["kept"] for r in found if r["n_words"] < 50)
+    assert rows(quality.quality_rules(odd.limit(0))) == []
+    assert quality.drop_low_quality(clash(odd)).columns == clash(odd).columns
+
+
+def test_sketches_merge(spark):
+    """Quartiles of merged parts are those of the whole, within a bucket of the exact ones."""
+    rng = random.Random(9)
+    values = [rng.randint(100, 1000) for _ in range(3000)]
+    table = spark.createDataFrame([(i % 3, v * 10, 1000) for i, v in enumerate(values)], "g int, word_chars long, n_words long").withColumn("base_failed", F.lit(False))
+    rule = (quality.Rule("long_words", "100 * word_chars div greatest(n_words, 1)", 1),)
+    fine = quality.sketches(table, ["g"], rule, 1.02).withColumn("all", F.lit(0))
+    q = quality.quartiles(fine, ["all"], 1.02).first()
+    exact = sorted(values)
+    assert q["rows"] == 3000 and all(abs(q[f"q{k}"] / exact[750 * k - 1] - 1) < 0.011 for k in (1, 2, 3))
+
+
+# 9 context mixing
+
+
+def test_scores(spark, docs, sf_dir):
+    found = context_mixing.score_texts(docs, sample=40).toPandas().set_index("doc_id")
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    table = {r["doc_id"]: [*(r["text"] or "").encode().translate(low).split(), None] for r in docs.collect()}
+    count = collections.Counter(w for i, ws in table.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = count.total(), len(count)
+    for i, ws in table.items():
+        r = found.loc[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2) and r.n_tokens == len(ws) and r.n_known == sum(count[w] > 0 for w in ws) and r.train_tokens == n
+        assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+    assert found[found.held_out].bits_per_byte.median() < 4 and (found.score < 0).all()
+    joined = context_mixing.score_texts(docs, sample=40, most_shipped=0).toPandas().set_index("doc_id").loc[found.index]
+    assert (joined.n_known == found.n_known).all() and np.allclose(joined.base_score, found.base_score) and np.allclose(joined.score, found.score)
+
+
+def test_probabilities_add_up():
+    """Over all next bytes, a model's probabilities sum to one: each bit's two do."""
+    texts = [b"the cat sat on the mat and the dog sat on the log " * 4] * 3
+    table = np.zeros(2 * context_mixing.SLOTS, np.int64)
+    for _, data, begins, ends in context_mixing.padded(texts):
+        bits, at = context_mixing.slots(data)
+        of = context_mixing.coded(len(data), begins, ends)
+        np.add.at(table, (2 * at[:, of].astype(np.int64) + bits[of]).reshape(-1), 1)
+    model = context_mixing.fit(table, texts)
+    whole = 10 ** context_mixing.bit_scores(model, [b"the"])[0]
+    # "the" and its end: the chance of going on with any byte instead of ending, plus ending, is that of the prefix.
+    chances = 10 ** context_mixing.bit_scores(model, [b"", b"a", b"b"])
+    assert 0 < whole < 1 and (chances < 1).all()
+    assert context_mixing.bit_scores(model, [texts[0]])[0] > context_mixing.bit_scores(model, [texts[0][::-1]])[0]
+
+
+def test_context_does_not_leak():
+    model = context_mixing.fit(np.zeros(2 * context_mixing.SLOTS, np.int64), [])
+    one = context_mixing.bit_scores(model, [b"abc", b"", b"xyz w"])
+    two = context_mixing.bit_scores(model, [b"xyz w", b"abc", b""])
+    assert np.allclose(one, two[[1, 2, 0]]) and np.allclose(one[1], 8 * np.log10(0.5), atol=1e-6)
+
+
+def test_scoring_odd_rows(odd):
+    found = rows(context_mixing.score_texts(clash(odd), sample=5))
+    assert len(found) == 12 and all(r["score"] < 0 for r in found) and min(r["n_tokens"] for r in found) == 1
+    assert rows(context_mixing.score_texts(odd.limit(0))) == []
+
+
+# 10 repeated passages
+
+
+def plain_removal(table, length=200):
+    raw = [(i, (t or "").encode()) for i, t in table]
+    seen = collections.Counter(b[k : k + length] for _, b in raw for k in range(len(b) - length + 1))
+    out = []
+    for i, b in raw:
+        cover, end = bytearray(len(b)), 0
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                cover[max(k, end) : k + length] = b"\1" * (k + length - max(k, end))
+                end = max(end, k + length)
+        spans = sum(1 for z in range(len(b)) if cover[z] and not (z and cover[z - 1]))
+        out.append((i, len(b), sum(cover), spans, hashlib.sha256(bytes(x for x, c in zip(b, cover, strict=True) if not c)).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_repeats_removed(spark, docs, odd, hot):
+    line = ("The very common line of text that is a passage, in all documents, over and over again. " * 3)[:230]
+    made = [(10_000 + i, f"{i * 7919}" * (i % 30) + line + f" tail {i * 31337} " * 5) for i in range(30)]
+    table = docs.where("doc_id < 150").select("doc_id", "text").union(odd.where("doc_id != 5 OR doc_id IS NULL").select("doc_id", "text")).union(spark.createDataFrame([*made, (30_000, "a" * 900), (30_001, "ab" * 300)], "doc_id long, text string"))
+    found = suffix_dedup.remove_repeats(clash(table), hot=hot)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == plain_removal([(r["doc_id"], r["text"]) for r in table.collect()])
+
+
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_first_copies_stay(spark, hot):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = text(500)
+    table = [(i, text(rng.randint(0, 300)) + shared[: rng.randint(100, 500)] + text(rng.randint(0, 300))) for i in range(12)]
+    found = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(table, "doc_id long, text string"), keep="first", hot=hot, with_text=True).collect()}
+    seen = set()
+    for i, t in table:
+        b, cover = t.encode(), set()
+        for k in range(len(b) - 199):
+            if b[k : k + 200] in seen:
+                cover.update(range(k, k + 200))
+            seen.add(b[k : k + 200])
+        assert found[i] == bytes(x for z, x in enumerate(b) if z not in cover)
+
+
+def test_longest_previous_factors():
+    rng = random.Random(12)
+    for _ in range(50):
+        data = bytes(rng.choices(b"ab", k=rng.randint(0, 30)))
+        want = [max((next(n for n in range(len(data) - i + 1) if i + n == len(data) or data[j + n] != data[i + n]) for j in range(i)), default=0) for i in range(len(data))]
+        assert suffix_dedup.lpf(data) == want
+
+
+def test_anchors_cover_all_starts():
+    rng = np.random.default_rng(13)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    key, at, lo, hi = suffix_dedup.anchors(data, np.array([1200, 1300, 5000]))
+    starts = [s for a, b in zip(lo, hi, strict=True) for s in range(a, b + 1)]
+    assert starts == [*range(0, 1001), *range(1300, 4801)]
+    assert all(a <= p and p + 64 <= a + 200 for p, a in zip(at, hi, strict=True))
+
+
+def test_removal_odd_rows(odd):
+    found = rows(suffix_dedup.remove_repeats(odd))
+    assert len(found) == 12 and next(r for r in found if r["doc_id"] == 5)["n_spans"] == 1
+    assert rows(suffix_dedup.remove_repeats(odd.limit(0))) == []
+
+
+# The pipeline
+
+
+def test_pipeline(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, docs
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = common.stored(stage(spark, before, sf_dir), "test")
+        if i < 4:
+            assert after.columns == columns
+        ids = {r[0] for r in after.select("doc_id").collect()}
+        have = {r["doc_id"]: r["text"] for r in before.collect()}
+        assert ids <= set(have)
+        if i == 1:
+            assert len({have[x] for x in ids}) == len(set(have.values())) == len(ids)
+        if i == 2:
+            assert ids == set(plain_classes(sorted(have.items())).values())
+        if i == 4:
+            assert ids == set(have)
+        before = after
