@@ -99,11 +99,12 @@ class Words(dict):
     one or two pieces; these go to its model directly. All others take the whole tokenizer.
     """
 
-    most = 300_000
+    most = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.old: dict[bytes, bytes] = {}  # the generation before, so that words in use outlive a full cache
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         # Byte-level pieces write bytes as printable characters: those that print stand for themselves, the others follow from 256.
@@ -119,17 +120,22 @@ class Words(dict):
         return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        core = text[:-1] if text[-1] in ".,;:!?" else text
-        if core.isalpha() and (core.isascii() or (max(core) < "İ" and unicodedata.is_normalized("NFC", core))):
-            found = self.piece(core) if core is text else self[core.encode()] + self[text[-1].encode()]
-        else:
-            found = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.old.get(word)
+        if found is None:
+            found = self.encoded(word)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[word] = found
         return found
 
+    def encoded(self, word: bytes) -> bytes:
+        text = word.decode()
+        core = text[:-1] if text[-1] in ".,;:!?" else text
+        if core.isalpha() and (core.isascii() or (max(core) < "İ" and unicodedata.is_normalized("NFC", core))):
+            return self.piece(core) if core is text else self[core.encode()] + self[text[-1].encode()]
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 _words: dict[str, Words] = {}
 
