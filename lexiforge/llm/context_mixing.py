@@ -353,16 +353,18 @@ def bit_scores(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def _word_files(folder: str):
+    """Sorted hashes and their counts of a range of hashes, as one file."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
         for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
             counts.append(batch.column(1).to_numpy(zero_copy_only=False))
         if keys:
             k, n = np.concatenate(keys), np.concatenate(counts)
             order = np.argsort(k)
-            uri = f"{folder}/words-{TaskContext.get().partitionId():05d}"
-            write_whole(uri, [k[order].astype("<u8").tobytes(), n[order].astype("<i8").tobytes()])
+            uri = f"{folder}/words-{TaskContext.get().partitionId():06d}"
+            write_whole(uri, [k[order].astype("<i8").tobytes(), np.minimum(n[order], 2**32 - 1).astype("<u4").tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(k)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["path", "words", "tokens"])
 
     return run
@@ -379,16 +381,13 @@ def _model_at(uri: str) -> Model:
 
 
 def _counts_at(paths: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes in order, and their counts: the files hold ranges that follow one another."""
     key = "\n".join(paths)
     if key not in _loaded:
-        keys, counts = [], []
-        for p in paths:
-            raw = read_whole(p)
-            keys.append(np.frombuffer(raw, "<u8", len(raw) // 16))
-            counts.append(np.frombuffer(raw, "<i8", len(raw) // 16, len(raw) // 2))
-        k, n = (np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(k)
-        _loaded[key] = (k[order], np.minimum(n[order], 2**31 - 1).astype(np.uint32) if len(n) else n)
+        raw = [read_whole(p) for p in paths]
+        keys = np.concatenate([np.frombuffer(r, "<i8", len(r) // 12) for r in raw] or [np.zeros(0, np.int64)])
+        counts = np.concatenate([np.frombuffer(r, "<u4", len(r) // 12, len(r) // 12 * 8) for r in raw] or [np.zeros(0, np.uint32)])
+        _loaded[key] = (keys, counts)
     return _loaded[key]
 
 
@@ -409,7 +408,7 @@ def _score(model_at: str, word_paths: tuple[str, ...] | None):
                 known, sums = None, None
                 if word_paths is not None:
                     keys, counts = _counts_at(word_paths)
-                    unique, where = np.unique(np.concatenate(hashes), return_inverse=True)
+                    unique, where = np.unique(np.concatenate(hashes).view(np.int64), return_inverse=True)
                     at = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
                     c = (np.where(keys[at] == unique, counts[at], 0) if len(keys) else np.zeros(len(unique)))[where].astype(np.float64)
                     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -447,7 +446,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counted = stored(train.select("text").mapInArrow(_count, _COUNTED), "counted")
     folder = scratch(spark, "model")
     words = counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"))
-    files = stored(words.mapInArrow(_word_files(folder), "path string, words long, tokens long"), "words")
+    files = stored(words.repartitionByRange("key").mapInArrow(_word_files(folder), "path string, words long, tokens long"), "words")
     n_words, n_tokens = files.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     merged = counted.where("kind = 1").select("key", "cells").repartition("key").sortWithinPartitions("key").mapInArrow(_merge_segments, "key long, cells binary")
     table = np.zeros(-(-SLOTS // SEGMENT) * SEGMENT, np.uint32)
