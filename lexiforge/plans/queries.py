@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import mathtext, text, udfs
-from lexiforge.operators import chunking, cleaning, context, evaluate, retrieve, sections, state
+from lexiforge.operators import chunking, cleaning, context, evaluate, reports, retrieve, sections, state
+from lexiforge.sources import layout_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -468,3 +469,21 @@ def extractive_answers(spark, sf_dir):
     hits = _hits(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("qid", F.col("rank").alias("n"), "text")
     answers = context.extractive_answers(hits).withColumn("n_passages", F.lit(6))
     return context.checked_answers(answers).select("qid", "text", "cited", "refused", "uncited")
+
+
+@query(f"""WITH {LINES} SELECT source AS parser, count(*) AS blocks, sum(len(regexp_extract_all(line, '\\S+')))::BIGINT AS words,
+  round(avg((100 * length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) < 55 * length(regexp_replace(line, '\\s', '', 'g')) OR len(regexp_extract_all(line, '\\S+')) < 4)::INT), 6) AS junk_rate,
+  sum((length(line) - length(replace(line, '$', ''))) // 2)::BIGINT AS inline_formulas, 0::BIGINT AS latex_equations FROM lines GROUP BY source""")
+def parser_scores(spark, sf_dir):
+    """Lines as blocks, sources as parsers."""
+    docs = table(spark, sf_dir, "documents")
+    lines = cleaning.lines_of(docs).join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("parser")), "doc")
+    blocks = lines.select("parser", "doc", F.lit("text").alias("kind"), F.col("line").alias("text"), F.lit(None).cast("string").alias("latex"))
+    return reports.parser_scores(blocks)
+
+
+@query("""SELECT page_id::VARCHAR AS doc, n - 1 AS no, lower(regexp_extract(html, '^<(\\w+)', 1)) = 'p' AS paragraph FROM
+(SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li|table|nav)\\b[^>]*>.*?</(?:h[1-6]|p|li|table|nav)>')) AS html, generate_subscripts(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li|table|nav)\\b[^>]*>.*?</(?:h[1-6]|p|li|table|nav)>'), 1) AS n FROM pages)""")
+def html_blocks(spark, sf_dir):
+    rows = layout_json.html_blocks(table(spark, sf_dir, "pages"))
+    return long(rows.select("doc", "no", (F.coalesce("kind", F.lit("")) == "text").alias("paragraph")), "no")

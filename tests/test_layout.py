@@ -38,3 +38,22 @@ def test_plan(spark):
     assert [(r["n"], r["text"]) for r in chat.reused(found, chunks).orderBy("n").collect()] == [(1, "e"), (2, "c")]
     assert chat.lost(found, chat.reused(found, chunks)).isEmpty()
     assert [r["reply"] for r in chat.rule_reply(turns).orderBy("qid").limit(2).collect()] == ["SEARCH: MAPE?", "SAME"]
+
+
+def test_reports(spark):
+    from lexiforge.operators import reports
+
+    pages = spark.createDataFrame([("d", 1, "two"), ("d", 2, "two"), ("d", 3, "one")], "doc string, page int, layout string")
+    assert reports.layout_votes(pages, spark.createDataFrame([("d", "one")], "doc string, layout string")).first()["agrees"] is False
+    texts = spark.createDataFrame([("p", "d", "It was 1,025 – so")], "parser string, doc string, text string")
+    gold = spark.createDataFrame([("d", "1025"), ("d", "nothing")], "doc string, string string")
+    assert tuple(reports.gold_coverage(texts, gold).first())[1:] == (1, 2)
+    blocks = spark.createDataFrame([("d", "a"), ("d", "b"), ("e", "a")], "doc string, parser string")
+    assert [r["doc"] for r in reports.common_documents(blocks, ["a", "b"]).collect()] == ["d"]
+    estimate = reports.cost_estimate(spark.createDataFrame([("why?",)], "question string"), 1.0, 5.0, 3500)
+    assert reports.guarded(estimate, 1.0) > 0
+    try:
+        reports.guarded(estimate, 0.0)
+        raise AssertionError
+    except ValueError:
+        pass
