@@ -167,9 +167,11 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Repeated rows with the same id and text are one row, of which one copy stays (the first by its other
     columns' hash).
     """
-    digest, rest = free_name(df, "text_sha256"), free_name(df, "row_order")
+    digest, key, nth = free_name(df, "text_sha256"), free_name(df, "row_id"), free_name(df, "row_order")
+    # Ids without nulls on both sides, so that one shuffle of the texts serves the join and the window.
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
     kept = exact_dedup(df, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    rows = df.withColumn(digest, F.sha2(F.encode(text_of(text_col), "UTF-8"), 256))
-    rows = rows.join(kept, rows[digest].eqNullSafe(F.col("_kept_digest")) & rows[id_col].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    order = Window.partitionBy(id_col, digest).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]))
-    return rows.withColumn(rest, F.row_number().over(order)).where(F.col(rest) == 1).drop(digest, rest)
+    kept = kept.select(F.col("_kept_digest").alias(digest), known("_kept_id").alias(key))
+    rows = df.withColumns({digest: F.sha2(F.encode(text_of(text_col), "UTF-8"), 256), key: known(id_col)}).join(kept, [digest, key], "left_semi")
+    order = Window.partitionBy(digest, key).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]))
+    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*df.columns)
