@@ -1,4 +1,5 @@
 import difflib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,18 @@ def test_table_split():
     assert all(p.startswith("Table 9. Big (part ") and "| a | b |" in p for p in parts) and len(parts) > 1
 
 
+def test_table_split_keeps_all_tokens():
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    long_first = [[words("h", 700)], [words("a", 30)], [words("b", 30)]]
+    long_row = [["x", "y"], [words("r", 1300)], ["last", "row"]]
+    for caption, rows in (("T", [[words("h", 700)]]), ("T", long_first), ("T", long_row), ("T", [["h"]]), (words("c", 600), long_first), (words("c", 600), [])):
+        parts = split_table(caption, rows, 450)
+        text = "\n".join(parts).split()
+        assert all(len(re.findall(r"\w+|[^\w\s]", p)) <= 450 for p in parts)
+        assert {w for r in [[caption], *rows] for c in r for w in c.split()} <= set(text)
+    assert all("| x | y |" in p for p in split_table("T", long_row, 450))
+
+
 def test_overlap(spark):
     box = "struct<x0:double,y0:double,x1:double,y1:double>"
     frame = spark.createDataFrame([((0.0, 0.0, 10.0, 10.0), (2.0, 2.0, 4.0, 4.0)), ((0.0, 0.0, 1.0, 1.0), (5.0, 5.0, 6.0, 6.0))], f"a {box}, b {box}")
