@@ -1,49 +1,54 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A text is its lower-cased bytes and an end mark, coded bit by bit. Several predictors, each with another
-context (1, 2, 3 or 5 bytes, or the word so far), look up how often the bit was 0 and 1 in the training texts, in tables of fixed
-size reached by a hash. A logistic mixer adds their log-odds with weights from a set that a gate selects (the
+context (2, 3 or 5 bytes, or the word so far), look up how often the bit was 0 and 1 in the training texts, in a table that
+holds each context by its whole hash and grows with the corpus. A logistic mixer adds their log-odds with weights from a set that a gate selects (the
 bit's place and how many contexts are known), and an adaptive probability map refines the result. The sum of the bits'
 log-probabilities is the score.
 
-Learning is split so that it can be distributed. Tables are sums over all training texts, merged by segment.
+Learning is split so that it can be distributed. Counts are sums over all training texts, merged by ranges of hashes.
 Weights and map are learned online, step by step, over a bounded sample of training texts whose own counts are taken out
 first. Scoring leaves the model as it is, so a score depends on the text alone and not on what was scored before.
 """
 
 from __future__ import annotations
 
-import io
+import atexit
+import fcntl
+import os
+import shutil
+import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import scratch, stored, text_of
-from lexiforge.llm.shared_files import read_whole, write_whole
+from lexiforge.llm.common import scratch, small, stored, text_of
+from lexiforge.llm.shared_files import opened, read_whole, write_whole
 
 END = 0xFF  # no UTF-8 text has this byte
 PAD = 6  # end marks before each text, so that no context reaches another text
-#: Contexts and the bits of their tables' sizes.
+#: Contexts, and the bits of their tables' sizes where one array of fixed size holds them (small corpora, tests).
 ORDERS = (2, 3, 5)
 BITS = (20, 20, 22, 22)
 STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 SLOTS = int(STARTS[-1])
-SEGMENT = 1 << 16
+RANGES = 1 << 10  # of context hashes
 GATES = 8 * (len(BITS) + 1)
 BINS = 33
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def groups(data: np.ndarray) -> np.ndarray:
-    """For each context, byte and half byte the first of the 16 neighbouring slots that they pick: shape (contexts, n, 2)."""
+def hashes(data: np.ndarray) -> np.ndarray:
+    """For each context, byte and half byte a hash of 60 bits, followed by 4 zeros: shape (contexts, n, 2)."""
     n = len(data)
     x = data.astype(np.uint64)
     back = [np.concatenate([np.full(k, END, np.uint64), x[:-k]]) for k in range(1, max(ORDERS) + 1)]
@@ -59,18 +64,27 @@ def groups(data: np.ndarray) -> np.ndarray:
     space = (data <= 32) | (data == END)
     begin = np.concatenate([[0], np.maximum.accumulate(np.where(space, np.arange(1, n + 1), 0))[:-1]])
     contexts.append((upto[:-1] - upto[begin]) * inverse[begin])
-    out = np.empty((len(BITS), n, 2), np.int64)
+    out = np.empty((len(BITS), n, 2), np.uint64)
     half = ((x >> np.uint64(4)) + np.uint64(2)) * _ODD[4]
-    for i, (h, size) in enumerate(zip(contexts, BITS, strict=True)):
-        shift = np.uint64(64 - (size - 4))
+    for i, h in enumerate(contexts):
+        h = h + np.uint64((i + 1) * int(_ODD[1]) % (1 << 64))  # contexts share one table
         for k, g in enumerate((h * _ODD[2], (h ^ half) * _ODD[3])):
-            g >>= shift
-            g <<= np.uint64(4)
-            out[i, :, k] = g
-        out[i] += STARTS[i]
+            g ^= g >> np.uint64(32)
+            g *= _ODD[4]
+            g ^= g >> np.uint64(29)
+            out[i, :, k] = g & ~np.uint64(15)
     return out
 
 
+def groups(data: np.ndarray) -> np.ndarray:
+    """For each context, byte and half byte the first of 16 neighbouring slots, in tables of fixed size: shape (contexts, n, 2)."""
+    out = hashes(data)
+    for i, size in enumerate(BITS):
+        out[i] >>= np.uint64(64 - (size - 4))
+        out[i] <<= np.uint64(4)
+    return out.view(np.int64) + STARTS[:-1, None, None]
+
+
 _powers: list[np.ndarray] = []
 
 
@@ -160,15 +174,35 @@ def token_hashes(text: bytes) -> np.ndarray:
 _COUNTED = "kind int, key long, n long, cells binary"
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Sparse counts: gaps between filled cells, and their values."""
-    at = np.flatnonzero(counts)
-    return zlib.compress(np.diff(at, prepend=-1).astype("<u4").tobytes() + counts[at].astype("<u4").tobytes(), 1)
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as gaps, and their counts, both by place of byte."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(gaps.tobytes() + counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _unpacked(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(cells), "<u4")
-    return np.cumsum(raw[: len(raw) // 2].astype(np.int64)) - 1, raw[len(raw) // 2 :]
+    raw = np.frombuffer(zlib.decompress(cells), np.uint8).reshape(2, 8, -1).transpose(0, 2, 1)
+    gaps, counts = np.ascontiguousarray(raw).view("<u8")[..., 0]
+    return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
+
+
+class _Sums:
+    """Counts by key. What comes in waits until it is as much as what is held, so each key is merged few times."""
+
+    def __init__(self) -> None:
+        self.held, self.waiting, self.n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts))
+        self.n += len(keys)
+        if self.n > max(1_000_000, len(self.held[0])):
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            self.held = _merge_counts(self.held, tuple(np.concatenate(x) for x in zip(*self.waiting, strict=True)))
+            self.waiting, self.n = [], 0
+        return self.held
 
 
 def _merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,17 +214,27 @@ def _merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the task's texts: kind 0, counts by token; kind 1, by segment, how often each half byte followed each context."""
-    table = np.zeros(SLOTS, np.uint32)
-    tokens, waiting, n, seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0, False
+    """Of the task's texts: kind 0, counts by token; kind 1, by range of hashes, how often each half byte followed each context.
+
+    What a task holds is bounded: beyond that it hands on what it has and begins anew.
+    """
+    tokens, waiting, n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+    contexts, keys, n_keys = _Sums(), [], 0
 
     def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         nothing = pa.nulls(len(keys), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), nothing], names=["kind", "key", "n", "cells"])
 
+    def ranges(sums: _Sums) -> Iterator[pa.RecordBatch]:
+        all_, counts = sums.merged()
+        at = np.searchsorted(all_, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(54))
+        found = [(r, _packed(k, c)) for r, (k, c) in enumerate(zip(np.split(all_, at), np.split(counts, at), strict=True)) if len(k)]
+        if found:
+            names, cells = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(found), pa.int32()), pa.array(names, pa.int64()), pa.array([0] * len(found), pa.int64()), pa.array(cells, pa.binary())], names=["kind", "key", "n", "cells"])
+
     for batch in batches:
         texts = [x.as_buffer().to_pybytes() for x in batch.column(0)]
-        seen = seen or bool(texts)
         for text in texts:
             waiting.append(np.append(token_hashes(text), np.uint64(END_TOKEN)))
             n += len(waiting[-1])
@@ -202,35 +246,92 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     tokens = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for _, data, begins, ends in padded(texts):
             of = coded(len(data), begins, ends)
-            halves = np.stack([data[of] >> 4, data[of] & 15], axis=1)
-            np.add.at(table, (groups(data)[:, of] + halves).reshape(-1), np.uint32(1))
+            halves = np.stack([data[of] >> 4, data[of] & 15], axis=1).astype(np.uint64)
+            keys.append((hashes(data)[:, of] | halves).reshape(-1))
+            n_keys += len(keys[-1])
+            if n_keys > 3_000_000:
+                contexts.add(*np.unique(np.concatenate(keys), return_counts=True))
+                keys, n_keys = [], 0
+                if len(contexts.held[0]) > 2_000_000:
+                    yield from ranges(contexts)
+                    contexts = _Sums()
     if waiting:
         tokens = _merge_counts(tokens, np.unique(np.concatenate(waiting), return_counts=True))
     if len(tokens[0]):
         yield out(*tokens)
-    if seen:
-        for key in range(-(-SLOTS // SEGMENT)):
-            cells = _packed(table[key * SEGMENT : (key + 1) * SEGMENT])
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([key], pa.int64()), pa.array([0], pa.int64()), pa.array([cells], pa.binary())], names=["kind", "key", "n", "cells"])
+    if keys:
+        contexts.add(*np.unique(np.concatenate(keys), return_counts=True))
+    yield from ranges(contexts)
 
 
-def _merge_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the segments of one key, which come one after the other."""
-    last, total = None, np.zeros(SEGMENT, np.int64)
+def _context_files(folder: str):
+    """Sum the counts of one range of hashes, whose rows come one after the other, and write them as one file: hashes, log-odds and counts of half bytes."""
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([_packed(np.minimum(total, 2**31))], pa.binary())], names=["key", "cells"])
+    def out(key: int, sums: _Sums) -> pa.RecordBatch:
+        keys, counts = sums.merged()
+        groups_, where = np.unique(keys & ~np.uint64(15), return_inverse=True)
+        halves = np.zeros((len(groups_), 16), np.uint32)
+        halves[where, (keys & np.uint64(15)).astype(np.int64)] = np.minimum(counts, 2**32 // 16 - 1)
+        bits = bit_counts(halves.reshape(-1)).reshape(-1, 16, 2).astype(np.float32)
+        path = f"{folder}/contexts-{key:04d}"
+        write_whole(path, [groups_.astype("<u8").tobytes(), odds(bits[..., 0], bits[..., 1]).astype("<f2").tobytes(), halves.astype("<u4").tobytes()])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([path]), pa.array([len(groups_)], pa.int64())], names=["key", "path", "groups"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sums = None, _Sums()
+        for batch in batches:
+            for key, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key != last:
+                    if last is not None:
+                        yield out(last, sums)
+                    last, sums = key, _Sums()
+                sums.add(*_unpacked(cells.as_buffer()))
+        if last is not None:
+            yield out(last, sums)
+
+    return run
 
-    for batch in batches:
-        for key, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if key != last:
-                if last is not None:
-                    yield out()
-                last, total = key, np.zeros(SEGMENT, np.int64)
-            at, n = _unpacked(cells)
-            total[at] += n
-    if last is not None:
-        yield out()
+
+class Contexts:
+    """All contexts in the order of their hashes, in files that the processes of a host share. The last one stands for the unknown."""
+
+    def __init__(self, folder: str) -> None:
+        self.keys, self.starts, self.table, self.halves = (np.memmap(f"{folder}/{name}", kind, "r") for name, kind in (("keys", "<u8"), ("starts", "<i8"), ("odds", "<f2"), ("halves", "<u4")))
+        self.halves = self.halves.reshape(-1, 16)
+        self.shift = np.uint64(64 - (len(self.starts).bit_length() - 1))
+
+    def groups(self, data: np.ndarray) -> np.ndarray:
+        """As the function groups, with whole hashes compared: no two contexts share counts."""
+        h = hashes(data).reshape(-1)
+        at = np.take(self.starts, (h >> self.shift).view(np.int64))
+        found = np.take(self.keys, at)
+        left = np.flatnonzero(found < h)
+        while len(left):
+            at[left] += 1
+            found[left] = np.take(self.keys, at[left])
+            left = left[found[left] < h[left]]
+        at[found != h] = len(self.keys) - 1
+        return 16 * at.reshape(len(BITS), -1, 2)
+
+    def counts(self, groups_: np.ndarray) -> np.ndarray:
+        """(slot, bit) counts of the given groups: shape (groups, 16, 2)."""
+        return bit_counts(self.halves[groups_].reshape(-1)).reshape(-1, 16, 2)
+
+    @staticmethod
+    def join(folder: str, files: list[tuple[int, str, int]]) -> None:
+        """Write the files of all ranges (range, path, groups) as one of each kind, with the place where each cell of hashes starts, about two cells for a context."""
+        bits = max(RANGES.bit_length() - 1, sum(n for _, _, n in files).bit_length())
+        cells, done, of = (1 << bits) // RANGES, 0, {r: (path, n) for r, path, n in files}
+        with open(f"{folder}/keys", "wb") as keys, open(f"{folder}/starts", "wb") as starts, open(f"{folder}/odds", "wb") as odds_, open(f"{folder}/halves", "wb") as halves:
+            for r in range(RANGES):
+                path, n = of.get(r, (None, 0))
+                raw = memoryview(read_whole(path) if path else b"")
+                keys.write(raw[: 8 * n]), odds_.write(raw[8 * n : 40 * n]), halves.write(raw[40 * n :])
+                cell = (np.frombuffer(raw[: 8 * n], "<u8") >> np.uint64(64 - bits)).astype(np.int64) - r * cells
+                upto = np.cumsum(np.bincount(cell, minlength=cells))
+                starts.write((done + np.concatenate([[0], upto[:-1]])).astype("<i8").tobytes())
+                done += n
+            keys.write(b"\xff" * 8), odds_.write(bytes(32)), halves.write(bytes(64))
 
 
 def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -242,16 +343,7 @@ class Model:
     table: np.ndarray  # log-odds by slot; 0 where a context is unknown
     weights: np.ndarray  # by gate and context
     refine: np.ndarray  # by bits of the byte so far and bin: log-odds
-
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, table=self.table.astype(np.float16), weights=self.weights, refine=self.refine)
-        return out.getvalue()
-
-    @staticmethod
-    def load(data: bytes) -> Model:
-        with np.load(io.BytesIO(data)) as f:
-            return Model(f["table"].astype(np.float32), f["weights"], f["refine"])
+    groups: Callable[[np.ndarray], np.ndarray] = groups  # where the table has a text's contexts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -292,46 +384,61 @@ def refined(total: np.ndarray, node: np.ndarray, refine: np.ndarray) -> np.ndarr
     return (total + below + (np.take(flat, at + 1) - below) * up) / 2
 
 
-def fit(table: np.ndarray, texts: list[bytes], rate: float = 0.005, step: int = 2048, passes: int = 2) -> Model:
-    """Learn weights and map online over the texts, all of which are in the table's counts (slot, bit).
+def left_out(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, groups_of: Callable, counts_of: Callable) -> tuple[np.ndarray, ...]:
+    """Of each coded bit: log-odds by context, shape (contexts, bits), from which the counts of its own text are taken out; the bit, its place and the bits before it."""
+    of = coded(len(data), begins, ends)
+    bits, node = half_nodes(data[of])
+    of_text = (groups_of(data)[:, of] >> 4) * len(ends) + np.searchsorted(ends, of, side="right")[None, :, None]
+    own, where = np.unique(of_text, return_inverse=True)
+    where = where.reshape(of_text.shape) << 4
+    halves = np.stack([data[of] >> 4, data[of] & 15], axis=1)
+    own_counts = bit_counts(np.bincount((where + halves).reshape(-1), minlength=16 * len(own))).reshape(-1, 16, 2)
+    left = np.maximum(counts_of(own // len(ends)).astype(np.int64) - own_counts, 0).astype(np.float32)
+    x = np.take(odds(left[..., 0], left[..., 1]), (where[..., None] + node.reshape(-1, 2, 4)).reshape(len(BITS), -1))
+    return x, bits.reshape(-1), np.tile(np.arange(8), len(of)), nodes(bits).reshape(-1)
 
-    A text's own counts are taken out before it is predicted. Then steps of some bits, mixed over the texts, move the
-    weights by the gradient of the coding cost and the map towards what happened.
-    """
-    xs, ys, places, froms = [], [], [], []
-    for text in texts:
-        for _, data, begins, ends in padded([text]):
-            bits, at = slots(data)
-            of = coded(len(data), begins, ends)
-            at, bits = at[:, of].reshape(len(BITS), -1), bits[of]
-            y = bits.reshape(-1)
-            x = np.empty(at.shape, np.float32)
-            for c in range(len(BITS)):
-                _, where = np.unique(at[c], return_inverse=True)
-                own0, own1 = np.bincount(where, weights=1 - y), np.bincount(where, weights=y)
-                x[c] = odds(np.maximum(table[2 * at[c]] - own0[where], 0), np.maximum(table[2 * at[c] + 1] - own1[where], 0))
-            xs.append(x), ys.append(y), places.append(np.tile(np.arange(8), len(of))), froms.append(nodes(bits).reshape(-1))
-    weights = np.full((GATES, len(BITS)), 0.3, np.float32)
-    refine = np.tile(np.linspace(-12, 12, BINS, dtype=np.float32), (256, 1))
-    n0n1 = np.stack([_sigmoid(-refine), _sigmoid(refine)]) * 8.0  # the map as counts, begun at the identity
-    if xs:
-        x, y, place, node = np.concatenate(xs, axis=1), np.concatenate(ys), np.concatenate(places), np.concatenate(froms)
-        order = np.random.default_rng(7).permutation(len(y))
-        x, y, gate, node = x[:, order], y[order].astype(np.float32), gates(x, place)[order], node[order]
-        for turn in range(passes):
+
+class Learner:
+    """Weights and map, learned online: steps of some bits, mixed over the texts of a run, move the weights by the gradient of the coding cost; the map counts what happened."""
+
+    def __init__(self, weights: np.ndarray | None = None) -> None:
+        self.weights = np.full((GATES, len(BITS)), 0.3, np.float32) if weights is None else weights.copy()
+        self.seen = np.zeros(GATES)  # bits by gate
+        self.map = np.zeros((2, 256 * BINS))  # by bit: how often it came in each cell
+
+    def learn(self, texts: list[bytes], groups_of: Callable, counts_of: Callable, rate: float, step: int = 2048) -> None:
+        for _, data, begins, ends in padded(texts):
+            x, y, place, node = left_out(data, begins, ends, groups_of, counts_of)
+            order = np.random.default_rng(7).permutation(len(y))
+            x, y, gate, node = x[:, order], y[order].astype(np.float32), gates(x, place)[order], node[order]
+            total = np.empty(len(y), np.float32)
             for i in range(0, len(y), step):
                 s = slice(i, i + step)
-                total = mixed_odds(x[:, s], gate[s], weights)
-                off = y[s] - _sigmoid(total)
+                total[s] = mixed_odds(x[:, s], gate[s], self.weights)
+                off = rate * (y[s] - _sigmoid(total[s]))
                 for c in range(len(BITS)):
-                    np.add.at(weights[:, c], gate[s], rate / (1 + turn) * off * x[c, s])
-                if turn == passes - 1:
-                    low, up = bins(total)
-                    for shift, share in ((0, 1 - up), (1, up)):
-                        np.add.at(n0n1[0], (node[s], low + shift), share * (1 - y[s]))
-                        np.add.at(n0n1[1], (node[s], low + shift), share * y[s])
-        refine = np.log(n0n1[1] / n0n1[0]).astype(np.float32)
-    return Model(odds(table[0::2].astype(np.float32), table[1::2].astype(np.float32)), weights, refine)
+                    self.weights[:, c] += np.bincount(gate[s], off * x[c, s], GATES)
+            self.seen += np.bincount(gate, minlength=GATES)
+            low, up = bins(total)
+            for shift, share in ((0, 1 - up), (1, up)):
+                at = node * BINS + low + shift
+                self.map[0] += np.bincount(at, share * (1 - y), 256 * BINS)
+                self.map[1] += np.bincount(at, share * y, 256 * BINS)
+
+    def refine(self) -> np.ndarray:
+        """The map, begun at the identity."""
+        start = np.tile(np.linspace(-12, 12, BINS, dtype=np.float32), (256, 1))
+        n0, n1 = (8.0 * _sigmoid(sign * start) + n.reshape(256, BINS) for sign, n in zip((-1, 1), self.map, strict=True))
+        return np.log(n1 / n0).astype(np.float32)
+
+
+def fit(table: np.ndarray, texts: list[bytes], rate: float = 0.005, passes: int = 2) -> Model:
+    """Learn weights and map over the texts, all of which are in the counts (slot, bit) of a table of fixed size."""
+    counts, learner = table.reshape(-1, 16, 2), Learner()
+    for turn in range(passes):
+        learner = Learner(learner.weights)
+        learner.learn(texts, groups, counts.__getitem__, rate / (1 + turn))
+    return Model(odds(table[0::2].astype(np.float32), table[1::2].astype(np.float32)), learner.weights, learner.refine())
 
 
 def bit_scores(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -339,11 +446,11 @@ def bit_scores(model: Model, texts: list[bytes]) -> np.ndarray:
     scores = np.zeros(len(texts))
     place = np.arange(8, dtype=np.int32)[None, :]
     for of, data, begins, ends in padded(texts):
-        picked, total = groups(data), np.zeros(len(data))
+        picked, total = model.groups(data), np.zeros(len(data))
         for lo in range(0, len(data), 1 << 13):  # pieces that stay in the cache
             s = slice(lo, lo + (1 << 13))
             bits, half = half_nodes(data[s])
-            inputs = np.take(model.table, (picked[:, s, :, None] + half.reshape(-1, 2, 4)).reshape(len(BITS), -1, 8))
+            inputs = np.take(model.table, (picked[:, s, :, None] + half.reshape(-1, 2, 4)).reshape(len(BITS), -1, 8)).astype(np.float32)
             odds_ = refined(mixed_odds(inputs, gates(inputs, place), model.weights), nodes(bits), model.refine)
             odds_[bits == 1] *= -1  # of the other bit
             total[s] = -np.log1p(np.exp(odds_)).sum(axis=1, dtype=np.float64)
@@ -373,11 +480,60 @@ def _word_files(folder: str):
 _loaded: dict[str, object] = {}
 
 
-def _model_at(uri: str) -> Model:
-    if uri not in _loaded:
+def _contexts_at(folder: str, files: list[tuple[int, str, int]]) -> Contexts:
+    """The contexts in the files, joined once on each host: beside them where the shared folder is a local path, else by each process."""
+    if folder not in _loaded:
         _loaded.clear()
-        _loaded[uri] = Model.load(read_whole(uri))
-    return _loaded[uri]
+        system, path = opened(folder)
+        where = f"{path}/joined" if isinstance(system, fs.LocalFileSystem) else tempfile.mkdtemp(prefix="lexiforge-")
+        if not isinstance(system, fs.LocalFileSystem):
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        os.makedirs(where, exist_ok=True)
+        with open(f"{where}/lock", "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if not os.path.exists(f"{where}/done"):
+                Contexts.join(where, files)
+                open(f"{where}/done", "w").close()
+        _loaded[folder] = Contexts(where)
+    return _loaded[folder]
+
+
+_LEARNED = "weights binary, seen binary, map binary"
+
+
+def _learn(folder: str, files: list[tuple[int, str, int]], weights: np.ndarray | None, rate: float, passes: int = 1):
+    """What a learner makes of the task's texts. Several passes hold them together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, texts, some = Learner(weights), [], False
+        for batch in batches:
+            own = [x.as_buffer().to_pybytes() for x in batch.column(0)]
+            some = some or bool(own)
+            if own:
+                contexts = _contexts_at(folder, files)
+                learner.learn(own, contexts.groups, contexts.counts, rate)
+            texts += own if passes > 1 else []
+        for turn in range(1, passes if some else 1):
+            learner = Learner(learner.weights)
+            learner.learn(texts, contexts.groups, contexts.counts, rate / (1 + turn))
+        if some:
+            cols = [learner.weights.astype("<f4"), learner.seen.astype("<f8"), learner.map.astype("<f8")]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["weights", "seen", "map"])
+
+    return run
+
+
+def _merged(learned: DataFrame, weights: np.ndarray | None) -> Learner:
+    """One learner of all tasks' ones: weights averaged by the bits each saw at a gate, counts of the map summed. Read task by task."""
+    out, total = Learner(weights), np.zeros((GATES, len(BITS)))
+    for w, seen, map_ in learned.toLocalIterator():
+        seen = np.frombuffer(seen, "<f8")
+        total += np.frombuffer(w, "<f4").reshape(total.shape) * seen[:, None]
+        out.seen += seen
+        out.map += np.frombuffer(map_, "<f8").reshape(out.map.shape)
+    known = out.seen > 0
+    out.weights[known] = total[known] / out.seen[known, None]
+    return out
 
 
 def _counts_at(paths: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -394,12 +550,13 @@ def _counts_at(paths: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, known double, n_bytes long, score double"
 
 
-def _score(model_at: str, word_paths: tuple[str, ...] | None):
+def _score(folder: str, files: list[tuple[int, str, int]], weights: np.ndarray, refine: np.ndarray, word_paths: tuple[str, ...] | None):
     """known: the sum of log10(count + 1) over tokens, where the counts fit a task; else null, with the tokens' hashes left to a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            model = _model_at(model_at)
+            contexts = _contexts_at(folder, files)
+            model = Model(contexts.table, weights, refine, contexts.groups)
             texts = [x.as_buffer().to_pybytes() for x in batch.column(2)]
             for lo in range(0, len(texts), 1000):
                 own = texts[lo : lo + 1000]
@@ -433,9 +590,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     the empty text, a null text as empty; a text without words is its end mark alone. If nothing is left to
     learn from, all predictors are silent and each bit costs one bit. Repeated rows are scored as often as they come.
 
-    Plan: one pass over the training texts sums tokens and table cells in each task; both are merged by key.
-    The tables have a fixed size, whatever the corpus (42 MB of counts, sent compressed to the driver, which
-    learns the mixer from sample texts of up to sample_bytes each and total_bytes together, and back as a file of 21 MB). Token counts go to
+    Plan: one pass over the training texts sums tokens and contexts in each task; both are merged by key. The
+    contexts' counts are written by range of hashes and joined to files that tasks map into memory (104 bytes a context), so they
+    grow with the corpus. A task learns the mixer from sample texts of up to sample_bytes each and total_bytes together. Token counts go to
     files in the shared folder that tasks read while there are most_shipped tokens at most; beyond that,
     documents' tokens are joined with them.
     """
@@ -448,25 +605,22 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     words = counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"))
     files = stored(words.repartitionByRange("key").mapInArrow(_word_files(folder), "path string, words long, tokens long"), "words")
     n_words, n_tokens = files.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    merged = counted.where("kind = 1").select("key", "cells").repartition("key").sortWithinPartitions("key").mapInArrow(_merge_segments, "key long, cells binary")
-    table = np.zeros(-(-SLOTS // SEGMENT) * SEGMENT, np.uint32)
-    for key, cells in merged.toLocalIterator():  # SLOTS / SEGMENT rows
-        at, n = _unpacked(bytes(cells))
-        table[key * SEGMENT + at] = n
+    merged = counted.where("kind = 1").select("key", "cells").repartition("key").sortWithinPartitions("key").mapInArrow(_context_files(folder), "key long, path string, groups long")
+    contexts = sorted(tuple(r) for r in merged.collect())  # RANGES rows at most
     chosen = train.where(F.octet_length("text") <= sample_bytes).orderBy(F.xxhash64("text"), "doc_id").limit(sample).select("text").collect()
     chosen = [bytes(r[0]) for r in chosen]
-    chosen = [t for t, upto in zip(chosen, np.cumsum([len(t) for t in chosen]), strict=True) if upto <= total_bytes]
-    model_at = f"{folder}/mixer.npz"
-    write_whole(model_at, [fit(bit_counts(table[:SLOTS]), chosen).dump()])
+    chosen = [(t,) for t, upto in zip(chosen, np.cumsum([len(t) for t in chosen]), strict=True) if upto <= total_bytes]
+    learner = _merged(small(spark, chosen, "text binary").coalesce(1).mapInArrow(_learn(folder, contexts, None, 0.005, passes=2), _LEARNED), None)
+    model = (folder, contexts, learner.weights, learner.refine())
     ship = n_words <= most_shipped
     paths = tuple(sorted(r[0] for r in files.select("path").collect())) if ship else None  # a row for each shuffle partition
-    scored = rows.mapInArrow(_score(model_at, paths), _SCORED)
+    scored = rows.mapInArrow(_score(*model, paths), _SCORED)
     if not ship:
         digest = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
         keyed = rows.withColumn("digest", digest)
         tokens = keyed.select("digest", "text").mapInArrow(_doc_tokens, "digest binary, key long, times long").distinct()
         by_text = tokens.join(words, "key", "left").groupBy("digest").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known2"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("known2"))
-        scored = keyed.select("digest", "doc_id", "held_out", "text").mapInArrow(_with_digest(_score(model_at, None)), "digest binary, " + _SCORED)
+        scored = keyed.select("digest", "doc_id", "held_out", "text").mapInArrow(_with_digest(_score(*model, None)), "digest binary, " + _SCORED)
         scored = scored.join(by_text, "digest").withColumn("n_known", F.col("n_known2")).withColumn("known", F.col("known2"))
     base = F.col("known") - F.col("n_tokens") * float(np.log10(n_tokens + n_words + 1))
     return scored.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))

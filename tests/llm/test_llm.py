@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,6 +510,35 @@ def test_scoring_odd_rows(odd):
     assert rows(context_mixing.score_texts(odd.limit(0))) == []
 
 
+def contexts_of(folder, texts):
+    """Counted contexts of the texts, as tasks see them."""
+    counted = [r for b in context_mixing._count(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])])) for r in b.to_pylist() if r["kind"] == 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([r["key"] for r in counted], pa.int64()), pa.array([r["cells"] for r in counted], pa.binary())], names=["key", "cells"])
+    files = [tuple(r.values()) for b in context_mixing._context_files(folder)(iter([batch])) for r in b.to_pylist()]
+    return context_mixing._contexts_at(folder, files)
+
+
+def test_contexts_never_share_counts(tmp_path):
+    """As many groups as contexts, beyond what tables of fixed size hold; what was not seen is unknown."""
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=20_000)) for _ in range(20)]
+    contexts = contexts_of(str(tmp_path), texts)
+    five = collections.defaultdict(collections.Counter)
+    for t in texts:
+        coded = b"\xff" * 5 + t + b"\xff"
+        for i in range(5, len(coded)):
+            five[coded[i - 5 : i]][coded[i]] += 1
+    data = np.frombuffer(b"\xff" * context_mixing.PAD + b"".join(t + b"\xff" * (1 + context_mixing.PAD) for t in texts), np.uint8)
+    of = context_mixing.coded(len(data), *(np.array(x) for x in zip(*[(i * 20_007 + 6, i * 20_007 + 20_007) for i in range(20)], strict=True)))
+    order = context_mixing.ORDERS.index(5)
+    groups = contexts.groups(data)[order][of, 0]
+    assert len(five) > 300_000 and len(np.unique(groups)) == len(five)
+    halves = {i: contexts.halves[g // 16].sum() for i, g in zip(of[:2000], groups[:2000], strict=True)}
+    assert all(n == five[data[i - 5 : i].tobytes()].total() for i, n in halves.items())
+    unknown = contexts.groups(np.frombuffer(b"01234567", np.uint8))[order][6:]
+    assert (unknown == 16 * (len(contexts.keys) - 1)).all() and not contexts.halves[-1].any()
+
+
 # 10 repeated passages
 
 
