@@ -1,14 +1,15 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A text is its lower-cased bytes and an end mark, coded bit by bit. Several predictors, each with another
-context (2, 3 or 5 bytes, or the word so far), look up how often the bit was 0 and 1 in the training texts, in a table that
+context (1, 2, 3 or 5 bytes, or the word so far), look up how often the bit was 0 and 1 in the training texts, in a table that
 holds each context by its whole hash and grows with the corpus. A logistic mixer adds their log-odds with weights from a set that a gate selects (the
 bit's place and how many contexts are known), and an adaptive probability map refines the result. The sum of the bits'
 log-probabilities is the score.
 
 Learning is split so that it can be distributed. Counts are sums over all training texts, merged by ranges of hashes.
-Weights and map are learned online, step by step, over a bounded sample of training texts whose own counts are taken out
-first. Scoring leaves the model as it is, so a score depends on the text alone and not on what was scored before.
+Weights and map are learned online over all training texts, each text's own counts taken out first: tasks begin with
+weights from a sample, go through their texts step by step, and are merged by weighted averages and sums. Scoring leaves
+the model as it is, so a score depends on the text alone and not on what was scored before.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import scratch, small, stored, text_of
-from lexiforge.llm.shared_files import opened, read_whole, write_whole
+from lexiforge.llm.common import _remove, scratch, small, stored, text_of
+from lexiforge.llm.shared_files import opened, read_part, read_whole, write_whole
 
 END = 0xFF  # no UTF-8 text has this byte
 PAD = 6  # end marks before each text, so that no context reaches another text
 #: Contexts, and the bits of their tables' sizes where one array of fixed size holds them (small corpora, tests).
-ORDERS = (2, 3, 5)
-BITS = (20, 20, 22, 22)
+ORDERS = (1, 2, 3, 5)
+BITS = (18, 20, 20, 22, 22)
 STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 SLOTS = int(STARTS[-1])
 RANGES = 1 << 10  # of context hashes
@@ -121,7 +122,7 @@ def bit_counts(halves: np.ndarray) -> np.ndarray:
     for first in (8, 4, 2, 1):  # nodes with a leading 1, from the last bit to the first
         level = level.reshape(-1, first, 2)
         table[:, first : 2 * first] = level
-        level = level.sum(axis=2)
+        level = level[..., 0] + level[..., 1]
     return table.reshape(-1)
 
 
@@ -140,6 +141,16 @@ def padded(texts: list[bytes], most: int = 1 << 17) -> Iterator[tuple[list[int],
         yield of, np.frombuffer(b"".join(parts), np.uint8), np.array(begins), np.array(ends)
 
 
+def pieces(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, most: int = 1 << 17, back: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A run as it is, or where it is one long text windows on it, coded after some bytes of context; bounds memory."""
+    if len(data) <= 2 * most:
+        yield data, begins, ends
+        return
+    for lo in range(int(begins[0]), int(ends[-1]), most):
+        first, hi = max(0, lo - back), min(lo + most, int(ends[-1]))
+        yield data[first:hi], np.array([lo - first]), np.array([hi - first])
+
+
 def coded(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Positions that are coded: all but pads."""
     mark = np.zeros(n + 1, np.int8)
@@ -171,7 +182,7 @@ def token_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
 
 
-_COUNTED = "kind int, key long, n long, cells binary"
+_COUNTED = "kind int, key long, n long, path string, size long"
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -213,79 +224,82 @@ def _merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return keys[new], np.add.reduceat(n, new) if len(keys) else n
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the task's texts: kind 0, counts by token; kind 1, by range of hashes, how often each half byte followed each context.
+def _count(folder: str):
+    """Of the task's texts: kind 0, counts by token; kind 1, by range of hashes, the place in a file (n is the offset) of the counts how often each half byte followed each context.
 
-    What a task holds is bounded: beyond that it hands on what it has and begins anew.
+    What a task holds is bounded: beyond that it writes what it has and begins anew.
     """
-    tokens, waiting, n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
-    contexts, keys, n_keys = _Sums(), [], 0
 
-    def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        nothing = pa.nulls(len(keys), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), nothing], names=["kind", "key", "n", "cells"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, waiting, n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+        contexts, keys, n_keys, written = _Sums(), [], 0, 0
+
+        def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64())], names=["kind", "key", "n", "path", "size"])
+
+        def ranges(sums: _Sums, written: int) -> Iterator[pa.RecordBatch]:
+            all_, counts = sums.merged()
+            at = np.searchsorted(all_, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(54))
+            found = [(r, _packed(k, c)) for r, (k, c) in enumerate(zip(np.split(all_, at), np.split(counts, at), strict=True)) if len(k)]
+            if found:
+                names, cells = zip(*found, strict=True)
+                sizes = np.array([len(c) for c in cells])
+                task = TaskContext.get()
+                path = f"{folder}/counts-{task.partitionId() if task else 0:06d}-{written:04d}"
+                write_whole(path, list(cells))
+                yield pa.RecordBatch.from_arrays([pa.array([1] * len(found), pa.int32()), pa.array(names, pa.int64()), pa.array(np.cumsum(sizes) - sizes), pa.array([path] * len(found)), pa.array(sizes)], names=["kind", "key", "n", "path", "size"])
 
-    def ranges(sums: _Sums) -> Iterator[pa.RecordBatch]:
-        all_, counts = sums.merged()
-        at = np.searchsorted(all_, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(54))
-        found = [(r, _packed(k, c)) for r, (k, c) in enumerate(zip(np.split(all_, at), np.split(counts, at), strict=True)) if len(k)]
-        if found:
-            names, cells = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(found), pa.int32()), pa.array(names, pa.int64()), pa.array([0] * len(found), pa.int64()), pa.array(cells, pa.binary())], names=["kind", "key", "n", "cells"])
+        for batch in batches:
+            texts = [x.as_buffer().to_pybytes() for x in batch.column(0)]
+            for text in texts:
+                waiting.append(np.append(token_hashes(text), np.uint64(END_TOKEN)))
+                n += len(waiting[-1])
+                if n > 1_000_000:
+                    tokens = _merge_counts(tokens, np.unique(np.concatenate(waiting), return_counts=True))
+                    waiting, n = [], 0
+                    if len(tokens[0]) > 2_000_000:
+                        yield out(*tokens)
+                        tokens = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            for _, data, begins, ends in padded(texts):
+                of = coded(len(data), begins, ends)
+                halves = np.stack([data[of] >> 4, data[of] & 15], axis=1).astype(np.uint64)
+                keys.append((hashes(data)[:, of] | halves).reshape(-1))
+                n_keys += len(keys[-1])
+                if n_keys > 3_000_000:
+                    contexts.add(*np.unique(np.concatenate(keys), return_counts=True))
+                    keys, n_keys = [], 0
+                    if len(contexts.held[0]) > 4_000_000:
+                        yield from ranges(contexts, written)
+                        contexts, written = _Sums(), written + 1
+        if waiting:
+            tokens = _merge_counts(tokens, np.unique(np.concatenate(waiting), return_counts=True))
+        if len(tokens[0]):
+            yield out(*tokens)
+        if keys:
+            contexts.add(*np.unique(np.concatenate(keys), return_counts=True))
+        yield from ranges(contexts, written)
 
-    for batch in batches:
-        texts = [x.as_buffer().to_pybytes() for x in batch.column(0)]
-        for text in texts:
-            waiting.append(np.append(token_hashes(text), np.uint64(END_TOKEN)))
-            n += len(waiting[-1])
-            if n > 1_000_000:
-                tokens = _merge_counts(tokens, np.unique(np.concatenate(waiting), return_counts=True))
-                waiting, n = [], 0
-                if len(tokens[0]) > 2_000_000:
-                    yield out(*tokens)
-                    tokens = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for _, data, begins, ends in padded(texts):
-            of = coded(len(data), begins, ends)
-            halves = np.stack([data[of] >> 4, data[of] & 15], axis=1).astype(np.uint64)
-            keys.append((hashes(data)[:, of] | halves).reshape(-1))
-            n_keys += len(keys[-1])
-            if n_keys > 3_000_000:
-                contexts.add(*np.unique(np.concatenate(keys), return_counts=True))
-                keys, n_keys = [], 0
-                if len(contexts.held[0]) > 2_000_000:
-                    yield from ranges(contexts)
-                    contexts = _Sums()
-    if waiting:
-        tokens = _merge_counts(tokens, np.unique(np.concatenate(waiting), return_counts=True))
-    if len(tokens[0]):
-        yield out(*tokens)
-    if keys:
-        contexts.add(*np.unique(np.concatenate(keys), return_counts=True))
-    yield from ranges(contexts)
+    return run
 
 
 def _context_files(folder: str):
-    """Sum the counts of one range of hashes, whose rows come one after the other, and write them as one file: hashes, log-odds and counts of half bytes."""
+    """Sum the counts of one range of hashes, whose rows come one after the other, and write them as one file: hashes with half bytes, and counts."""
 
     def out(key: int, sums: _Sums) -> pa.RecordBatch:
         keys, counts = sums.merged()
-        groups_, where = np.unique(keys & ~np.uint64(15), return_inverse=True)
-        halves = np.zeros((len(groups_), 16), np.uint32)
-        halves[where, (keys & np.uint64(15)).astype(np.int64)] = np.minimum(counts, 2**32 // 16 - 1)
-        bits = bit_counts(halves.reshape(-1)).reshape(-1, 16, 2).astype(np.float32)
         path = f"{folder}/contexts-{key:04d}"
-        write_whole(path, [groups_.astype("<u8").tobytes(), odds(bits[..., 0], bits[..., 1]).astype("<f2").tobytes(), halves.astype("<u4").tobytes()])
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([path]), pa.array([len(groups_)], pa.int64())], names=["key", "path", "groups"])
+        write_whole(path, [keys.astype("<u8").tobytes(), np.minimum(counts, 2**31 // 16 - 1).astype("<u4").tobytes()])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([path]), pa.array([len(keys)], pa.int64())], names=["key", "path", "cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sums = None, _Sums()
         for batch in batches:
-            for key, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, path, begin, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != last:
                     if last is not None:
                         yield out(last, sums)
                     last, sums = key, _Sums()
-                sums.add(*_unpacked(cells.as_buffer()))
+                sums.add(*_unpacked(read_part(path, begin, size)))
         if last is not None:
             yield out(last, sums)
 
@@ -293,45 +307,60 @@ def _context_files(folder: str):
 
 
 class Contexts:
-    """All contexts in the order of their hashes, in files that the processes of a host share. The last one stands for the unknown."""
+    """How often each half byte followed each context, in the order of hashes, in files that the processes of a host share. The last entry stands for the unknown."""
 
     def __init__(self, folder: str) -> None:
-        self.keys, self.starts, self.table, self.halves = (np.memmap(f"{folder}/{name}", kind, "r") for name, kind in (("keys", "<u8"), ("starts", "<i8"), ("odds", "<f2"), ("halves", "<u4")))
-        self.halves = self.halves.reshape(-1, 16)
+        kind = "<u4" if os.path.getsize(f"{folder}/keys") < 8 << 32 else "<i8"
+        self.keys, self.starts, self.n = (np.memmap(f"{folder}/{name}", of, "r") for name, of in (("keys", "<u8"), ("starts", kind), ("counts", "<u4")))
         self.shift = np.uint64(64 - (len(self.starts).bit_length() - 1))
 
     def groups(self, data: np.ndarray) -> np.ndarray:
-        """As the function groups, with whole hashes compared: no two contexts share counts."""
+        """For each context, byte and half byte 16 times the place of its first entry. Whole hashes are compared: no two contexts share counts."""
         h = hashes(data).reshape(-1)
-        at = np.take(self.starts, (h >> self.shift).view(np.int64))
+        at = np.take(self.starts, (h >> self.shift).view(np.int64)).astype(np.int64)
         found = np.take(self.keys, at)
         left = np.flatnonzero(found < h)
         while len(left):
             at[left] += 1
             found[left] = np.take(self.keys, at[left])
             left = left[found[left] < h[left]]
-        at[found != h] = len(self.keys) - 1
+        at[found & ~np.uint64(15) != h] = len(self.keys) - 1
         return 16 * at.reshape(len(BITS), -1, 2)
 
-    def counts(self, groups_: np.ndarray) -> np.ndarray:
-        """(slot, bit) counts of the given groups: shape (groups, 16, 2)."""
-        return bit_counts(self.halves[groups_].reshape(-1)).reshape(-1, 16, 2)
+    def halves(self, places: np.ndarray) -> np.ndarray:
+        """Counts of the 16 half bytes after each context, given by the place of its first entry."""
+        out = np.zeros((len(places), 16), np.uint32)
+        left, at, key = np.arange(len(places)), places, np.take(self.keys, places)
+        group = key >> np.uint64(4)
+        while len(left):
+            out[left, (key & np.uint64(15)).view(np.int64)] = np.take(self.n, at)
+            at = np.minimum(at + 1, len(self.keys) - 1)
+            key = np.take(self.keys, at)
+            more = (key >> np.uint64(4) == group) & (at > places[left])
+            more &= at < len(self.keys) - 1
+            left, at, key, group = left[more], at[more], key[more], group[more]
+        return out
+
+    def counts(self, places: np.ndarray) -> np.ndarray:
+        """(slot, bit) counts: shape (places, 16, 2)."""
+        return bit_counts(self.halves(places).reshape(-1)).reshape(-1, 16, 2)
 
     @staticmethod
     def join(folder: str, files: list[tuple[int, str, int]]) -> None:
-        """Write the files of all ranges (range, path, groups) as one of each kind, with the place where each cell of hashes starts, about two cells for a context."""
-        bits = max(RANGES.bit_length() - 1, sum(n for _, _, n in files).bit_length())
+        """Write the files of all ranges (range, path, entries) as one of each kind, with the place where each cell of hashes starts, one or two cells for an entry."""
+        all_ = sum(n for _, _, n in files)
+        bits, kind = max(RANGES.bit_length() - 1, all_.bit_length()), "<u4" if 8 * (all_ + 1) < 8 << 32 else "<i8"
         cells, done, of = (1 << bits) // RANGES, 0, {r: (path, n) for r, path, n in files}
-        with open(f"{folder}/keys", "wb") as keys, open(f"{folder}/starts", "wb") as starts, open(f"{folder}/odds", "wb") as odds_, open(f"{folder}/halves", "wb") as halves:
+        with open(f"{folder}/keys", "wb") as keys, open(f"{folder}/starts", "wb") as starts, open(f"{folder}/counts", "wb") as counts:
             for r in range(RANGES):
                 path, n = of.get(r, (None, 0))
                 raw = memoryview(read_whole(path) if path else b"")
-                keys.write(raw[: 8 * n]), odds_.write(raw[8 * n : 40 * n]), halves.write(raw[40 * n :])
+                keys.write(raw[: 8 * n]), counts.write(raw[8 * n :])
                 cell = (np.frombuffer(raw[: 8 * n], "<u8") >> np.uint64(64 - bits)).astype(np.int64) - r * cells
                 upto = np.cumsum(np.bincount(cell, minlength=cells))
-                starts.write((done + np.concatenate([[0], upto[:-1]])).astype("<i8").tobytes())
+                starts.write((done + np.concatenate([[0], upto[:-1]])).astype(kind).tobytes())
                 done += n
-            keys.write(b"\xff" * 8), odds_.write(bytes(32)), halves.write(bytes(64))
+            keys.write(b"\xff" * 8), counts.write(bytes(4))
 
 
 def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -343,7 +372,18 @@ class Model:
     table: np.ndarray  # log-odds by slot; 0 where a context is unknown
     weights: np.ndarray  # by gate and context
     refine: np.ndarray  # by bits of the byte so far and bin: log-odds
-    groups: Callable[[np.ndarray], np.ndarray] = groups  # where the table has a text's contexts
+    contexts: Contexts | None = None  # in place of a table of fixed size
+
+    def looked_up(self, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Stretches of the data: the first position, the contexts' slots, and a table of them."""
+        picked = self.contexts.groups(data) if self.contexts else groups(data)
+        for lo in range(0, len(data), 1 << 17):
+            part, table = picked[:, lo : lo + (1 << 17)], self.table
+            if self.contexts:
+                own, where = np.unique(part, return_inverse=True)
+                counts = self.contexts.counts(own >> 4).astype(np.float32)
+                part, table = where.reshape(part.shape) << 4, odds(counts[..., 0], counts[..., 1]).reshape(-1)
+            yield lo, part, table
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -385,7 +425,7 @@ def refined(total: np.ndarray, node: np.ndarray, refine: np.ndarray) -> np.ndarr
 
 
 def left_out(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, groups_of: Callable, counts_of: Callable) -> tuple[np.ndarray, ...]:
-    """Of each coded bit: log-odds by context, shape (contexts, bits), from which the counts of its own text are taken out; the bit, its place and the bits before it."""
+    """Of each coded bit: log-odds by context, shape (contexts, bits), from which the counts of its own text (of a long one the piece) are taken out; the bit, its place and the bits before it."""
     of = coded(len(data), begins, ends)
     bits, node = half_nodes(data[of])
     of_text = (groups_of(data)[:, of] >> 4) * len(ends) + np.searchsorted(ends, of, side="right")[None, :, None]
@@ -393,7 +433,8 @@ def left_out(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, groups_of:
     where = where.reshape(of_text.shape) << 4
     halves = np.stack([data[of] >> 4, data[of] & 15], axis=1)
     own_counts = bit_counts(np.bincount((where + halves).reshape(-1), minlength=16 * len(own))).reshape(-1, 16, 2)
-    left = np.maximum(counts_of(own // len(ends)).astype(np.int64) - own_counts, 0).astype(np.float32)
+    left = counts_of(own // len(ends))
+    left = (np.maximum(left, own_counts) - own_counts).astype(np.float32)
     x = np.take(odds(left[..., 0], left[..., 1]), (where[..., None] + node.reshape(-1, 2, 4)).reshape(len(BITS), -1))
     return x, bits.reshape(-1), np.tile(np.arange(8), len(of)), nodes(bits).reshape(-1)
 
@@ -407,23 +448,26 @@ class Learner:
         self.map = np.zeros((2, 256 * BINS))  # by bit: how often it came in each cell
 
     def learn(self, texts: list[bytes], groups_of: Callable, counts_of: Callable, rate: float, step: int = 2048) -> None:
-        for _, data, begins, ends in padded(texts):
-            x, y, place, node = left_out(data, begins, ends, groups_of, counts_of)
-            order = np.random.default_rng(7).permutation(len(y))
-            x, y, gate, node = x[:, order], y[order].astype(np.float32), gates(x, place)[order], node[order]
-            total = np.empty(len(y), np.float32)
-            for i in range(0, len(y), step):
-                s = slice(i, i + step)
-                total[s] = mixed_odds(x[:, s], gate[s], self.weights)
-                off = rate * (y[s] - _sigmoid(total[s]))
-                for c in range(len(BITS)):
-                    self.weights[:, c] += np.bincount(gate[s], off * x[c, s], GATES)
-            self.seen += np.bincount(gate, minlength=GATES)
-            low, up = bins(total)
-            for shift, share in ((0, 1 - up), (1, up)):
-                at = node * BINS + low + shift
-                self.map[0] += np.bincount(at, share * (1 - y), 256 * BINS)
-                self.map[1] += np.bincount(at, share * y, 256 * BINS)
+        for _, *run in padded(texts):
+            for piece in pieces(*run):
+                self._step(*left_out(*piece, groups_of, counts_of), rate, step)
+
+    def _step(self, x: np.ndarray, y: np.ndarray, place: np.ndarray, node: np.ndarray, rate: float, step: int) -> None:
+        order = np.random.default_rng(7).permutation(len(y))
+        x, y, gate, node = x[:, order], y[order].astype(np.float32), gates(x, place)[order], node[order]
+        total = np.empty(len(y), np.float32)
+        for i in range(0, len(y), step):
+            s = slice(i, i + step)
+            total[s] = mixed_odds(x[:, s], gate[s], self.weights)
+            off = rate * (y[s] - _sigmoid(total[s]))
+            for c in range(len(BITS)):
+                self.weights[:, c] += np.bincount(gate[s], off * x[c, s], GATES)
+        self.seen += np.bincount(gate, minlength=GATES)
+        low, up = bins(total)
+        for shift, share in ((0, 1 - up), (1, up)):
+            at = node * BINS + low + shift
+            self.map[0] += np.bincount(at, share * (1 - y), 256 * BINS)
+            self.map[1] += np.bincount(at, share * y, 256 * BINS)
 
     def refine(self) -> np.ndarray:
         """The map, begun at the identity."""
@@ -446,14 +490,15 @@ def bit_scores(model: Model, texts: list[bytes]) -> np.ndarray:
     scores = np.zeros(len(texts))
     place = np.arange(8, dtype=np.int32)[None, :]
     for of, data, begins, ends in padded(texts):
-        picked, total = model.groups(data), np.zeros(len(data))
-        for lo in range(0, len(data), 1 << 13):  # pieces that stay in the cache
-            s = slice(lo, lo + (1 << 13))
-            bits, half = half_nodes(data[s])
-            inputs = np.take(model.table, (picked[:, s, :, None] + half.reshape(-1, 2, 4)).reshape(len(BITS), -1, 8)).astype(np.float32)
-            odds_ = refined(mixed_odds(inputs, gates(inputs, place), model.weights), nodes(bits), model.refine)
-            odds_[bits == 1] *= -1  # of the other bit
-            total[s] = -np.log1p(np.exp(odds_)).sum(axis=1, dtype=np.float64)
+        total = np.zeros(len(data))
+        for begin, picked, table in model.looked_up(data):
+            for lo in range(0, picked.shape[1], 1 << 13):  # pieces that stay in the cache
+                s = slice(begin + lo, min(begin + lo + (1 << 13), begin + picked.shape[1]))
+                bits, half = half_nodes(data[s])
+                inputs = np.take(table, (picked[:, lo : lo + (1 << 13), :, None] + half.reshape(-1, 2, 4)).reshape(len(BITS), -1, 8))
+                odds_ = refined(mixed_odds(inputs, gates(inputs, place), model.weights), nodes(bits), model.refine)
+                odds_[bits == 1] *= -1  # of the other bit
+                total[s] = -np.log1p(np.exp(odds_)).sum(axis=1, dtype=np.float64)
         sums = np.add.reduceat(total, np.stack([begins, ends], axis=1).reshape(-1)[: 2 * len(of) - 1])[::2]
         scores[of] = sums / np.log(10)
     return scores
@@ -494,6 +539,9 @@ def _contexts_at(folder: str, files: list[tuple[int, str, int]]) -> Contexts:
             if not os.path.exists(f"{where}/done"):
                 Contexts.join(where, files)
                 open(f"{where}/done", "w").close()
+                if isinstance(system, fs.LocalFileSystem):  # nobody reads them again
+                    for _, of, _ in files:
+                        system.delete_file(opened(of)[1])
         _loaded[folder] = Contexts(where)
     return _loaded[folder]
 
@@ -556,7 +604,7 @@ def _score(folder: str, files: list[tuple[int, str, int]], weights: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             contexts = _contexts_at(folder, files)
-            model = Model(contexts.table, weights, refine, contexts.groups)
+            model = Model(np.zeros(0, np.float32), weights, refine, contexts)
             texts = [x.as_buffer().to_pybytes() for x in batch.column(2)]
             for lo in range(0, len(texts), 1000):
                 own = texts[lo : lo + 1000]
@@ -591,8 +639,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     learn from, all predictors are silent and each bit costs one bit. Repeated rows are scored as often as they come.
 
     Plan: one pass over the training texts sums tokens and contexts in each task; both are merged by key. The
-    contexts' counts are written by range of hashes and joined to files that tasks map into memory (104 bytes a context), so they
-    grow with the corpus. A task learns the mixer from sample texts of up to sample_bytes each and total_bytes together. Token counts go to
+    contexts' counts are written by range of hashes and joined to files that tasks map into memory (16 to 20 bytes for each half byte that follows a context), so they
+    grow with the corpus. A task learns the mixer's first weights from sample texts of up to sample_bytes each and total_bytes together;
+    from there each task learns over all its training texts, so weights depend slightly on how the input is split. Token counts go to
     files in the shared folder that tasks read while there are most_shipped tokens at most; beyond that,
     documents' tokens are joined with them.
     """
@@ -600,17 +649,20 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     held = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % folds == fold
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.encode(text_of(text_col), "UTF-8").alias("text"))
     train = rows.where("NOT held_out")
-    counted = stored(train.select("text").mapInArrow(_count, _COUNTED), "counted")
-    folder = scratch(spark, "model")
+    folder, counts = scratch(spark, "model"), scratch(spark, "counts")
+    counted = stored(train.select("text").mapInArrow(_count(f"{counts}/of"), _COUNTED), "counted")
     words = counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"))
     files = stored(words.repartitionByRange("key").mapInArrow(_word_files(folder), "path string, words long, tokens long"), "words")
     n_words, n_tokens = files.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    merged = counted.where("kind = 1").select("key", "cells").repartition("key").sortWithinPartitions("key").mapInArrow(_context_files(folder), "key long, path string, groups long")
+    merged = counted.where("kind = 1").select("key", "path", "n", "size").repartition("key").sortWithinPartitions("key").mapInArrow(_context_files(folder), "key long, path string, cells long")
     contexts = sorted(tuple(r) for r in merged.collect())  # RANGES rows at most
+    _remove(spark, counts)
     chosen = train.where(F.octet_length("text") <= sample_bytes).orderBy(F.xxhash64("text"), "doc_id").limit(sample).select("text").collect()
     chosen = [bytes(r[0]) for r in chosen]
     chosen = [(t,) for t, upto in zip(chosen, np.cumsum([len(t) for t in chosen]), strict=True) if upto <= total_bytes]
     learner = _merged(small(spark, chosen, "text binary").coalesce(1).mapInArrow(_learn(folder, contexts, None, 0.005, passes=2), _LEARNED), None)
+    learned = stored(train.select("text").mapInArrow(_learn(folder, contexts, learner.weights, 0.0025), _LEARNED), "learned")
+    learner = _merged(learned, learner.weights)
     model = (folder, contexts, learner.weights, learner.refine())
     ship = n_words <= most_shipped
     paths = tuple(sorted(r[0] for r in files.select("path").collect())) if ship else None  # a row for each shuffle partition

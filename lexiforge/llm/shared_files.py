@@ -30,3 +30,9 @@ def read_whole(uri: str) -> bytes:
     system, path = opened(uri)
     with system.open_input_file(path) as f:
         return f.read()
+
+
+def read_part(uri: str, begin: int, size: int) -> bytes:
+    system, path = opened(uri)
+    with system.open_input_file(path) as f:
+        return f.read_at(size, begin)

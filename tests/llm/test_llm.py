@@ -512,9 +512,9 @@ def test_scoring_odd_rows(odd):
 
 def contexts_of(folder, texts):
     """Counted contexts of the texts, as tasks see them."""
-    counted = [r for b in context_mixing._count(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])])) for r in b.to_pylist() if r["kind"] == 1]
-    batch = pa.RecordBatch.from_arrays([pa.array([r["key"] for r in counted], pa.int64()), pa.array([r["cells"] for r in counted], pa.binary())], names=["key", "cells"])
-    files = [tuple(r.values()) for b in context_mixing._context_files(folder)(iter([batch])) for r in b.to_pylist()]
+    counted = [b for b in context_mixing._count(folder)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])])) if b.column(0)[0].as_py() == 1]
+    places = pa.Table.from_batches(counted).select(["key", "path", "n", "size"]).sort_by("key")
+    files = [tuple(r.values()) for b in context_mixing._context_files(folder)(iter(places.to_batches())) for r in b.to_pylist()]
     return context_mixing._contexts_at(folder, files)
 
 
@@ -533,10 +533,23 @@ def test_contexts_never_share_counts(tmp_path):
     order = context_mixing.ORDERS.index(5)
     groups = contexts.groups(data)[order][of, 0]
     assert len(five) > 300_000 and len(np.unique(groups)) == len(five)
-    halves = {i: contexts.halves[g // 16].sum() for i, g in zip(of[:2000], groups[:2000], strict=True)}
+    halves = {i: n for i, n in zip(of[:2000], contexts.halves(groups[:2000] // 16).sum(axis=1), strict=True)}
     assert all(n == five[data[i - 5 : i].tobytes()].total() for i, n in halves.items())
     unknown = contexts.groups(np.frombuffer(b"01234567", np.uint8))[order][6:]
-    assert (unknown == 16 * (len(contexts.keys) - 1)).all() and not contexts.halves[-1].any()
+    assert (unknown == 16 * (len(contexts.keys) - 1)).all() and not contexts.halves((unknown // 16).reshape(-1)).any()
+
+
+def test_learns_from_all_texts(spark, monkeypatch):
+    """No bound on texts: every bit of the training texts moves weights and map, those of long texts too."""
+    merged = []
+    monkeypatch.setattr(context_mixing, "_merged", lambda *a, of=context_mixing._merged: merged.append(of(*a)) or merged[-1])
+    rng = random.Random(6)
+    table = [(i, " ".join(rng.choices(("red", "green", "blue", "grey"), k=60_000 if i < 3 else 20_000))) for i in range(12)]
+    train = [t for i, t in table if zlib.crc32(str(i).encode()) % 7 != 2]
+    found = context_mixing.score_texts(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    bits = sum(8 * (len(t) + 1) for t in train)
+    assert merged[-1].seen.sum() == bits and math.isclose(merged[-1].map.sum(), bits, rel_tol=1e-6)
+    assert not np.allclose(merged[-1].weights, 0.3) and len(found) == 12 and 1 in context_mixing.ORDERS
 
 
 # 10 repeated passages
