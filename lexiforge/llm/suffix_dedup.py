@@ -1,11 +1,12 @@
-"""Removal of repeated passages with suffix order and longest-previous-factor arrays.
+"""Removal of repeated passages with suffix order of fixed length, which equals thresholding longest-previous-factor arrays.
 
 A passage is repeated where a string of 200 bytes also starts elsewhere. The suffixes of a whole corpus are
 never sorted together: two equal strings of 200 bytes choose the same 64 bytes in them (those with the least
 hash), so only strings that share this anchor can be equal. Each anchor stands for a run of starts; the bytes
 around it that these starts can reach are its context. Anchors that occur once are dropped, equal contexts
-become one, and the contexts of an anchor are put in suffix order, where previous and next smaller positions
-give for each start the longest match that starts earlier (LPF) and, with positions reversed, later.
+become one, and the starts in the contexts of an anchor are put in the order of their first 200 bytes, ties by
+position. Equal neighbours there are the starts whose longest match that starts earlier (LPF), or later, has 200 bytes
+or more; the LPF arrays themselves are not built.
 
 An anchor with very many different contexts is split: its starts are halved by their distance to the
 anchor, and each half gets a longer anchor, the bytes that all its starts share. After eight halvings the
