@@ -34,7 +34,7 @@ _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 
 
 class WordHashes(dict):
-    most = 500_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -88,7 +88,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     last = np.full(len(bags), np.inf)
     while len(seed):
         k += 1
-        a = mixed(seed + np.uint64(2 * k) * _STEP)
+        a = mixed(seed + np.uint64(2 * k * int(_STEP) % (1 << 64)))
         b = mixed(a + _STEP)
         time = time - np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (m * width)
         live = np.flatnonzero(time < last[doc])
@@ -110,7 +110,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _signer(bands: int, rows: int, chunk: int = 500_000):
+def _signer(bands: int, rows: int, chunk: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1), 0
@@ -136,41 +136,57 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))
 
 
-def _verifier(numerator: int, denominator: int):
+def packed(h: np.ndarray, c: np.ndarray) -> bytes:
+    """A bag as bytes: the number of shingles, their hashes, and their counts where one is above 1."""
+    return len(h).to_bytes(8, "little") + h.astype("<u8").tobytes() + (c.astype("<u4").tobytes() if len(c) and c.max() > 1 else b"")
+
+
+def unpacked(raw) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts, read in place."""
+    n = int.from_bytes(bytes(memoryview(raw)[:8]), "little")
+    h = np.frombuffer(raw, "<u8", n, 8)
+    return h, np.frombuffer(raw, "<u4", n, 8 + 8 * n) if len(raw) > 8 + 8 * n else np.ones(n, np.uint32)
+
+
+def _bagger(most: int = 1 << 22):
+    """From (digest, text): (digest, bag). A batch is given out in parts of bounded size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            out, n, begin = [], 0, 0
+            for i, text in enumerate(batch.column(1)):
+                out.append(packed(*bag(text.as_buffer().to_pybytes())))
+                n += len(out[-1])
+                if n > most or i + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[begin : i + 1], pa.array(out, pa.binary())], names=["digest", "bag"])
+                    out, n, begin = [], 0, i + 1
 
-        def bag_of(key: bytes, text) -> tuple[np.ndarray, np.ndarray]:
-            if key not in recent:
-                if len(recent) >= 64:
-                    recent.pop(next(iter(recent)))
-                recent[key] = bag(text.as_buffer().to_pybytes())
-            return recent[key]
+    return run
 
+
+def _verifier(numerator: int, denominator: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                (h1, c1), (h2, c2) = bag_of(x, batch.column(2)[i]), bag_of(y, batch.column(3)[i])
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                (h1, c1), (h2, c2) = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 n1, n2 = int(c1.sum()), int(c2.sum())
-                if denominator * min(n1, n2) < numerator * max(n1, n2):
-                    continue
                 if len(h1) > len(h2):
                     h1, c1, h2, c2 = h2, c2, h1, c1
                 at = np.minimum(np.searchsorted(h2, h1), len(h2) - 1)
                 both = int(np.minimum(c1, c2[at])[h2[at] == h1].sum())
                 if denominator * both >= numerator * (n1 + n2 - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of digests whose whole bags are similar enough; b is the more frequent side, so its text joins last and its bag is reused."""
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+def verified(pairs: DataFrame, bags: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of digests whose whole bags are similar enough."""
+    left = bags.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a"))
+    right = bags.select(F.col("digest").alias("b"), F.col("bag").alias("bag_b"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
     return both.mapInArrow(_verifier(*similarity), "a binary, b binary")
 
 
@@ -199,87 +215,111 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     return stored(found, name)
 
 
+class _Block:
+    """Members of a bucket side by side: hashes and counts of all bags in one array each."""
+
+    def __init__(self) -> None:
+        self.digests, self.labels, self.keys, self.bags = [], [], [], []
+
+    def add(self, digest: bytes, label: bytes, keys: np.ndarray, bag_: tuple[np.ndarray, np.ndarray]) -> None:
+        self.digests.append(digest)
+        self.labels.append(label)
+        self.keys.append(keys)
+        self.bags.append((bag_[0].copy(), bag_[1].copy()))  # the batch that they lie in goes
+
+    def close(self) -> None:
+        self.all_keys = np.array(self.keys)
+        self.lengths = np.array([len(h) for h, _ in self.bags])
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.sizes = np.array([int(c.sum()) for _, c in self.bags])
+        self.hashes, self.counts = (np.concatenate([b[k] for b in self.bags]) for k in (0, 1))
+
+
 def _compare(numerator: int, denominator: int):
-    """Over rows (group, side, digest, label, band, bands, text) in the order of group: links between members of different components.
+    """Over rows (group, side, digest, label, band, bands, bag) in the order of group and side: links between members of different components.
 
-    A group is two blocks of one bucket, or one block with itself. A pair is compared in the first band that it shares, so
-    in one task of all, and not at all once it is of one component.
+    A group is two blocks of one bucket (sides 1 and 2), or one block with itself (side 0). One block is held, the members of the
+    other pass by. A pair is compared in the first band that it shares, so in one task of all, and not at all once it is of one component.
     """
 
-    def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        bags = [bag(r[6]) for r in rows]
-        sizes = np.array([int(c.sum()) for _, c in bags])
-        root = {r[3]: r[3] for r in rows}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, group, closed, root = _Block(), None, False, {}
 
         def find(x: bytes) -> bytes:
+            root.setdefault(x, x)
             while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
 
-        left, right = [i for i, r in enumerate(rows) if r[1] < 2], np.array([i for i, r in enumerate(rows) if r[1] != 1])
-        if not len(right):
-            return
-        alone = len(left) == len(rows)  # side 0: one block with itself
-        keys = np.array([r[5] for r in rows], np.int64)
-        band = rows[0][4]
-        hashes, counts = np.concatenate([bags[i][0] for i in right]), np.concatenate([bags[i][1] for i in right])
-        of = np.repeat(np.arange(len(right)), [len(bags[i][0]) for i in right])
-        lengths = np.array([len(bags[i][0]) for i in right])
-        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        for i in left:
-            own = find(rows[i][3])
-            ok = denominator * np.minimum(sizes[right], sizes[i]) >= numerator * np.maximum(sizes[right], sizes[i])
-            ok &= ~(keys[right, :band] == keys[i, :band]).any(axis=1)
-            if alone:
-                ok &= right > i
-            which = [k for k in np.flatnonzero(ok) if find(rows[right[k]][3]) != own]
-            if not which:
-                continue
-            cells = np.concatenate([np.arange(begins[k], begins[k] + lengths[k]) for k in which])
-            h, c = bags[i]
-            at = np.minimum(np.searchsorted(h, hashes[cells]), len(h) - 1)
-            both = np.bincount(of[cells], weights=np.where(h[at] == hashes[cells], np.minimum(c[at], counts[cells]), 0), minlength=len(right)).astype(np.int64)
-            for k in which:
-                if denominator * both[k] >= numerator * (sizes[i] + sizes[right[k]] - both[k]):
-                    a, b = find(rows[i][3]), find(rows[right[k]][3])
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        yield rows[i][2], rows[right[k]][2]
-
-    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if found := list(links(rows)):
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        def links(digest: bytes, label: bytes, keys: np.ndarray, own: tuple[np.ndarray, np.ndarray], band: int, upto: int) -> Iterator[tuple[bytes, bytes]]:
+            h, c = own
+            size, mine = int(c.sum()), find(label)
+            sizes = block.sizes[:upto]
+            ok = denominator * np.minimum(sizes, size) >= numerator * np.maximum(sizes, size)
+            ok &= ~(block.all_keys[:upto, :band] == keys[:band]).any(axis=1)
+            which = np.array([k for k in np.flatnonzero(ok) if find(block.labels[k]) != mine], np.int64)
+            if not len(which):
+                return
+            lengths = block.lengths[which]
+            of = np.repeat(np.arange(len(which)), lengths)
+            cells = np.arange(len(of)) + np.repeat(block.begins[which] - (np.cumsum(lengths) - lengths), lengths)
+            at = np.minimum(np.searchsorted(h, block.hashes[cells]), len(h) - 1)
+            both = np.bincount(of, weights=np.where(h[at] == block.hashes[cells], np.minimum(c[at], block.counts[cells]), 0), minlength=len(which)).astype(np.int64)
+            for k in np.flatnonzero(denominator * both >= numerator * (size + sizes[which] - both)):
+                a, b = find(label), find(block.labels[which[k]])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    yield digest, block.digests[which[k]]
+
+        def alone(band: int) -> Iterator[tuple[bytes, bytes]]:
+            block.close()
+            for i in range(1, len(block.digests)):
+                yield from links(block.digests[i], block.labels[i], block.keys[i], block.bags[i], band, i)
+
+        def out(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        last = None  # side and band of the group at hand
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and row[0] != rows[0][0]:
-                    yield from out(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from out(rows)
+            found, bands, starts = [], batch.column(5).flatten().to_numpy(), batch.column(5).offsets.to_numpy() - batch.column(5).offsets[0].as_py()
+            sides, at_band = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            for i, g in enumerate(batch.column(0)):
+                if (g := g.as_py()) != group:
+                    if last and last[0] == 0:
+                        found += alone(last[1])
+                    block, group, closed, root = _Block(), g, False, {}
+                last = int(sides[i]), int(at_band[i])
+                row = batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), bands[starts[i] : starts[i + 1]], unpacked(batch.column(6)[i].as_buffer())
+                if last[0] < 2:
+                    block.add(row[0], row[1], row[2].copy(), row[3])
+                elif block.digests:
+                    if not closed:
+                        block.close()
+                        closed = True
+                    found += links(*row, last[1], len(block.digests))
+            if found:
+                yield out(found)
+        if last and last[0] == 0 and (found := list(alone(last[1]))):
+            yield out(found)
 
     return run
 
 
-def compared_blocks(members: DataFrame, texts: DataFrame, similarity: tuple[int, int], block: int = 256) -> DataFrame:
-    """Links (a, b) among members(band, key, n, digest, label, bands) of one bucket and different labels.
+def compared_blocks(members: DataFrame, bags: DataFrame, similarity: tuple[int, int], block: int = 256, cells: int = 250_000) -> DataFrame:
+    """Links (a, b) among members(band, key, n, total, digest, label, bands) of one bucket and different labels.
 
-    A bucket of n members is cut into n / block blocks by a hash, and each two blocks meet in a task: a member
-    goes to as many tasks as there are blocks, and a task holds two blocks, whatever the bucket's size.
+    A bucket of n members with total shingles is cut by a hash into blocks of some block members or cells shingles, and each two blocks meet
+    in a task: a member goes to as many tasks as there are blocks, and a task holds one block, whatever the bucket's size.
     """
-    blocks = F.ceil(F.col("n") / block)
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / cells))
     rows = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    rows = rows.select(F.struct("band", "key", low.alias("low"), high.alias("high")).alias("of"), side.alias("side"), "digest", "label", "band", "bands")
-    group = F.unhex(F.sha2(F.concat_ws(":", "of.band", "of.key", "of.low", "of.high"), 256))
-    full = rows.withColumn("group", group).join(texts, "digest").select("group", "side", "digest", "label", "band", "bands", "text")
-    return full.repartition("group").sortWithinPartitions("group", "digest").mapInArrow(_compare(*similarity), "a binary, b binary")
+    group = F.unhex(F.sha2(F.concat_ws(":", "band", "key", low, high), 256))
+    rows = rows.select(group.alias("group"), side.alias("side"), "digest", "label", "band", "bands")
+    full = rows.join(bags, "digest").select("group", "side", "digest", "label", "band", "bands", "bag")
+    return full.repartition("group").sortWithinPartitions("group", "side", "digest").mapInArrow(_compare(*similarity), "a binary, b binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -297,20 +337,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     inside = stored(members.join(shared, ["band", "key"]), "buckets")
     weight = inside.groupBy("digest").agg(F.sum("n").alias("weight"))
-    central = inside.join(weight, "digest").groupBy("band", "key").agg(F.max(F.struct("weight", "digest"))["digest"].alias("centre"))
-    star = inside.join(central, ["band", "key"]).where("digest != centre").select(F.col("digest").alias("a"), F.col("centre").alias("b"))
+    central = inside.join(weight, "digest").groupBy("band", "key").agg(F.max(F.struct("weight", "digest", "shingles")).alias("of")).select("band", "key", F.col("of.digest").alias("centre"), F.col("of.shingles").alias("of"))
+    alike = F.lit(similarity[1]) * F.least("shingles", "of") >= F.lit(similarity[0]) * F.greatest("shingles", "of")
+    star = inside.join(central, ["band", "key"]).where((F.col("digest") != F.col("centre")) & alike).select(F.col("digest").alias("a"), F.col("centre").alias("b"))
     star = stored(star.distinct(), "pairs")
     digest = digest_of(text_of(text_col))
     texts = df.select(digest.alias("digest"), F.encode(text_of(text_col), "UTF-8").alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    texts = stored(texts.join(inside.select("digest").distinct(), "digest", "left_semi"), "texts")
-    links = stored(verified(star, texts, similarity), "links")
+    texts = texts.join(inside.select("digest").distinct(), "digest", "left_semi")
+    bags = stored(texts.select("digest", "text").mapInArrow(_bagger(), "digest binary, bag binary"), "bags")
+    links = stored(verified(star, bags, similarity), "links")
     labels = components(links)
     # What is left: members of different components in one bucket, not yet compared.
     placed = inside.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    mixed_ = placed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high AND low IS NOT NULL").select("band", "key")
-    open_ = placed.join(mixed_, ["band", "key"], "left_semi").where("n > 2").select("band", "key", "n", "digest", "label")
+    mixed_ = placed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("shingles").alias("total")).where("low != high AND low IS NOT NULL").select("band", "key", "total")
+    open_ = placed.join(mixed_, ["band", "key"]).where("n > 2").select("band", "key", "n", "total", "digest", "label")
     open_ = stored(open_.join(unique.select("digest", "bands"), "digest"), "open")
-    more = stored(compared_blocks(open_, texts, similarity), "links")
+    more = stored(compared_blocks(open_, bags, similarity), "links")
     labels = components(links.union(more))
     classes = signed.select("doc_id", "digest").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     classes = classes.groupBy("label", "digest", "doc_id").agg(F.count("*").alias("times"))

@@ -257,15 +257,18 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(gaps)) < 0.01 and np.abs(gaps).max() < 0.1
 
 
-def test_blocks_find_all_links(spark):
+@pytest.mark.parametrize("sizes", [{"block": 8}, {"cells": 300}, {}])
+def test_blocks_find_all_links(spark, sizes):
     rng = random.Random(4)
     texts = [" ".join(f"w{j}" if rng.random() > 0.02 * (i % 4) else f"y{i}{j}" for j in range(60)) for i in range(40)]
     bags = [near_dedup.bag(t.encode()) for t in texts]
     keys = near_dedup.band_keys(near_dedup.signatures(bags, 160), 32, 5)
     digests = [hashlib.sha256(t.encode()).digest()[:16] for t in texts]
-    members = [(0, 1, 40, bytearray(d), bytearray(d), [int(x) for x in k]) for d, k in zip(digests, keys, strict=True)]
-    table = spark.createDataFrame(members, "band int, key long, n long, digest binary, label binary, bands array<long>")
-    links = near_dedup.compared_blocks(table, spark.createDataFrame([(bytearray(d), bytearray(t.encode())) for d, t in zip(digests, texts, strict=True)], "digest binary, text binary"), (4, 5), block=8)
+    total = sum(int(c.sum()) for _, c in bags)
+    members = [(0, 1, 40, total, bytearray(d), bytearray(d), [int(x) for x in k]) for d, k in zip(digests, keys, strict=True)]
+    table = spark.createDataFrame(members, "band int, key long, n long, total long, digest binary, label binary, bands array<long>")
+    held = spark.createDataFrame([(bytearray(d), bytearray(near_dedup.packed(*b))) for d, b in zip(digests, bags, strict=True)], "digest binary, bag binary")
+    links = near_dedup.compared_blocks(table, held, (4, 5), **sizes)
     root = {d: d for d in digests}
 
     def find(x):
