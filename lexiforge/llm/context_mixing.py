@@ -1,689 +1,569 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-A text is its lower-cased bytes and an end mark, coded bit by bit. Several predictors, each with another
-context (1, 2, 3 or 5 bytes, or the word so far), look up how often the bit was 0 and 1 in the training texts, in a table that
-holds each context by its whole hash and grows with the corpus. A logistic mixer adds their log-odds with weights from a set that a gate selects (the
-bit's place and how many contexts are known), and an adaptive probability map refines the result. The sum of the bits'
-log-probabilities is the score.
-
-Learning is split so that it can be distributed. Counts are sums over all training texts, merged by ranges of hashes.
-Weights and map are learned online over all training texts, each text's own counts taken out first: tasks begin with
-weights from a sample, go through their texts step by step, and are merged by weighted averages and sums. Scoring leaves
-the model as it is, so a score depends on the text alone and not on what was scored before.
+"""Language-model scores by logistic mixing of hashed-context bit predictors, over units that recur.
+
+A text's units (bit_mixer) are coded one after the other. The bits of a unit depend on the unit alone, so each
+different unit of the corpus is coded once, by the mixer of bit predictors, and not once for each time it comes.
+In a text, three predictions of the next unit are weighed: that mixer's; how often the unit followed the one before in the
+training texts; and how often it came in this text so far. Weights are picked by a gate: how well the unit before is
+known, how many of the last three units were foreseen by the one before them, and whether the unit before had
+come earlier in the text. So a text's state begins afresh and adapts as it is read, and its score depends on
+nothing that is scored beside it. The sum of the logarithms is the text's log-probability.
+
+All learning is over all training texts, each text's own counts taken out first. The mixer's weights are learned
+online over units that weigh as often as they came, the gates' weights by expectation-maximisation in parts;
+tasks' results are merged by averages weighted by what each saw, and by sums.
+
+Nothing that grows with the corpus is held whole anywhere. Texts are cut into parts of bounded size. What a
+part needs to know of the corpus (its units' costs, its pairs' and words' counts) it asks of ranges: blocks of
+keys go from parts to ranges, are summed there, and the answers come back.
 """
 
 from __future__ import annotations
 
-import atexit
-import fcntl
-import os
-import shutil
-import tempfile
-import zlib
+import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import _remove, scratch, small, stored, text_of
-from lexiforge.llm.shared_files import opened, read_part, read_whole, write_whole
-
-END = 0xFF  # no UTF-8 text has this byte
-PAD = 6  # end marks before each text, so that no context reaches another text
-#: Contexts, and the bits of their tables' sizes where one array of fixed size holds them (small corpora, tests).
-ORDERS = (1, 2, 3, 5)
-BITS = (18, 20, 20, 22, 22)
-STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
-SLOTS = int(STARTS[-1])
-RANGES = 1 << 10  # of context hashes
-GATES = 8 * (len(BITS) + 1)
-BINS = 33
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-
-
-def hashes(data: np.ndarray) -> np.ndarray:
-    """For each context, byte and half byte a hash of 60 bits, followed by 4 zeros: shape (contexts, n, 2)."""
-    n = len(data)
-    x = data.astype(np.uint64)
-    back = [np.concatenate([np.full(k, END, np.uint64), x[:-k]]) for k in range(1, max(ORDERS) + 1)]
-    contexts, h = [], np.zeros(n, np.uint64)
-    for k, b in enumerate(back, 1):
-        h = (h + b + np.uint64(1)) * _ODD[0]
-        h ^= h >> np.uint64(29)
-        if k in ORDERS:
-            contexts.append(h)
-    # The word so far: a polynomial over the bytes since the last separator, shifted to start at power 0.
-    power, inverse = powers(n)
-    upto = np.concatenate([[np.uint64(0)], np.cumsum((x + np.uint64(1)) * power[:-1])])
-    space = (data <= 32) | (data == END)
-    begin = np.concatenate([[0], np.maximum.accumulate(np.where(space, np.arange(1, n + 1), 0))[:-1]])
-    contexts.append((upto[:-1] - upto[begin]) * inverse[begin])
-    out = np.empty((len(BITS), n, 2), np.uint64)
-    half = ((x >> np.uint64(4)) + np.uint64(2)) * _ODD[4]
-    for i, h in enumerate(contexts):
-        h = h + np.uint64((i + 1) * int(_ODD[1]) % (1 << 64))  # contexts share one table
-        for k, g in enumerate((h * _ODD[2], (h ^ half) * _ODD[3])):
-            g ^= g >> np.uint64(32)
-            g *= _ODD[4]
-            g ^= g >> np.uint64(29)
-            out[i, :, k] = g & ~np.uint64(15)
-    return out
-
-
-def groups(data: np.ndarray) -> np.ndarray:
-    """For each context, byte and half byte the first of 16 neighbouring slots, in tables of fixed size: shape (contexts, n, 2)."""
-    out = hashes(data)
-    for i, size in enumerate(BITS):
-        out[i] >>= np.uint64(64 - (size - 4))
-        out[i] <<= np.uint64(4)
-    return out.view(np.int64) + STARTS[:-1, None, None]
-
-
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of a multiplier and of its inverse modulo 2^64, kept for the next call."""
-    if not _powers or len(_powers[0]) <= n:
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 18), np.uint64(b))])) for b in (int(_ODD[1]), pow(int(_ODD[1]), -1, 1 << 64))]
-    return _powers[0][: n + 1], _powers[1][: n + 1]
-
-
-def half_nodes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of each byte, and at each bit those of its half byte so far, with a leading 1."""
-    bits = np.unpackbits(data).reshape(-1, 8)
-    node = np.ones((len(data), 8), np.int64)
-    for k in (1, 2, 3):
-        node[:, k] = 2 * node[:, k - 1] + bits[:, k - 1]
-        node[:, k + 4] = 2 * node[:, k + 3] + bits[:, k + 3]
-    return bits, node
-
-
-def slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte its 8 bits, and for each bit the slot in each table: shapes (n, 8) and (contexts, n, 8).
-
-    Of the 16 slots that a context and a half byte pick, the bits of the half seen so far choose one.
-    """
-    bits, node = half_nodes(data)
-    return bits, (groups(data)[..., None] + node.reshape(-1, 2, 4)).reshape(len(BITS), len(data), 8)
+from lexiforge.llm.bit_mixer import END, GATES, PREDICTORS, UNIT, Learner, Low, Units, coded, cut, grouped, identity, learned, mixed, packed, pieces_of, unit_costs, unpacked
+from lexiforge.llm.common import release, scratch, stored, text_of
+from lexiforge.llm.shared_files import read_whole, write_whole
+
+#: Bounds of a part: units, different units, and texts. With one window of a text more, places fit 22 bits and units 20.
+MOST, MOST_UNITS, MOST_TEXTS = 1_800_000, 350_000, 1 << 17
+_UNIT_BITS, _PLACE_BITS = np.uint64(20), np.uint64(22)
+#: Different units of a range, and keys of one, that a task takes at a time.
+RANGE_UNITS, RANGE_KEYS = 250_000, 2_000_000
+#: Classes of the count of the unit before; with 4 of foreseen units and 2 of recurring ones they make the gates of a text.
+BEFORE = np.array([1, 2, 8, 64, 1024])
+TEXT_GATES = (len(BEFORE) + 1) * 4 * 2
+_START = np.array([0.6, 0.3, 0.1])
+#: Fixed value: in place of a word, the end of a text. No word has a blank in it.
+END_WORD = b" "
+
+
+class _Index(dict):
+    """Units by place. A long piece has none: it must be cut."""
+
+    def __missing__(self, piece: bytes) -> int:
+        if len(piece) >= UNIT:
+            return -1
+        self[piece] = n = len(self)
+        return n
+
+
+class _Part:
+    """Some texts, as places of units in a list of their own."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.index, self.words, self.n = path, _Index(), {}, 0
+        self.ids, self.rows, self.extra = [], [], []  # extra: (row, word) of words in long pieces
+
+    def add(self, row: tuple, pieces: list[bytes], before: bytes, last: bool) -> bytes:
+        """A stretch of a text, after the unit `before`; returns the last unit as a key."""
+        ids = list(map(self.index.__getitem__, pieces))
+        key = pieces[-1] if pieces else before
+        if min(ids, default=0) < 0:
+            ids = []
+            for piece in pieces:
+                if len(piece) < UNIT:
+                    ids.append(self.index[piece])
+                    key = piece
+                    continue
+                self.extra += [(len(self.rows), self.words.setdefault(w, len(self.words))) for w in piece.split()]
+                for unit in cut(piece):
+                    key = b"\xfe" + unit if len(unit) == UNIT else unit  # not the key of a piece as long, which is cut further
+                    ids.append(self.index.setdefault(key, len(self.index)))
+        if last:
+            ids.append(self.index[END])
+        self.rows.append((*row, len(ids), self.index[before] if len(before) < UNIT else self.index.setdefault(before, len(self.index))))
+        self.ids.append(np.array(ids, np.uint32))
+        self.n += len(ids)
+        return key
+
+    def full(self) -> bool:
+        return self.n >= MOST or len(self.index) >= MOST_UNITS or len(self.rows) >= MOST_TEXTS
+
+    def closed(self, part: int) -> pa.RecordBatch:
+        ids = np.concatenate(self.ids)
+        doc_ids, held, n_bytes, of_part, of_row, lengths, before = (np.array(x) for x in zip(*self.rows, strict=True))
+        train = np.repeat(~held, lengths)
+        times = np.bincount(ids[train], minlength=len(self.index))
+        units, of_unit, of_word = [], [], []
+        for i, u in enumerate(self.index):
+            long_ = u[:1] == b"\xfe"
+            units.append(u[1:] if long_ else coded(u))
+            found = [END_WORD] if u == END else () if long_ else u.split()
+            for w in found:
+                of_unit.append(i)
+                of_word.append(self.words.setdefault(w, len(self.words)))
+        # The tail of a cut piece is a unit like others, but its words were counted with the piece.
+        of_unit, of_word = np.array(of_unit, np.int64), np.array(of_word, np.int64)
+        row, word = (np.array(x, np.int64) for x in zip(*self.extra, strict=True)) if self.extra else (np.zeros(0, np.int64),) * 2
+        counts = np.bincount(of_word, times[of_unit], len(self.words)) + np.bincount(word[~held[row]], minlength=len(self.words))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units))
+        blob = b"".join(units)
+        raw = packed(
+            ids=ids, lengths=lengths, before=before.astype(np.uint32), doc_ids=doc_ids, held=held, n_bytes=n_bytes, of_part=of_part, of_row=of_row,
+            unit_lengths=np.array([len(u) for u in units], np.uint8), unit_bytes=np.frombuffer(blob, np.uint8), times=times, keys=keys,
+            of_unit=of_unit.astype(np.uint32), of_word=of_word.astype(np.uint32), words=hashes, word_times=counts.astype(np.int64), extra_row=row, extra_word=word,
+        )
+        write_whole(self.path, [raw])
+        ends = int((ids[train] == self.index[END]).sum()) if END in self.index else 0
+        cols = [[part], [self.path], [len(ids)], [len(units)], [int(counts.sum())], [ends]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["part", "path", "units", "different", "tokens", "texts"])
+
+
+_PARTS = "part long, path string, units long, different long, tokens long, texts long"
+
+
+def _cut_parts(folder: str):
+    """From (doc_id, held_out, task, text): files of parts, and a row for each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, task = None, 0, 0
+        for batch in batches:
+            ids, held = batch.column(0), batch.column(1).to_pylist()
+            task = batch.column(2)[0].as_py() if len(batch) else task
+            for i, text in enumerate(batch.column(3)):
+                raw, before, uid = text.as_buffer().to_pybytes(), END, None
+                for pieces, last in _with_last(pieces_of(raw)):
+                    if part is None:
+                        own = task << 24 | number
+                        part, number = _Part(f"{folder}/part-{own:012d}"), number + 1
+                    first = uid is None
+                    uid = uid or (own, len(part.rows))
+                    # A null id is marked by the least long, which no join or sum looks at.
+                    doc = ids[i].as_py()
+                    before = part.add((-(2**63) if doc is None else doc, held[i], len(raw) if first else 0, *uid), pieces, before, last)
+                    if part.full():
+                        yield part.closed(own)
+                        part = None
+        if part is not None:
+            yield part.closed(own)
 
-def bit_counts(halves: np.ndarray) -> np.ndarray:
-    """(slot, bit) counts from counts of the half bytes that followed each context (16 for each group of slots)."""
-    table = np.zeros((len(halves) // 16, 16, 2), np.uint32)
-    level = halves.reshape(-1, 16)
-    for first in (8, 4, 2, 1):  # nodes with a leading 1, from the last bit to the first
-        level = level.reshape(-1, first, 2)
-        table[:, first : 2 * first] = level
-        level = level[..., 0] + level[..., 1]
-    return table.reshape(-1)
+    return run
 
 
-def padded(texts: list[bytes], most: int = 1 << 17) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of whole texts as one array: (indices, bytes with pads and end marks, first coded position, end) of each. A text longer than most is a run of its own."""
-    at = 0
-    while at < len(texts):
-        parts, begins, ends, n, of = [], [], [], 0, []
-        while at < len(texts) and (not of or n + len(texts[at]) < most):
-            parts.append(bytes([END]) * PAD + texts[at].translate(_LOWER) + bytes([END]))
-            begins.append(n + PAD)
-            n += len(parts[-1])
-            ends.append(n)
-            of.append(at)
-            at += 1
-        yield of, np.frombuffer(b"".join(parts), np.uint8), np.array(begins), np.array(ends)
+def _with_last(items: Iterator) -> Iterator[tuple]:
+    kept = None
+    for x in items:
+        if kept is not None:
+            yield kept, False
+        kept = x
+    yield kept, True
 
 
-def pieces(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, most: int = 1 << 17, back: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A run as it is, or where it is one long text windows on it, coded after some bytes of context; bounds memory."""
-    if len(data) <= 2 * most:
-        yield data, begins, ends
-        return
-    for lo in range(int(begins[0]), int(ends[-1]), most):
-        first, hi = max(0, lo - back), min(lo + most, int(ends[-1]))
-        yield data[first:hi], np.array([lo - first]), np.array([hi - first])
+def _binary(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
 
 
-def coded(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Positions that are coded: all but pads."""
-    mark = np.zeros(n + 1, np.int8)
-    mark[begins] += 1
-    np.subtract.at(mark, ends, 1)
-    return np.flatnonzero(np.cumsum(mark[:-1]))
+def _flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+    return np.diff(offsets).astype(np.uint8), np.frombuffer(array.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
 
 
-def _bytes_and_words(text: bytes) -> list[bytes]:
-    return text.translate(_LOWER).split()
+def _order(ranges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of ranges, and where each range ends."""
+    order = np.argsort(ranges.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
+    return order, np.cumsum(np.bincount(ranges, minlength=n))
 
 
-class _Hash(dict):
-    most = 400_000
+def _unit_order(p: dict[str, np.ndarray], n: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A part's units, and their order by a hash of their first three bytes."""
+    units = _binary(p["unit_lengths"], p["unit_bytes"])
+    ranges = (mixed(Units(units, p["times"]).heads().astype(np.uint64)) >> np.uint64(20)) % np.uint64(n)
+    return units, *_order(ranges.astype(np.int64), n)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _pairs(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of each place, in the order of pairs of a unit and the one before: the place, and the pair's number; of each pair its key; of each place, in order, the unit before and the row."""
+    ids, lengths = p["ids"].astype(np.uint64), p["lengths"]
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    begins = np.cumsum(lengths) - lengths
+    before[begins] = p["before"]
+    key = np.sort(before << (_UNIT_BITS + _PLACE_BITS) | ids << _PLACE_BITS | np.arange(len(ids), dtype=np.uint64))
+    place, pair = (key & np.uint64((1 << 22) - 1)).view(np.int64), key >> _PLACE_BITS
+    new = np.concatenate([[True], pair[1:] != pair[:-1]])
+    of, own = np.cumsum(new) - 1, pair[new]
+    a, b = p["keys"][(own >> _UNIT_BITS).view(np.int64)], p["keys"][(own & np.uint64((1 << 20) - 1)).view(np.int64)]
+    return place, of, mixed(mixed(a) + b) << np.uint64(1), before.view(np.int64)
 
-_hash = _Hash()
-END_TOKEN = xxhash.xxh3_64_intdigest(b" ")  # no word has a blank in it
 
+def _asked(p: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """All keys that a part asks for, pairs (even) and words (odd); how often each came in training texts; their order by range; and the pairs."""
+    place, of, pairs, before = found = _pairs(p)
+    train = np.repeat(~p["held"], p["lengths"])
+    times = np.bincount(of, train[place], len(pairs)).astype(np.int64)
+    keys = np.concatenate([pairs, mixed(p["words"]) | np.uint64(1)])
+    return keys, np.concatenate([times, p["word_times"]]), *_order(((keys >> np.uint64(40)) % np.uint64(n)).astype(np.int64), n), found
 
-def token_hashes(text: bytes) -> np.ndarray:
-    words = _bytes_and_words(text)
-    return np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
 
+_BLOCKS = "range long, part long, cells binary"
 
-_COUNTED = "kind int, key long, n long, path string, size long"
 
+def _blocks(of: Callable[[dict], Iterator[tuple[int, bytes]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out, size = [], 0
+                for r, cells in of(unpacked(read_whole(path))):
+                    out.append((r, part, cells))
+                    size += len(cells)
+                    if size > 1 << 22:
+                        yield _rows(out, ("range", "part", "cells"))
+                        out, size = [], 0
+                if out:
+                    yield _rows(out, ("range", "part", "cells"))
 
-def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as gaps, and their counts, both by place of byte."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zlib.compress(gaps.tobytes() + counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return run
 
 
-def _unpacked(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(cells), np.uint8).reshape(2, 8, -1).transpose(0, 2, 1)
-    gaps, counts = np.ascontiguousarray(raw).view("<u8")[..., 0]
-    return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
+def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list(names))
 
 
-class _Sums:
-    """Counts by key. What comes in waits until it is as much as what is held, so each key is merged few times."""
+def _unit_blocks(n: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
+    def of(p: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        units, order, ends = _unit_order(p, n)
+        units, times, at = units.take(pa.array(order)), p["times"][order], 0
+        for r, end in enumerate(ends):
+            if end > at:
+                lengths, data = _flat(units.slice(at, end - at))
+                yield r, packed(lengths=lengths, data=data, times=times[at:end])
+            at = end
 
-    def __init__(self) -> None:
-        self.held, self.waiting, self.n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+    return of
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.waiting.append((keys, counts))
-        self.n += len(keys)
-        if self.n > max(1_000_000, len(self.held[0])):
-            self.merged()
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.waiting:
-            self.held = _merge_counts(self.held, tuple(np.concatenate(x) for x in zip(*self.waiting, strict=True)))
-            self.waiting, self.n = [], 0
-        return self.held
+def _key_blocks(n: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
+    def of(p: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        keys, times, order, ends, _ = _asked(p, n)
+        keys, times, at = keys[order], times[order], 0
+        for r, end in enumerate(ends):
+            if end > at:
+                # Seven bytes of a key are kept beside its range. Random bytes don't shrink.
+                raw = keys[at:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+                yield r, len(raw).to_bytes(8, "little") + raw + packed(times=times[at:end])
+            at = end
 
+    return of
 
-def _merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([a[0], b[0]])
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], np.concatenate([a[1], b[1]])[order]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(n, new) if len(keys) else n
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(first column, other columns of its rows) of rows that come in its order."""
+    last, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != last and rows:
+                yield last, rows
+                rows = []
+            last = row[0]
+            rows.append(row[1:])
+    if rows:
+        yield last, rows
 
-def _count(folder: str):
-    """Of the task's texts: kind 0, counts by token; kind 1, by range of hashes, the place in a file (n is the offset) of the counts how often each half byte followed each context.
 
-    What a task holds is bounded: beyond that it writes what it has and begins anew.
-    """
+def _merge_units(folder: str):
+    """Of each range: its different units in order, with what they came, as a file; the counts of low order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, waiting, n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
-        contexts, keys, n_keys, written = _Sums(), [], 0, 0
-
-        def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64())], names=["kind", "key", "n", "path", "size"])
-
-        def ranges(sums: _Sums, written: int) -> Iterator[pa.RecordBatch]:
-            all_, counts = sums.merged()
-            at = np.searchsorted(all_, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(54))
-            found = [(r, _packed(k, c)) for r, (k, c) in enumerate(zip(np.split(all_, at), np.split(counts, at), strict=True)) if len(k)]
-            if found:
-                names, cells = zip(*found, strict=True)
-                sizes = np.array([len(c) for c in cells])
-                task = TaskContext.get()
-                path = f"{folder}/counts-{task.partitionId() if task else 0:06d}-{written:04d}"
-                write_whole(path, list(cells))
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(found), pa.int32()), pa.array(names, pa.int64()), pa.array(np.cumsum(sizes) - sizes), pa.array([path] * len(found)), pa.array(sizes)], names=["kind", "key", "n", "path", "size"])
-
-        for batch in batches:
-            texts = [x.as_buffer().to_pybytes() for x in batch.column(0)]
-            for text in texts:
-                waiting.append(np.append(token_hashes(text), np.uint64(END_TOKEN)))
-                n += len(waiting[-1])
-                if n > 1_000_000:
-                    tokens = _merge_counts(tokens, np.unique(np.concatenate(waiting), return_counts=True))
-                    waiting, n = [], 0
-                    if len(tokens[0]) > 2_000_000:
-                        yield out(*tokens)
-                        tokens = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            for _, data, begins, ends in padded(texts):
-                of = coded(len(data), begins, ends)
-                halves = np.stack([data[of] >> 4, data[of] & 15], axis=1).astype(np.uint64)
-                keys.append((hashes(data)[:, of] | halves).reshape(-1))
-                n_keys += len(keys[-1])
-                if n_keys > 3_000_000:
-                    contexts.add(*np.unique(np.concatenate(keys), return_counts=True))
-                    keys, n_keys = [], 0
-                    if len(contexts.held[0]) > 4_000_000:
-                        yield from ranges(contexts, written)
-                        contexts, written = _Sums(), written + 1
-        if waiting:
-            tokens = _merge_counts(tokens, np.unique(np.concatenate(waiting), return_counts=True))
-        if len(tokens[0]):
-            yield out(*tokens)
-        if keys:
-            contexts.add(*np.unique(np.concatenate(keys), return_counts=True))
-        yield from ranges(contexts, written)
+        for r, rows in _groups(batches):
+            parts = [(part, unpacked(cells)) for part, cells in rows]
+            found = pa.concat_arrays([_binary(x["lengths"], x["data"]) for _, x in parts]).dictionary_encode()
+            order = pa.compute.array_sort_indices(found.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            at = rank[found.indices.to_numpy()]
+            n = np.bincount(at, np.concatenate([x["times"] for _, x in parts]), len(order))
+            units = found.dictionary.take(pa.array(order))
+            lengths, data = _flat(units)
+            path = f"{folder}/units-{r:08d}"
+            write_whole(path, [packed(lengths=lengths, data=data, n=n.astype(np.int64), at=at.astype(np.uint32), parts=np.array([p for p, _ in parts], np.int64), sizes=np.array([len(x["times"]) for _, x in parts], np.int64))])
+            yield _rows([(r, path, packed(**Low.of(Units(units, n))))], ("range", "path", "low"))
 
     return run
 
 
-def _context_files(folder: str):
-    """Sum the counts of one range of hashes, whose rows come one after the other, and write them as one file: hashes with half bytes, and counts."""
+def _merge_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        for cells in batch.column(0).to_pylist():
+            held = Low.merged([unpacked(cells)] if held is None else [held, unpacked(cells)])
+    if held is not None:
+        yield _rows([(packed(**held),)], ("low",))
 
-    def out(key: int, sums: _Sums) -> pa.RecordBatch:
-        keys, counts = sums.merged()
-        path = f"{folder}/contexts-{key:04d}"
-        write_whole(path, [keys.astype("<u8").tobytes(), np.minimum(counts, 2**31 // 16 - 1).astype("<u4").tobytes()])
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([path]), pa.array([len(keys)], pa.int64())], names=["key", "path", "cells"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sums = None, _Sums()
-        for batch in batches:
-            for key, path, begin, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last:
-                    if last is not None:
-                        yield out(last, sums)
-                    last, sums = key, _Sums()
-                sums.add(*_unpacked(read_part(path, begin, size)))
-        if last is not None:
-            yield out(last, sums)
+_loaded: dict[str, Low] = {}
 
-    return run
+
+def _low_at(path: str) -> Low:
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = Low(unpacked(read_whole(path)))
+    return _loaded[path]
 
 
-class Contexts:
-    """How often each half byte followed each context, in the order of hashes, in files that the processes of a host share. The last entry stands for the unknown."""
-
-    def __init__(self, folder: str) -> None:
-        kind = "<u4" if os.path.getsize(f"{folder}/keys") < 8 << 32 else "<i8"
-        self.keys, self.starts, self.n = (np.memmap(f"{folder}/{name}", of, "r") for name, of in (("keys", "<u8"), ("starts", kind), ("counts", "<u4")))
-        self.shift = np.uint64(64 - (len(self.starts).bit_length() - 1))
-
-    def groups(self, data: np.ndarray) -> np.ndarray:
-        """For each context, byte and half byte 16 times the place of its first entry. Whole hashes are compared: no two contexts share counts."""
-        h = hashes(data).reshape(-1)
-        at = np.take(self.starts, (h >> self.shift).view(np.int64)).astype(np.int64)
-        found = np.take(self.keys, at)
-        left = np.flatnonzero(found < h)
-        while len(left):
-            at[left] += 1
-            found[left] = np.take(self.keys, at[left])
-            left = left[found[left] < h[left]]
-        at[found & ~np.uint64(15) != h] = len(self.keys) - 1
-        return 16 * at.reshape(len(BITS), -1, 2)
-
-    def halves(self, places: np.ndarray) -> np.ndarray:
-        """Counts of the 16 half bytes after each context, given by the place of its first entry."""
-        out = np.zeros((len(places), 16), np.uint32)
-        left, at, key = np.arange(len(places)), places, np.take(self.keys, places)
-        group = key >> np.uint64(4)
-        while len(left):
-            out[left, (key & np.uint64(15)).view(np.int64)] = np.take(self.n, at)
-            at = np.minimum(at + 1, len(self.keys) - 1)
-            key = np.take(self.keys, at)
-            more = (key >> np.uint64(4) == group) & (at > places[left])
-            more &= at < len(self.keys) - 1
-            left, at, key, group = left[more], at[more], key[more], group[more]
-        return out
-
-    def counts(self, places: np.ndarray) -> np.ndarray:
-        """(slot, bit) counts: shape (places, 16, 2)."""
-        return bit_counts(self.halves(places).reshape(-1)).reshape(-1, 16, 2)
-
-    @staticmethod
-    def join(folder: str, files: list[tuple[int, str, int]]) -> None:
-        """Write the files of all ranges (range, path, entries) as one of each kind, with the place where each cell of hashes starts, one or two cells for an entry."""
-        all_ = sum(n for _, _, n in files)
-        bits, kind = max(RANGES.bit_length() - 1, all_.bit_length()), "<u4" if 8 * (all_ + 1) < 8 << 32 else "<i8"
-        cells, done, of = (1 << bits) // RANGES, 0, {r: (path, n) for r, path, n in files}
-        with open(f"{folder}/keys", "wb") as keys, open(f"{folder}/starts", "wb") as starts, open(f"{folder}/counts", "wb") as counts:
-            for r in range(RANGES):
-                path, n = of.get(r, (None, 0))
-                raw = memoryview(read_whole(path) if path else b"")
-                keys.write(raw[: 8 * n]), counts.write(raw[8 * n :])
-                cell = (np.frombuffer(raw[: 8 * n], "<u8") >> np.uint64(64 - bits)).astype(np.int64) - r * cells
-                upto = np.cumsum(np.bincount(cell, minlength=cells))
-                starts.write((done + np.concatenate([[0], upto[:-1]])).astype(kind).tobytes())
-                done += n
-            keys.write(b"\xff" * 8), counts.write(bytes(4))
-
-
-def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
-
-
-@dataclass
-class Model:
-    table: np.ndarray  # log-odds by slot; 0 where a context is unknown
-    weights: np.ndarray  # by gate and context
-    refine: np.ndarray  # by bits of the byte so far and bin: log-odds
-    contexts: Contexts | None = None  # in place of a table of fixed size
-
-    def looked_up(self, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Stretches of the data: the first position, the contexts' slots, and a table of them."""
-        picked = self.contexts.groups(data) if self.contexts else groups(data)
-        for lo in range(0, len(data), 1 << 17):
-            part, table = picked[:, lo : lo + (1 << 17)], self.table
-            if self.contexts:
-                own, where = np.unique(part, return_inverse=True)
-                counts = self.contexts.counts(own >> 4).astype(np.float32)
-                part, table = where.reshape(part.shape) << 4, odds(counts[..., 0], counts[..., 1]).reshape(-1)
-            yield lo, part, table
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def gates(inputs: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return place * (len(BITS) + 1) + np.count_nonzero(inputs, axis=0)
-
-
-def nodes(bits: np.ndarray) -> np.ndarray:
-    """The bits of the byte so far, with a leading 1: 1 to 255."""
-    node = np.ones(bits.shape, np.int32)
-    for k in range(1, 8):
-        node[:, k] = 2 * node[:, k - 1] + bits[:, k - 1]
-    return node
-
-
-def mixed_odds(inputs: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    total = inputs[0] * np.take(weights[:, 0], gate)
-    for c in range(1, len(inputs)):
-        total += inputs[c] * np.take(weights[:, c], gate)
-    return np.clip(total, -12, 12)
-
-
-def bins(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bin and the share of the upper one."""
-    x = (total + np.float32(12)) * np.float32((BINS - 1) / 24)
-    low = np.minimum(x.astype(np.int32), BINS - 2)
-    return low, x - low.astype(np.float32)
-
-
-def refined(total: np.ndarray, node: np.ndarray, refine: np.ndarray) -> np.ndarray:
-    """Log-odds that the bit is 1: the mean of the mixer's and the map's, the map interpolated between bins."""
-    low, up = bins(total)
-    flat, at = refine.reshape(-1), node * BINS + low
-    below = np.take(flat, at)
-    return (total + below + (np.take(flat, at + 1) - below) * up) / 2
-
-
-def left_out(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, groups_of: Callable, counts_of: Callable) -> tuple[np.ndarray, ...]:
-    """Of each coded bit: log-odds by context, shape (contexts, bits), from which the counts of its own text (of a long one the piece) are taken out; the bit, its place and the bits before it."""
-    of = coded(len(data), begins, ends)
-    bits, node = half_nodes(data[of])
-    of_text = (groups_of(data)[:, of] >> 4) * len(ends) + np.searchsorted(ends, of, side="right")[None, :, None]
-    own, where = np.unique(of_text, return_inverse=True)
-    where = where.reshape(of_text.shape) << 4
-    halves = np.stack([data[of] >> 4, data[of] & 15], axis=1)
-    own_counts = bit_counts(np.bincount((where + halves).reshape(-1), minlength=16 * len(own))).reshape(-1, 16, 2)
-    left = counts_of(own // len(ends))
-    left = (np.maximum(left, own_counts) - own_counts).astype(np.float32)
-    x = np.take(odds(left[..., 0], left[..., 1]), (where[..., None] + node.reshape(-1, 2, 4)).reshape(len(BITS), -1))
-    return x, bits.reshape(-1), np.tile(np.arange(8), len(of)), nodes(bits).reshape(-1)
-
-
-class Learner:
-    """Weights and map, learned online: steps of some bits, mixed over the texts of a run, move the weights by the gradient of the coding cost; the map counts what happened."""
-
-    def __init__(self, weights: np.ndarray | None = None) -> None:
-        self.weights = np.full((GATES, len(BITS)), 0.3, np.float32) if weights is None else weights.copy()
-        self.seen = np.zeros(GATES)  # bits by gate
-        self.map = np.zeros((2, 256 * BINS))  # by bit: how often it came in each cell
-
-    def learn(self, texts: list[bytes], groups_of: Callable, counts_of: Callable, rate: float, step: int = 2048) -> None:
-        for _, *run in padded(texts):
-            for piece in pieces(*run):
-                self._step(*left_out(*piece, groups_of, counts_of), rate, step)
-
-    def _step(self, x: np.ndarray, y: np.ndarray, place: np.ndarray, node: np.ndarray, rate: float, step: int) -> None:
-        order = np.random.default_rng(7).permutation(len(y))
-        x, y, gate, node = x[:, order], y[order].astype(np.float32), gates(x, place)[order], node[order]
-        total = np.empty(len(y), np.float32)
-        for i in range(0, len(y), step):
-            s = slice(i, i + step)
-            total[s] = mixed_odds(x[:, s], gate[s], self.weights)
-            off = rate * (y[s] - _sigmoid(total[s]))
-            for c in range(len(BITS)):
-                self.weights[:, c] += np.bincount(gate[s], off * x[c, s], GATES)
-        self.seen += np.bincount(gate, minlength=GATES)
-        low, up = bins(total)
-        for shift, share in ((0, 1 - up), (1, up)):
-            at = node * BINS + low + shift
-            self.map[0] += np.bincount(at, share * (1 - y), 256 * BINS)
-            self.map[1] += np.bincount(at, share * y, 256 * BINS)
-
-    def refine(self) -> np.ndarray:
-        """The map, begun at the identity."""
-        start = np.tile(np.linspace(-12, 12, BINS, dtype=np.float32), (256, 1))
-        n0, n1 = (8.0 * _sigmoid(sign * start) + n.reshape(256, BINS) for sign, n in zip((-1, 1), self.map, strict=True))
-        return np.log(n1 / n0).astype(np.float32)
-
-
-def fit(table: np.ndarray, texts: list[bytes], rate: float = 0.005, passes: int = 2) -> Model:
-    """Learn weights and map over the texts, all of which are in the counts (slot, bit) of a table of fixed size."""
-    counts, learner = table.reshape(-1, 16, 2), Learner()
-    for turn in range(passes):
-        learner = Learner(learner.weights)
-        learner.learn(texts, groups, counts.__getitem__, rate / (1 + turn))
-    return Model(odds(table[0::2].astype(np.float32), table[1::2].astype(np.float32)), learner.weights, learner.refine())
-
-
-def bit_scores(model: Model, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text and its end."""
-    scores = np.zeros(len(texts))
-    place = np.arange(8, dtype=np.int32)[None, :]
-    for of, data, begins, ends in padded(texts):
-        total = np.zeros(len(data))
-        for begin, picked, table in model.looked_up(data):
-            for lo in range(0, picked.shape[1], 1 << 13):  # pieces that stay in the cache
-                s = slice(begin + lo, min(begin + lo + (1 << 13), begin + picked.shape[1]))
-                bits, half = half_nodes(data[s])
-                inputs = np.take(table, (picked[:, lo : lo + (1 << 13), :, None] + half.reshape(-1, 2, 4)).reshape(len(BITS), -1, 8))
-                odds_ = refined(mixed_odds(inputs, gates(inputs, place), model.weights), nodes(bits), model.refine)
-                odds_[bits == 1] *= -1  # of the other bit
-                total[s] = -np.log1p(np.exp(odds_)).sum(axis=1, dtype=np.float64)
-        sums = np.add.reduceat(total, np.stack([begins, ends], axis=1).reshape(-1)[: 2 * len(of) - 1])[::2]
-        scores[of] = sums / np.log(10)
-    return scores
-
-
-def _word_files(folder: str):
-    """Sorted hashes and their counts of a range of hashes, as one file."""
+def _units_at(path: str) -> tuple[Units, dict[str, np.ndarray]]:
+    found = unpacked(read_whole(path))
+    return Units(_binary(found["lengths"], found["data"]), found["n"]), found
 
+
+_LEARNED = "weights binary, seen binary, map binary"
+
+
+def _learn(low: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
         for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            counts.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if keys:
-            k, n = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(k)
-            uri = f"{folder}/words-{TaskContext.get().partitionId():06d}"
-            write_whole(uri, [k[order].astype("<i8").tobytes(), np.minimum(n[order], 2**32 - 1).astype("<u4").tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(k)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["path", "words", "tokens"])
+            for path in batch.column(1).to_pylist():
+                own = learned(_units_at(path)[0], _low_at(low))
+                # Weights come times what was seen, so that sums of rows are sums of learners.
+                yield _rows([((own.weights * own.seen[:, None]).astype("<f8").tobytes(), own.seen.astype("<f8").tobytes(), own.map.astype("<f8").tobytes())], ("weights", "seen", "map"))
 
     return run
 
 
-_loaded: dict[str, object] = {}
-
-
-def _contexts_at(folder: str, files: list[tuple[int, str, int]]) -> Contexts:
-    """The contexts in the files, joined once on each host: beside them where the shared folder is a local path, else by each process."""
-    if folder not in _loaded:
-        _loaded.clear()
-        system, path = opened(folder)
-        where = f"{path}/joined" if isinstance(system, fs.LocalFileSystem) else tempfile.mkdtemp(prefix="lexiforge-")
-        if not isinstance(system, fs.LocalFileSystem):
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
-        os.makedirs(where, exist_ok=True)
-        with open(f"{where}/lock", "w") as lock:
-            fcntl.flock(lock, fcntl.LOCK_EX)
-            if not os.path.exists(f"{where}/done"):
-                Contexts.join(where, files)
-                open(f"{where}/done", "w").close()
-                if isinstance(system, fs.LocalFileSystem):  # nobody reads them again
-                    for _, of, _ in files:
-                        system.delete_file(opened(of)[1])
-        _loaded[folder] = Contexts(where)
-    return _loaded[folder]
+def _sum_learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            row = [np.frombuffer(x, "<f8") for x in row]
+            total = row if total is None else [a + b for a, b in zip(total, row, strict=True)]
+    if total is not None:
+        yield _rows([tuple(x.tobytes() for x in total)], ("weights", "seen", "map"))
 
 
-_LEARNED = "weights binary, seen binary, map binary"
+def _summed(table: DataFrame, run, schema: str, n: int) -> list:
+    """The one row that `run` makes of all rows, by way of the square root of their number; none of an empty table."""
+    some = table.repartition(max(1, math.isqrt(n))).mapInArrow(run, schema)
+    return some.repartition(1).mapInArrow(run, schema).collect()
 
 
-def _learn(folder: str, files: list[tuple[int, str, int]], weights: np.ndarray | None, rate: float, passes: int = 1):
-    """What a learner makes of the task's texts. Several passes hold them together."""
+def _unit_answers(low: str, weights: np.ndarray, refine: np.ndarray):
+    """For each part the costs and counts of its units in the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, texts, some = Learner(weights), [], False
         for batch in batches:
-            own = [x.as_buffer().to_pybytes() for x in batch.column(0)]
-            some = some or bool(own)
-            if own:
-                contexts = _contexts_at(folder, files)
-                learner.learn(own, contexts.groups, contexts.counts, rate)
-            texts += own if passes > 1 else []
-        for turn in range(1, passes if some else 1):
-            learner = Learner(learner.weights)
-            learner.learn(texts, contexts.groups, contexts.counts, rate / (1 + turn))
-        if some:
-            cols = [learner.weights.astype("<f4"), learner.seen.astype("<f8"), learner.map.astype("<f8")]
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["weights", "seen", "map"])
+            for r, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                units, found = _units_at(path)
+                cost, n, begin = unit_costs(units, _low_at(low), weights, refine).astype(np.float32), found["n"], 0
+                for part, size in zip(found["parts"], found["sizes"], strict=True):
+                    at = found["at"][begin : begin + size]
+                    begin += size
+                    yield _rows([(int(part), 0, r, packed(cost=cost[0, at], loo=cost[1, at], n=n[at]))], ("part", "kind", "range", "cells"))
 
     return run
 
 
-def _merged(learned: DataFrame, weights: np.ndarray | None) -> Learner:
-    """One learner of all tasks' ones: weights averaged by the bits each saw at a gate, counts of the map summed. Read task by task."""
-    out, total = Learner(weights), np.zeros((GATES, len(BITS)))
-    for w, seen, map_ in learned.toLocalIterator():
-        seen = np.frombuffer(seen, "<f8")
-        total += np.frombuffer(w, "<f4").reshape(total.shape) * seen[:, None]
-        out.seen += seen
-        out.map += np.frombuffer(map_, "<f8").reshape(out.map.shape)
-    known = out.seen > 0
-    out.weights[known] = total[known] / out.seen[known, None]
-    return out
+_ANSWERS = "part long, kind long, range long, cells binary, words long"
+
+
+def _key_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each part the counts of its keys in the range; words: how many different words the training texts have in the range, in its first row."""
+    for r, rows in _groups(batches):
+        keys, times = [], []
+        for _, cells in rows:
+            n = int.from_bytes(cells[:8], "little")
+            seven = np.frombuffer(cells, np.uint8, n, 8).reshape(-1, 7)
+            keys.append(np.concatenate([seven, np.zeros((len(seven), 1), np.uint8)], axis=1).view("<u8").reshape(-1))
+            times.append(unpacked(cells[8 + n :])["times"])
+        sizes, all_ = [len(k) for k in keys], np.concatenate(keys)
+        own, at = grouped(all_)
+        total = np.bincount(at, np.concatenate(times), len(own)).astype(np.int64)
+        words, begin = int(((own & np.uint64(1) == 1) & (total > 0)).sum()), 0
+        for (part, _), size in zip(rows, sizes, strict=True):
+            yield _rows([(part, 1, r, packed(total=total[at[begin : begin + size]]), words if not begin else 0)], ("part", "kind", "range", "cells", "words"))
+            begin += size
+
+
+class _Read:
+    """A part with all answers: of each place what three predictions say of the unit, and the gate."""
+
+    def __init__(self, path: str, answers: list[tuple], unit_ranges: int, key_ranges: int, loo: bool) -> None:
+        self.p = p = unpacked(read_whole(path))
+        found = [unpacked(cells) for kind, _, cells, _ in answers if kind == 0]
+        order = _unit_order(p, unit_ranges)[1]
+        cost, n = np.empty(len(order), np.float64), np.empty(len(order), np.int64)
+        cost[order], n[order] = np.concatenate([x["loo" if loo else "cost"] for x in found]), np.concatenate([x["n"] for x in found])
+        _, _, order, _, (place, of, pairs, before) = _asked(p, key_ranges)
+        total = np.empty(len(order), np.int64)
+        total[order] = np.concatenate([unpacked(cells)["total"] for kind, _, cells, _ in answers if kind == 1])
+        self.words = total[len(pairs) :]
+        ids, lengths = p["ids"].view(np.int32), p["lengths"]
+        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        begins = np.cumsum(lengths) - lengths
+        # How often the unit came in the text so far, and in all.
+        key = np.sort(p["ids"].astype(np.uint64) << _PLACE_BITS | np.arange(len(ids), dtype=np.uint64))
+        at = (key & np.uint64((1 << 22) - 1)).view(np.int64)
+        rank, own = _runs(key >> _PLACE_BITS, row[at])
+        earlier, in_text = np.empty(len(ids), np.int32), np.empty(len(ids), np.int32)
+        earlier[at], in_text[at] = rank, own
+        came, known = np.empty(len(ids), np.int64), n[before]
+        came[place] = total[of]
+        if loo:
+            came[place] -= _runs(of, row[place])[1]
+            last = np.concatenate([[1], in_text[:-1]])
+            last[begins] = 1
+            known = known - last
+        since = np.arange(len(ids), dtype=np.int32) - np.repeat(begins, lengths).astype(np.int32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            after = np.where(known > 0, np.maximum(came, 0) / np.maximum(known, 1), 0.0)
+            self.log = np.stack([-np.log(10) * cost[ids], np.log(after), np.log(earlier / np.maximum(since, 1))])
+        self.row, self.begins = row, begins
+        foreseen = (self.log[1] > self.log[0]).astype(np.int32)
+        again = (earlier > 0).astype(np.int32)
+        hits, recent = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int32)
+        for k in (1, 2, 3):
+            hits[k:] += np.where(since[k:] >= k, foreseen[:-k] if k < len(ids) else 0, 0) if k < len(ids) else 0
+        recent[1:] = np.where(since[1:] >= 1, again[:-1], 0)
+        self.gate = (np.searchsorted(BEFORE, known, side="right") * 4 + hits) * 2 + recent
+
+    def shares(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log of each place's probability, and what share of it each prediction has."""
+        with np.errstate(divide="ignore"):
+            joint = self.log + np.log(weights).T[:, self.gate]
+        total = np.logaddexp(np.logaddexp(joint[0], joint[1]), joint[2])
+        return total, np.exp(joint - total)
+
+
+def _runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of neighbours with the same key and row: each one's rank, and their number."""
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([new, [len(keys)]]))
+    return np.arange(len(keys)) - np.repeat(new, sizes), np.repeat(sizes, sizes)
+
+
+_GATES = "shares binary"
+
+
+def _learn_gates(path_of: Callable[[int], str], unit_ranges: int, key_ranges: int, rounds: int = 4):
+    """Of each part, by gate, the predictions' shares at training places after some rounds of expectation-maximisation."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((TEXT_GATES, 3))
+        for part, answers in _groups(batches):
+            read = _Read(path_of(part), answers, unit_ranges, key_ranges, loo=True)
+            train = ~read.p["held"][read.row]
+            read.log, read.gate = read.log[:, train], read.gate[train]
+            weights = np.tile(_START, (TEXT_GATES, 1))
+            own = np.zeros((TEXT_GATES, 3))
+            for _ in range(rounds if train.any() else 0):
+                share = read.shares(weights)[1]
+                own = np.stack([np.bincount(read.gate, s, TEXT_GATES) for s in share], axis=1)
+                weights = _weights(own)
+            total += own
+        if total.any():
+            yield _rows([(total.astype("<f8").tobytes(),)], ("shares",))
 
-def _counts_at(paths: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """All hashes in order, and their counts: the files hold ranges that follow one another."""
-    key = "\n".join(paths)
-    if key not in _loaded:
-        raw = [read_whole(p) for p in paths]
-        keys = np.concatenate([np.frombuffer(r, "<i8", len(r) // 12) for r in raw] or [np.zeros(0, np.int64)])
-        counts = np.concatenate([np.frombuffer(r, "<u4", len(r) // 12, len(r) // 12 * 8) for r in raw] or [np.zeros(0, np.uint32)])
-        _loaded[key] = (keys, counts)
-    return _loaded[key]
+    return run
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, known double, n_bytes long, score double"
+def _weights(shares: np.ndarray) -> np.ndarray:
+    """Weights by gate, with a little of what they begin with."""
+    return (shares + 5 * _START) / (shares.sum(axis=1, keepdims=True) + 5)
 
 
-def _score(folder: str, files: list[tuple[int, str, int]], weights: np.ndarray, refine: np.ndarray, word_paths: tuple[str, ...] | None):
-    """known: the sum of log10(count + 1) over tokens, where the counts fit a task; else null, with the tokens' hashes left to a join."""
+_SCORED = "of_part long, of_row long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, n_bytes long, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            contexts = _contexts_at(folder, files)
-            model = Model(np.zeros(0, np.float32), weights, refine, contexts)
-            texts = [x.as_buffer().to_pybytes() for x in batch.column(2)]
-            for lo in range(0, len(texts), 1000):
-                own = texts[lo : lo + 1000]
-                hashes = [np.append(token_hashes(t), np.uint64(END_TOKEN)) for t in own]
-                sizes = np.array([len(h) for h in hashes])
-                known, sums = None, None
-                if word_paths is not None:
-                    keys, counts = _counts_at(word_paths)
-                    unique, where = np.unique(np.concatenate(hashes).view(np.int64), return_inverse=True)
-                    at = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
-                    c = (np.where(keys[at] == unique, counts[at], 0) if len(keys) else np.zeros(len(unique)))[where].astype(np.float64)
-                    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                    known, sums = np.add.reduceat((c > 0).astype(np.int64), begins), np.add.reduceat(np.log10(c + 1), begins)
-                cols = [batch.column(0)[lo : lo + 1000], batch.column(1)[lo : lo + 1000], pa.array(sizes), pa.array(known, pa.int64()) if known is not None else pa.nulls(len(own), pa.int64()), pa.array(sums, pa.float64()) if sums is not None else pa.nulls(len(own), pa.float64()), pa.array([len(t) for t in own], pa.int64()), pa.array(bit_scores(model, own))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "known", "n_bytes", "score"])
 
-    return run
+def _score(path_of: Callable[[int], str], unit_ranges: int, key_ranges: int, weights: np.ndarray):
+    """known: the sum of log10(count + 1) over tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, answers in _groups(batches):
+            read = _Read(path_of(part), answers, unit_ranges, key_ranges, loo=False)
+            p, n = read.p, len(read.p["lengths"])
+            logs = np.log10(read.words + 1.0)
+            of_units = [np.bincount(p["of_unit"], x, len(p["keys"]))[p["ids"]] for x in (np.ones(len(p["of_unit"])), (read.words > 0)[p["of_word"]], logs[p["of_word"]])]
+            in_long = [np.bincount(p["extra_row"], x, n) for x in (np.ones(len(p["extra_row"])), (read.words > 0)[p["extra_word"]], logs[p["extra_word"]])]
+            tokens, known, sums = (np.add.reduceat(a, read.begins) + b for a, b in zip(of_units, in_long, strict=True))
+            score = np.add.reduceat(read.shares(weights)[0], read.begins) / np.log(10)
+            ids = pa.array(p["doc_ids"], mask=p["doc_ids"] == -(2**63))
+            cols = [pa.array(p["of_part"]), pa.array(p["of_row"]), ids, pa.array(p["held"]), *(pa.array(x.astype(np.int64)) for x in (tokens, known)), pa.array(sums), pa.array(p["n_bytes"]), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _SCORED.split(", ")])
 
-def _doc_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            h, n = np.unique(np.append(token_hashes(text.as_buffer().to_pybytes()), np.uint64(END_TOKEN)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["digest", "key", "times"])
+    return run
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, sample: int = 300, sample_bytes: int = 1 << 16, total_bytes: int = 400_000, most_shipped: int = 1 << 24) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of df.
 
     Rows whose crc32 of the id as text leaves fold modulo folds are held out; the model learns from all others. A null id counts as
     the empty text, a null text as empty; a text without words is its end mark alone. If nothing is left to
-    learn from, all predictors are silent and each bit costs one bit. Repeated rows are scored as often as they come.
-
-    Plan: one pass over the training texts sums tokens and contexts in each task; both are merged by key. The
-    contexts' counts are written by range of hashes and joined to files that tasks map into memory (16 to 20 bytes for each half byte that follows a context), so they
-    grow with the corpus. A task learns the mixer's first weights from sample texts of up to sample_bytes each and total_bytes together;
-    from there each task learns over all its training texts, so weights depend slightly on how the input is split. Token counts go to
-    files in the shared folder that tasks read while there are most_shipped tokens at most; beyond that,
-    documents' tokens are joined with them.
+    learn from, the bit predictors are silent and a bit costs one bit. Repeated rows are scored as often as they come; other columns
+    are not looked at. An empty table gives no rows.
+
+    Plan: one pass over the texts writes parts (files in the shared folder). Units go to ranges by their first bytes and
+    are merged, learned from and coded there; pairs and words go to ranges by their hash and are summed. Answers meet their parts
+    twice: to learn the gates' weights and to score. Ranges grow in number with the corpus, not in size. Rows that pass
+    through the driver are sums of fixed size. Weights depend slightly on how texts fall into parts.
     """
     spark = df.sparkSession
     held = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % folds == fold
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.encode(text_of(text_col), "UTF-8").alias("text"))
-    train = rows.where("NOT held_out")
-    folder, counts = scratch(spark, "model"), scratch(spark, "counts")
-    counted = stored(train.select("text").mapInArrow(_count(f"{counts}/of"), _COUNTED), "counted")
-    words = counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"))
-    files = stored(words.repartitionByRange("key").mapInArrow(_word_files(folder), "path string, words long, tokens long"), "words")
-    n_words, n_tokens = files.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    merged = counted.where("kind = 1").select("key", "path", "n", "size").repartition("key").sortWithinPartitions("key").mapInArrow(_context_files(folder), "key long, path string, cells long")
-    contexts = sorted(tuple(r) for r in merged.collect())  # RANGES rows at most
-    _remove(spark, counts)
-    chosen = train.where(F.octet_length("text") <= sample_bytes).orderBy(F.xxhash64("text"), "doc_id").limit(sample).select("text").collect()
-    chosen = [bytes(r[0]) for r in chosen]
-    chosen = [(t,) for t, upto in zip(chosen, np.cumsum([len(t) for t in chosen]), strict=True) if upto <= total_bytes]
-    learner = _merged(small(spark, chosen, "text binary").coalesce(1).mapInArrow(_learn(folder, contexts, None, 0.005, passes=2), _LEARNED), None)
-    learned = stored(train.select("text").mapInArrow(_learn(folder, contexts, learner.weights, 0.0025), _LEARNED), "learned")
-    learner = _merged(learned, learner.weights)
-    model = (folder, contexts, learner.weights, learner.refine())
-    ship = n_words <= most_shipped
-    paths = tuple(sorted(r[0] for r in files.select("path").collect())) if ship else None  # a row for each shuffle partition
-    scored = rows.mapInArrow(_score(*model, paths), _SCORED)
-    if not ship:
-        digest = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
-        keyed = rows.withColumn("digest", digest)
-        tokens = keyed.select("digest", "text").mapInArrow(_doc_tokens, "digest binary, key long, times long").distinct()
-        by_text = tokens.join(words, "key", "left").groupBy("digest").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known2"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("known2"))
-        scored = keyed.select("digest", "doc_id", "held_out", "text").mapInArrow(_with_digest(_score(*model, None)), "digest binary, " + _SCORED)
-        scored = scored.join(by_text, "digest").withColumn("n_known", F.col("n_known2")).withColumn("known", F.col("known2"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.spark_partition_id().alias("task"), F.encode(text_of(text_col), "UTF-8").alias("text"))
+    folder = scratch(spark, "model")
+    parts = stored(rows.mapInArrow(_cut_parts(folder), _PARTS), "parts")
+    n_parts, units, different, n_tokens = (x or 0 for x in parts.agg(F.count("*"), F.sum("units"), F.sum("different"), F.sum("tokens")).first())
+    unit_ranges, key_ranges = max(8, math.ceil(different / RANGE_UNITS)), max(8, math.ceil((units + different) / RANGE_KEYS))
+    several = parts.select("part", "path").repartition(max(1, n_parts), "part")
+
+    def by(table: DataFrame, key: str, n: int, *order: str) -> DataFrame:
+        return table.repartition(max(1, n), key).sortWithinPartitions(key, *order)
+
+    merged = by(several.mapInArrow(_blocks(_unit_blocks(unit_ranges)), _BLOCKS), "range", unit_ranges, "part").mapInArrow(_merge_units(folder), "range long, path string, low binary")
+    merged = stored(merged, "units")
+    low = f"{folder}/low"
+    low_row = _written(merged.select("low"), low, unit_ranges)
+    ranges = merged.select("range", "path").repartition(unit_ranges, "range")
+    learner = Learner()
+    for w, seen, map_ in _summed(ranges.mapInArrow(_learn(low), _LEARNED), _sum_learned, _LEARNED, unit_ranges) if low_row else []:
+        seen = np.frombuffer(seen, "<f8")
+        known = seen > 0
+        learner.weights[known] = (np.frombuffer(w, "<f8").reshape(GATES, PREDICTORS)[known] / seen[known, None]).astype(np.float32)
+        learner.map = np.frombuffer(map_, "<f8").reshape(2, -1)
+    refine = learner.refine() if low_row else identity()
+    no_words = F.lit(0).cast("long").alias("words")
+    costs = ranges.mapInArrow(_unit_answers(low, learner.weights, refine), "part long, kind long, range long, cells binary").select("*", no_words)
+    costs = stored(costs, "costs")
+    release(spark)
+    counts = by(several.mapInArrow(_blocks(_key_blocks(key_ranges)), _BLOCKS), "range", key_ranges, "part").mapInArrow(_key_answers, _ANSWERS)
+    counts = stored(counts, "counts")
+    release(spark)
+    n_words = counts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    answers = by(costs.unionByName(counts), "part", n_parts, "kind", "range")
+    path_of = lambda part: f"{folder}/part-{part:012d}"
+    shares = sum((np.frombuffer(bytes(r[0]), "<f8").reshape(TEXT_GATES, 3) for r in _summed(answers.mapInArrow(_learn_gates(path_of, unit_ranges, key_ranges), _GATES), _sum_shares, _GATES, n_parts)), np.zeros((TEXT_GATES, 3)))
+    release(spark)
+    scored = answers.mapInArrow(_score(path_of, unit_ranges, key_ranges, _weights(shares)), _SCORED)
+    # Pieces of a long text, in parts of their own, add up.
+    add = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "known", "n_bytes", "score")]
+    scored = scored.groupBy("of_part", "of_row", "doc_id", "held_out").agg(*add)
     base = F.col("known") - F.col("n_tokens") * float(np.log10(n_tokens + n_words + 1))
     return scored.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
-def _with_digest(inner):
+def _sum_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(TEXT_GATES * 3)
+    for batch in batches:
+        for cells in batch.column(0).to_pylist():
+            total = total + np.frombuffer(cells, "<f8")
+    if total.any():
+        yield _rows([(total.tobytes(),)], ("shares",))
+
+
+def _written(table: DataFrame, path: str, n: int) -> bool:
+    """The merged counts of low order, written by the task that merged them; False if there are none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for out in inner(iter([pa.RecordBatch.from_arrays(batch.columns[1:], names=["doc_id", "held_out", "text"])])):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(out)], *out.columns], names=["digest", *out.schema.names])
-                at += len(out)
+        for out in _merge_low(batches):
+            write_whole(path, [out.column(0)[0].as_py()])
+            yield _rows([(path,)], ("path",))
 
-    return run
+    some = table.repartition(max(1, math.isqrt(n))).mapInArrow(_merge_low, "low binary")
+    return bool(some.repartition(1).mapInArrow(run, "path string").collect())
