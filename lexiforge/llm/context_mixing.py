@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.bit_mixer import END, GATES, PREDICTORS, UNIT, Learner, Low, Units, coded, cut, grouped, identity, learned, mixed, packed, pieces_of, unit_costs, unpacked
-from lexiforge.llm.common import release, scratch, stored, text_of
+from lexiforge.llm.common import _remove, release, scratch, stored, text_of
 from lexiforge.llm.shared_files import read_whole, write_whole
 
 #: Bounds of a part: units, different units, and texts. With one window of a text more, places fit 22 bits and units 20.
@@ -242,15 +242,33 @@ def _unit_blocks(n: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
     return of
 
 
+_PAIR_BYTES = 6
+
+
+def _keys_out(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """Pairs' keys by six bytes (beside the range that is enough: a range holds RANGE_KEYS or so, whatever the corpus) and words' keys whole; random bytes don't shrink."""
+    word = (keys & np.uint64(1)).astype(bool)
+    raw = keys[~word].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PAIR_BYTES].tobytes(), keys[word].astype("<u8").tobytes()
+    return b"".join([len(raw[0]).to_bytes(8, "little"), len(raw[1]).to_bytes(8, "little"), *raw, packed(word=word.astype(np.uint8), times=times)])
+
+
+def _keys_in(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (int.from_bytes(cells[i : i + 8], "little") for i in (0, 8))
+    rest = unpacked(memoryview(cells)[16 + a + b :])
+    keys, word = np.empty(len(rest["times"]), np.uint64), rest["word"].astype(bool)
+    some = np.zeros((a // _PAIR_BYTES, 8), np.uint8)
+    some[:, :_PAIR_BYTES] = np.frombuffer(cells, np.uint8, a, 16).reshape(-1, _PAIR_BYTES)
+    keys[~word], keys[word] = some.view("<u8").reshape(-1), np.frombuffer(cells[16 + a : 16 + a + b], "<u8")
+    return keys, rest["times"]
+
+
 def _key_blocks(n: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
     def of(p: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
         keys, times, order, ends, _ = _asked(p, n)
         keys, times, at = keys[order], times[order], 0
         for r, end in enumerate(ends):
             if end > at:
-                # Seven bytes of a key are kept beside its range. Random bytes don't shrink.
-                raw = keys[at:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-                yield r, len(raw).to_bytes(8, "little") + raw + packed(times=times[at:end])
+                yield r, _keys_out(keys[at:end], times[at:end])
             at = end
 
     return of
@@ -367,12 +385,7 @@ _ANSWERS = "part long, kind long, range long, cells binary, words long"
 def _key_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each part the counts of its keys in the range; words: how many different words the training texts have in the range, in its first row."""
     for r, rows in _groups(batches):
-        keys, times = [], []
-        for _, cells in rows:
-            n = int.from_bytes(cells[:8], "little")
-            seven = np.frombuffer(cells, np.uint8, n, 8).reshape(-1, 7)
-            keys.append(np.concatenate([seven, np.zeros((len(seven), 1), np.uint8)], axis=1).view("<u8").reshape(-1))
-            times.append(unpacked(cells[8 + n :])["times"])
+        keys, times = zip(*(_keys_in(cells) for _, cells in rows), strict=True)
         sizes, all_ = [len(k) for k in keys], np.concatenate(keys)
         own, at = grouped(all_)
         total = np.bincount(at, np.concatenate(times), len(own)).astype(np.int64)
@@ -507,7 +520,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     spark = df.sparkSession
     held = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % folds == fold
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.spark_partition_id().alias("task"), F.encode(text_of(text_col), "UTF-8").alias("text"))
-    folder = scratch(spark, "model")
+    folder, of_units = scratch(spark, "model"), scratch(spark, "units")
     parts = stored(rows.mapInArrow(_cut_parts(folder), _PARTS), "parts")
     n_parts, units, different, n_tokens = (x or 0 for x in parts.agg(F.count("*"), F.sum("units"), F.sum("different"), F.sum("tokens")).first())
     unit_ranges, key_ranges = max(8, math.ceil(different / RANGE_UNITS)), max(8, math.ceil((units + different) / RANGE_KEYS))
@@ -516,8 +529,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def by(table: DataFrame, key: str, n: int, *order: str) -> DataFrame:
         return table.repartition(max(1, n), key).sortWithinPartitions(key, *order)
 
-    merged = by(several.mapInArrow(_blocks(_unit_blocks(unit_ranges)), _BLOCKS), "range", unit_ranges, "part").mapInArrow(_merge_units(folder), "range long, path string, low binary")
+    merged = by(several.mapInArrow(_blocks(_unit_blocks(unit_ranges)), _BLOCKS), "range", unit_ranges, "part").mapInArrow(_merge_units(of_units), "range long, path string, low binary")
     merged = stored(merged, "units")
+    release(spark)
     low = f"{folder}/low"
     low_row = _written(merged.select("low"), low, unit_ranges)
     ranges = merged.select("range", "path").repartition(unit_ranges, "range")
@@ -531,7 +545,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     no_words = F.lit(0).cast("long").alias("words")
     costs = ranges.mapInArrow(_unit_answers(low, learner.weights, refine), "part long, kind long, range long, cells binary").select("*", no_words)
     costs = stored(costs, "costs")
-    release(spark)
+    _remove(spark, of_units)
+    release(spark, merged)
     counts = by(several.mapInArrow(_blocks(_key_blocks(key_ranges)), _BLOCKS), "range", key_ranges, "part").mapInArrow(_key_answers, _ANSWERS)
     counts = stored(counts, "counts")
     release(spark)

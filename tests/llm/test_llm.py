@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.llm import common, context_mixing, exact_dedup, mixing, near_dedup, packing, pii, quality, queries, sharding, suffix_dedup, token_files
+from lexiforge.llm import bit_mixer, common, context_mixing, exact_dedup, mixing, near_dedup, packing, pii, quality, queries, sharding, suffix_dedup, token_files
 from tests.parity import check
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -468,91 +468,156 @@ def test_sketches_merge(spark):
 
 # 9 context mixing
 
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
-def test_scores(spark, docs, sf_dir):
-    found = context_mixing.score_texts(docs, sample=40).toPandas().set_index("doc_id")
-    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    table = {r["doc_id"]: [*(r["text"] or "").encode().translate(low).split(), None] for r in docs.collect()}
-    count = collections.Counter(w for i, ws in table.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+
+def is_train(i):
+    return zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2
+
+
+def test_scores(spark, docs):
+    found = context_mixing.score_texts(docs).toPandas().set_index("doc_id")
+    table = {r["doc_id"]: [*(r["text"] or "").encode().translate(LOWER).split(), None] for r in docs.collect()}
+    count = collections.Counter(w for i, ws in table.items() if is_train(i) for w in ws)
     n, v = count.total(), len(count)
     for i, ws in table.items():
         r = found.loc[i]
-        assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2) and r.n_tokens == len(ws) and r.n_known == sum(count[w] > 0 for w in ws) and r.train_tokens == n
+        assert r.held_out == (not is_train(i)) and r.n_tokens == len(ws) and r.n_known == sum(count[w] > 0 for w in ws) and r.train_tokens == n
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-    assert found[found.held_out].bits_per_byte.median() < 4 and (found.score < 0).all()
-    joined = context_mixing.score_texts(docs, sample=40, most_shipped=0).toPandas().set_index("doc_id").loc[found.index]
-    assert (joined.n_known == found.n_known).all() and np.allclose(joined.base_score, found.base_score) and np.allclose(joined.score, found.score)
-
-
-def test_probabilities_add_up():
-    """Over all next bytes, a model's probabilities sum to one: each bit's two do."""
-    texts = [b"the cat sat on the mat and the dog sat on the log " * 4] * 3
-    table = np.zeros(2 * context_mixing.SLOTS, np.int64)
-    for _, data, begins, ends in context_mixing.padded(texts):
-        bits, at = context_mixing.slots(data)
-        of = context_mixing.coded(len(data), begins, ends)
-        np.add.at(table, (2 * at[:, of].astype(np.int64) + bits[of]).reshape(-1), 1)
-    model = context_mixing.fit(table, texts)
-    whole = 10 ** context_mixing.bit_scores(model, [b"the"])[0]
-    # "the" and its end: the chance of going on with any byte instead of ending, plus ending, is that of the prefix.
-    chances = 10 ** context_mixing.bit_scores(model, [b"", b"a", b"b"])
-    assert 0 < whole < 1 and (chances < 1).all()
-    assert context_mixing.bit_scores(model, [texts[0]])[0] > context_mixing.bit_scores(model, [texts[0][::-1]])[0]
-
-
-def test_context_does_not_leak():
-    model = context_mixing.fit(np.zeros(2 * context_mixing.SLOTS, np.int64), [])
-    one = context_mixing.bit_scores(model, [b"abc", b"", b"xyz w"])
-    two = context_mixing.bit_scores(model, [b"xyz w", b"abc", b""])
-    assert np.allclose(one, two[[1, 2, 0]]) and np.allclose(one[1], 8 * np.log10(0.5), atol=1e-6)
+    assert found[found.held_out].bits_per_byte.median() < 2.5 and (found.score < 0).all()
+
+
+def plain_units(text):
+    """Pieces that end at a blank or behind a line end, cut to 48 bytes; the separator belongs to the unit."""
+    out = []
+    pieces = [q for p in (text or "").encode().translate(LOWER).split(b" ") for q in re.findall(rb"[^\n]*\n|[^\n]+$|^$|(?<=\n)$", p)]
+    for piece in pieces:
+        while len(piece) >= 48:
+            out.append(piece[:48])
+            piece = piece[48:]
+            if not piece and out[-1].endswith(b"\n"):
+                piece = None
+                break
+        if piece is not None:
+            out.append(piece if piece.endswith(b"\n") else piece + b" ")
+    return [*out, b"\xff"]
+
+
+def plain_unit_costs(times, weights, refine, loo=0):
+    """-log10 of each unit's probability, bit by bit from counts in dictionaries."""
+    counts = collections.defaultdict(lambda: [0, 0])
+
+    def bits(unit):
+        for p in range(len(unit)):
+            back = (b"   " + unit[:p])[-3:]
+            for j in range(8):
+                node = (unit[p] | 256) >> (8 - j)
+                yield p, j, node, unit[p] >> (7 - j) & 1, [(1, back[-1:], node), (2, back[-2:], node), (3, back, node), ("all", unit[:p], node)]
+
+    for u, n in times.items():
+        for *_, bit, contexts in bits(u):
+            for c in contexts:
+                counts[c][bit] += n
+    out = {}
+    for u in times:
+        total = 0.0
+        for _, j, node, bit, contexts in bits(u):
+            x = [math.log((max(counts[c][bit] - loo, 0) + 0.4) / (counts[c][1 - bit] + 0.4)) for c in contexts]
+            known = sum(counts[contexts[-1]]) - loo
+            z = sum(a * b for a, b in zip(x, weights[j * 5 + sum(known >= k for k in (1, 2, 4, 16))], strict=True))
+            z = max(-12.0, min(12.0, z))
+            at = (z * (2 * bit - 1) + 12) * 32 / 24
+            low = min(int(at), 31)
+            r = refine[node][low] + (refine[node][low + 1] - refine[node][low]) * (at - low)
+            total += math.log1p(math.exp(-(z + r * (2 * bit - 1)) / 2))
+        out[u] = total / math.log(10)
+    return out
+
+
+def test_units_are_coded_bit_by_bit():
+    rng = random.Random(3)
+    times = collections.Counter("".join(rng.choices("abcé", k=rng.randint(0, 9))).encode() + b" " for _ in range(400))
+    times |= {b"abc\n": 3, b"\xff": 50, b"a" * 48: 2, b"new ": 0, b"zzz ": 0}
+    own = sorted(times)
+    units = bit_mixer.Units(pa.array(own, pa.binary()), np.array([times[u] for u in own]))
+    low = bit_mixer.Low(bit_mixer.Low.merged([bit_mixer.Low.of(units)]))
+    learner = bit_mixer.learned(units, low)
+    assert not np.allclose(learner.weights, 0.3) and math.isclose(learner.seen.sum(), 8 * sum(len(u) * n for u, n in times.items()))
+    assert math.isclose(learner.map.sum(), learner.seen.sum(), rel_tol=1e-6)
+    found = bit_mixer.unit_costs(units, low, learner.weights, learner.refine())
+    for loo in (0, 1):
+        want = plain_unit_costs(times, learner.weights, learner.refine(), loo)
+        assert np.allclose(found[loo], [want[u] for u in own], rtol=1e-3, atol=1e-3)
+    before = bit_mixer.unit_costs(units, low, np.full_like(learner.weights, 0.3), bit_mixer.identity())
+    assert (units.n * found[1]).sum() < (units.n * before[1]).sum()  # learning pays, on strings without any order
+
+
+def test_score_equals_plain_reading(spark, monkeypatch):
+    """The whole score of each text, from dictionaries and loops; and nothing of the training texts goes unlearned."""
+    seen = {}
+
+    def kept(name, at):
+        of = getattr(context_mixing, name)
+        monkeypatch.setattr(context_mixing, name, lambda *a: seen.setdefault(name, a[at]) is None or of(*a))
+
+    kept("_unit_answers", slice(1, 3)), kept("_score", 3), kept("_weights", 0)
+    rng = random.Random(6)
+    words = ["red", "Green", "blue\n", "", "x" * 48, "y" * 47 + "\n", "z" * 130, "grey\tone", "é"]
+    table = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(40)] + [(None, None), (50, "")]
+    found = {r["doc_id"]: r for r in rows(context_mixing.score_texts(spark.createDataFrame(table, "doc_id long, text string").repartition(3)))}
+    texts = {i: plain_units(t) for i, t in table}
+    train = [u for i, u in texts.items() if is_train(i)]
+    times = collections.Counter({u: 0 for us in texts.values() for u in us})
+    times.update(u for us in train for u in us)
+    pairs = collections.Counter(p for us in train for p in zip([b"\xff", *us], us))
+    assert math.isclose(seen["_weights"].sum(), sum(map(len, train)))
+    costs, weights = plain_unit_costs(times, *seen["_unit_answers"]), seen["_score"]
+    for i, us in texts.items():
+        total, past, hits = 0.0, collections.Counter(), [0, 0, 0]
+        for t, (a, u) in enumerate(zip([b"\xff", *us], us)):
+            p = [10 ** -costs[u], pairs[a, u] / times[a] if times[a] else 0, past[u] / t if t else 0]
+            recurring = t > 0 and past[a] > 1
+            gate = (sum(times[a] >= k for k in (1, 2, 8, 64, 1024)) * 4 + sum(hits)) * 2 + recurring
+            total += math.log10(sum(x * w for x, w in zip(p, weights[gate], strict=True)))
+            hits = [*hits[1:], int(p[1] > p[0])]
+            past[u] += 1
+        assert math.isclose(total, found[i]["score"], rel_tol=2e-3), i
+        n = len((dict(table)[i] or "").encode())
+        assert math.isclose(found[i]["bits_per_byte"], -found[i]["score"] * math.log2(10) / max(n, 1))
+
+
+def test_long_texts_fall_into_parts(tmp_path, monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(["a", "b", " ", "\n", "word ", "long" * 20], k=800)) for _ in range(4)] + ["", " ", "w" * 5000]
+    for window in (1, 7, 100, 1 << 21):
+        for t in texts:
+            got = [c for p in bit_mixer.pieces_of(t.encode(), window) for c in p]
+            assert got == next(bit_mixer.pieces_of(t.encode()))
+    monkeypatch.setattr(context_mixing, "MOST", 300)
+    monkeypatch.setattr(context_mixing, "pieces_of", lambda raw: bit_mixer.pieces_of(raw, 200))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array([0] * len(texts), pa.int32()), pa.array([t.encode() for t in texts], pa.binary())], names=["doc_id", "held_out", "task", "text"])
+    units, sizes, before = collections.defaultdict(list), collections.Counter(), {}
+    files = [r["path"] for b in context_mixing._cut_parts(str(tmp_path))(iter([batch])) for r in b.to_pylist()]
+    for path in files:
+        p = bit_mixer.unpacked(open(path, "rb").read())
+        ends = np.cumsum(p["unit_lengths"].astype(int))
+        own = [p["unit_bytes"][e - n : e].tobytes() for e, n in zip(ends, p["unit_lengths"], strict=True)]
+        at = 0
+        for doc, n, size, b in zip(p["doc_ids"], p["lengths"], p["n_bytes"], p["before"], strict=True):
+            assert own[b] == before.get(doc, b"\xff")
+            units[doc] += [own[k] for k in p["ids"][at : at + n]]
+            before[doc] = units[doc][-1]
+            sizes[doc] += size
+            at += n
+    assert len(files) > 5 and all(units[i] == plain_units(t) and sizes[i] == len(t) for i, t in enumerate(texts))
 
 
 def test_scoring_odd_rows(odd):
-    found = rows(context_mixing.score_texts(clash(odd), sample=5))
+    found = rows(context_mixing.score_texts(clash(odd)))
     assert len(found) == 12 and all(r["score"] < 0 for r in found) and min(r["n_tokens"] for r in found) == 1
     assert rows(context_mixing.score_texts(odd.limit(0))) == []
-
-
-def contexts_of(folder, texts):
-    """Counted contexts of the texts, as tasks see them."""
-    counted = [b for b in context_mixing._count(folder)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])])) if b.column(0)[0].as_py() == 1]
-    places = pa.Table.from_batches(counted).select(["key", "path", "n", "size"]).sort_by("key")
-    files = [tuple(r.values()) for b in context_mixing._context_files(folder)(iter(places.to_batches())) for r in b.to_pylist()]
-    return context_mixing._contexts_at(folder, files)
-
-
-def test_contexts_never_share_counts(tmp_path):
-    """As many groups as contexts, beyond what tables of fixed size hold; what was not seen is unknown."""
-    rng = random.Random(4)
-    texts = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=20_000)) for _ in range(20)]
-    contexts = contexts_of(str(tmp_path), texts)
-    five = collections.defaultdict(collections.Counter)
-    for t in texts:
-        coded = b"\xff" * 5 + t + b"\xff"
-        for i in range(5, len(coded)):
-            five[coded[i - 5 : i]][coded[i]] += 1
-    data = np.frombuffer(b"\xff" * context_mixing.PAD + b"".join(t + b"\xff" * (1 + context_mixing.PAD) for t in texts), np.uint8)
-    of = context_mixing.coded(len(data), *(np.array(x) for x in zip(*[(i * 20_007 + 6, i * 20_007 + 20_007) for i in range(20)], strict=True)))
-    order = context_mixing.ORDERS.index(5)
-    groups = contexts.groups(data)[order][of, 0]
-    assert len(five) > 300_000 and len(np.unique(groups)) == len(five)
-    halves = {i: n for i, n in zip(of[:2000], contexts.halves(groups[:2000] // 16).sum(axis=1), strict=True)}
-    assert all(n == five[data[i - 5 : i].tobytes()].total() for i, n in halves.items())
-    unknown = contexts.groups(np.frombuffer(b"01234567", np.uint8))[order][6:]
-    assert (unknown == 16 * (len(contexts.keys) - 1)).all() and not contexts.halves((unknown // 16).reshape(-1)).any()
-
-
-def test_learns_from_all_texts(spark, monkeypatch):
-    """No bound on texts: every bit of the training texts moves weights and map, those of long texts too."""
-    merged = []
-    monkeypatch.setattr(context_mixing, "_merged", lambda *a, of=context_mixing._merged: merged.append(of(*a)) or merged[-1])
-    rng = random.Random(6)
-    table = [(i, " ".join(rng.choices(("red", "green", "blue", "grey"), k=60_000 if i < 3 else 20_000))) for i in range(12)]
-    train = [t for i, t in table if zlib.crc32(str(i).encode()) % 7 != 2]
-    found = context_mixing.score_texts(spark.createDataFrame(table, "doc_id long, text string")).collect()
-    bits = sum(8 * (len(t) + 1) for t in train)
-    assert merged[-1].seen.sum() == bits and math.isclose(merged[-1].map.sum(), bits, rel_tol=1e-6)
-    assert not np.allclose(merged[-1].weights, 0.3) and len(found) == 12 and 1 in context_mixing.ORDERS
+    only = rows(context_mixing.score_texts(odd.where("doc_id = 2")))  # held out or not, one text
+    assert len(only) == 1
 
 
 # 10 repeated passages
