@@ -93,6 +93,10 @@ def route(mass: dict[frozenset, int], quota: dict[str | None, int], most: int) -
     return out
 
 
+#: Columns that mix() joins to its rows; columns of that name are called otherwise meanwhile.
+_INNER = {"whole", "ends", "upto", "more", "less", "_source"}
+
+
 def mix(df: DataFrame, size: Column, members: Column, order: list[str], weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, buckets: int = 1 << 14, most_patterns: int = 100_000) -> DataFrame:
     """df with pattern, size, source_size and target (of the row's first source) and repeats.
 
@@ -110,10 +114,11 @@ def mix(df: DataFrame, size: Column, members: Column, order: list[str], weights:
     """
     spark = df.sparkSession
     keep = [c for c in df.columns if c.lower() not in ("pattern", "size", "source_size", "target", "repeats")]
+    own = {c: free_name(df, f"own_{c}") for c in keep if c.lower() in _INNER}
     # A row without any source belongs to the source null.
     pattern = F.sort_array(F.array_distinct(F.when(F.size(members) > 0, members).otherwise(F.array(F.lit(None).cast("string")))))
     h, b = free_name(df, "_hash"), free_name(df, "_bucket")
-    rows = df.select(*keep, pattern.alias("pattern"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *order).alias(h))
+    rows = df.select(*[F.col(c).alias(own.get(c, c)) for c in keep], pattern.alias("pattern"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *order).alias(h))
     rows = rows.withColumn(b, F.shiftrightunsigned(h, 64 - (buckets.bit_length() - 1)).cast("int"))
     narrow = stored(rows.groupBy("pattern", b, h).agg(F.sum("size").alias("size")), "mix")
 
@@ -163,7 +168,7 @@ def mix(df: DataFrame, size: Column, members: Column, order: list[str], weights:
     found = rows.join(planned(final, "whole int, ends int, upto long, more long, less long"), "pattern").join(by_source, F.element_at("pattern", 1).eqNullSafe(F.col("_source")), "left")
     extra = F.when(F.col(h) == F.col("less"), 0).when(taken | (F.col(h) == F.col("more")), 1).otherwise(0)
     repeats = F.when(F.col("size") > 0, F.least(F.col("whole") + extra, F.lit(most))).otherwise(0)
-    return found.select(*keep, "pattern", "size", "source_size", "target", repeats.cast("int").alias("repeats"))
+    return found.select(*[F.col(own.get(c, c)).alias(c) for c in keep], "pattern", "size", "source_size", "target", repeats.cast("int").alias("repeats"))
 
 
 def shared_targets(mass: dict[frozenset, int], sizes: dict[str | None, int], weights: tuple[int, ...], most: float) -> dict[str | None, float]:

@@ -10,6 +10,7 @@ well by sums, and decides about every span. Spans of the four base kinds that sa
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,6 +27,9 @@ GIVEN = "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth
 CALLING = "1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 7 81 82 84 86 90 91 351 352 353 358 380 420"
 IBAN = "AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT SE"
 ISSUER = "4 5 34 35 36 37 38 6 2"
+#: Beginnings of keys that services give out; area codes of large cities.
+KEY = "AKIA ASIA AIza ghp_ gho_ ghs_ github_pat_ glpat- xoxb- xoxp- sk_live_ sk-ant- sk-proj- rk_live_ SG. npm_ pypi- hf_ eyJ"
+AREA = "202 206 210 212 213 214 215 303 305 310 312 313 314 323 404 408 412 415 416 503 504 512 514 602 604 612 617 619 702 713 714 718 770 773 801 808 813 818 832 847 858 901 904 909 917 919 925 949 972"
 DOMAIN = "com org net edu gov io info biz example de fr es uk eu us ca"
 
 
@@ -77,9 +81,11 @@ KINDS = (
     # Shorter runs fail anyway, and asking for 16 digits here starts no match inside one.
     Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){15,}+", r"[0-9](?:[ -]?[0-9]){15}", lambda m: F.length(_compact(m)).between(16, 19) & F.call_function("luhn_check", _compact(m)), lambda m: F.length(_compact(m)) == 16, _starts(ISSUER), r"(?i)(?:card|visa|credit|pay)[^0-9]{0,20}$"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", lambda m: F.length(F.translate(m, "+ ().-", "")).between(8, 15), _like(r"^[+][0-9]{1,3}[ .(-]"), _starts(CALLING, "[+]"), r"(?i)(?:phone|tel|call|mobile|fax)[^0-9]{0,20}$"),
-    Kind("local_phone", r"(?<![0-9+().-])(?<![0-9)] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", _always, _like(r"^(?:[(][2-9][0-9]{2}[)] ?|[2-9][0-9]{2}[.-])"), _never, r"(?i)(?:phone|tel|call|mobile|fax|contact)[^0-9]{0,20}$"),
+    Kind("local_phone", r"(?<![0-9+().-])(?<![0-9)] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", _always, _like(r"^(?:[(][2-9][0-9]{2}[)] ?|[2-9][0-9]{2}[.-])"), _starts(AREA, "[(]?"), r"(?i)(?:phone|tel|call|mobile|fax|contact)[^0-9]{0,20}$"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _always, lambda m: ~m.rlike("^(?:000|666|9)|-00-|0000$"), _never, r"(?i)(?:ssn|social security|tax id)[^0-9]{0,20}$"),
     Kind("bank_account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", _always, lambda m: F.length(F.translate(m, " ", "")).between(15, 34) & F.translate(m, " ", "").rlike("[0-9]{6}"), _starts(IBAN), r"(?i)(?:iban|account|bank|konto|compte|cuenta)[^0-9]{0,20}$"),
+    # Any long run may be a secret: most are words, file names or rules. Votes tell them apart.
+    Kind("secret", r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/.-]{20,}+={0,2}", r"[A-Za-z0-9_+/.-]{20}", _always, lambda m: m.rlike("^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{36})$") | m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9_+/-]{20,}={0,2})$") & (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 4) & m.rlike("[A-Za-z]"), _like("^(?:(?:" + "|".join(re.escape(k) for k in KEY.split()) + ")|[0-9a-f]+$|[0-9A-F]+$)"), r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(?:orization)?|bearer|credential)s?["']?\s*(?:[:=]|is)?\s*["']?$"""),
     Kind("name", rf"(?=[A-Z])(?<![A-Za-z])(?:{'|'.join(GIVEN.split())}) [A-Z][a-z]+(?![A-Za-z])", "[A-Z][a-z]{2,8} [A-Z][a-z]", _always, _like("^[A-Z][a-z]+ [A-Z][a-z]{2,}$"), _always, r"(?i)(?:name is|\bmrs?\.|\bms\.|\bdr\.|author:?|signed,?) ?$"),
 )
 LABELERS = ("strict", "gazetteer", "context")
@@ -93,15 +99,22 @@ def spans_of(text: Column, kind: Kind, before: int = 24) -> Column:
     search that fails in the tail from starting again at each of its characters.
     """
     gap, hit = (F.regexp_extract_all(text, F.lit(rf"\G(?s)(.*?)({kind.pattern})"), F.lit(i)) for i in (1, 2))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string,b:string>>").alias("out"))
+    none = F.array().cast("array<struct<s:int,e:int,m:string,b:string>>")
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(before)).alias("b")))).alias("out"))
 
-    raw = F.aggregate(F.zip_with(gap, hit, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), start, step, lambda a: a["out"])
-    guarded = F.when(text.rlike(kind.guard), raw).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,b:string>>"))
+    def placed(pairs: Column) -> Column:
+        """Positions in blocks of 64 matches, so that a fold's growing array stays short."""
+        blocks = F.when(F.size(pairs) == 0, F.array().cast("array<array<struct<g:string,m:string>>>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / 64).cast("int")), lambda i: F.slice(pairs, i * 64 + 1, F.lit(64))))
+        sizes = lambda all_: F.transform(all_, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x["g"]) + F.length(x["m"])))
+        begins = lambda all_: F.aggregate(sizes(all_), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return let(blocks, lambda all_: F.flatten(F.zip_with(all_, begins(all_), lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"]))))
+
+    raw = let(F.zip_with(gap, hit, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), placed)
+    guarded = F.when(text.rlike(kind.guard), raw).otherwise(none)
     valid = F.filter(guarded, lambda x: let(x["m"], kind.valid))
     return F.transform(
         valid,
@@ -210,12 +223,13 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, and spans as text: kind:start:end, comma-joined."""
+    """Counts of the base kinds, of further spans and of all, and spans as text: kind:start:end, comma-joined."""
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     spans = F.col("spans")
     of = lambda k: lambda s: s["kind"] == k
     counts = [F.size(F.filter(spans, of(k))).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.array_join(F.transform(F.filter(spans, lambda s: s["base"]), one), ",")
+    counts += [F.size(F.filter(spans, lambda s: ~s["base"])).cast("long").alias("n_further"), F.size(spans).cast("long").alias("n_spans")]
     return found.select(*[c for c in found.columns if c != "spans"], *counts, F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform(spans, one), ",").alias("spans"))
 
 

@@ -135,19 +135,20 @@ def judge(df: DataFrame, lang_col: str = "lang", source_col: str = "source", rul
     Null languages and sources are groups of their own. A group with fewer than min_rows rows that pass the
     base rules takes the limits of its language, and that one those of all rows.
     """
+    own_lang, own_source, own_limits = (free_name(df, x) for x in ("group_lang", "group_source", "group_limits"))
     fine = stored(sketches(df.select(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *[c for c in df.columns if c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")]), ["_lang", "_source"], rules, gamma), "sketch")
     both = limits(quartiles(fine, ["_lang", "_source"], gamma), ["_lang", "_source"], rules)
     lang = limits(quartiles(fine, ["_lang"], gamma), ["_lang"], rules).select(F.col("_lang").alias("_l2"), F.col("rows").alias("_n2"), F.col("limits").alias("_x2"))
     all_ = limits(quartiles(fine.withColumn("_all", F.lit(0)), ["_all"], gamma), [], rules).select(F.col("limits").alias("_x3"))
     table = both.join(lang, F.col("_lang").eqNullSafe(F.col("_l2"))).crossJoin(F.broadcast(all_))  # the right side is one row
     chosen = F.when(F.col("rows") >= min_rows, F.col("limits")).when(F.col("_n2") >= min_rows, F.col("_x2")).otherwise(F.col("_x3"))
-    table = table.select("_lang", "_source", chosen.alias("_limits"))
-    joined = df.join(table, df[lang_col].eqNullSafe(F.col("_lang")) & df[source_col].eqNullSafe(F.col("_source")), "left")
+    table = table.select(F.col("_lang").alias(own_lang), F.col("_source").alias(own_source), chosen.alias(own_limits))
+    joined = df.join(table, F.col(lang_col).eqNullSafe(F.col(own_lang)) & F.col(source_col).eqNullSafe(F.col(own_source)), "left")
     fine_ = F.lit(True)
     for r in rules:
-        ratio, bound = F.expr(r.ratio), F.col("_limits")[r.name]
+        ratio, bound = F.expr(r.ratio), F.col(own_limits)[r.name]
         fine_ = fine_ & F.coalesce((ratio >= bound) if r.lower else (ratio <= bound), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & fine_).drop("_lang", "_source", "_limits")
+    return joined.withColumn("kept", ~F.col("base_failed") & fine_).drop(own_lang, own_source, own_limits)
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:

@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import small, text_of
+from lexiforge.llm.common import free_name, small, text_of
+
 
 def cell_owners(shards: int, vnodes: int, cells: int) -> list[int]:
     """The shard that owns each cell of the ring: that of the first virtual node at or clockwise from it."""
@@ -88,19 +89,20 @@ def assign_shards(df: DataFrame, shards: int, key_cols: tuple[str, ...] = ("doc_
         raise ValueError("shards must be positive and cells a power of two")
     spark, text = df.sparkSession, F.col(text_col)
     names = [c for c in df.columns if c.lower() not in (text_col.lower(), "size", "text_crc32", "shard", "slot")]
+    cell, salt, order, from_, to, at, nth = (free_name(df, x) for x in ("cell", "salt", "order", "from", "to", "at", "rank"))
     rows = df.select(
         *names,
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text_of(text_col), "UTF-8")).cast("long").alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(*key_cols), 64 - (cells.bit_length() - 1)).cast("int").alias("_cell"),
-        F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int").alias("_salt"),
-        F.xxhash64(*key_cols, text_col).alias("_order"),
+        F.shiftrightunsigned(F.xxhash64(*key_cols), 64 - (cells.bit_length() - 1)).cast("int").alias(cell),
+        F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int").alias(salt),
+        F.xxhash64(*key_cols, text_col).alias(order),
     )
-    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("_cell", "_salt").count().collect()}  # cells * salts rows at most
+    counts = {(r[0], r[1]): r[2] for r in rows.groupBy(cell, salt).count().collect()}  # cells * salts rows at most
     total = sum(counts.values())
     most = quotas(total, shards) if slack is None else bounded(total, shards, slack)
     plan = walk(counts, cell_owners(shards, vnodes, cells), most)
-    plan = small(spark, plan, "_cell int, _salt int, _from long, _to long, shard int, _at long")
-    rank = F.row_number().over(Window.partitionBy("_cell", "_salt").orderBy("_order", *key_cols)) - 1
-    found = rows.withColumn("_rank", rank.cast("long")).join(F.broadcast(plan), ["_cell", "_salt"]).where("_rank BETWEEN _from AND _to")
-    return found.select(*names, "size", "text_crc32", "shard", (F.col("_at") + F.col("_rank") - F.col("_from")).alias("slot"))
+    plan = small(spark, plan, ", ".join(f"`{name}` {kind}" for name, kind in ((cell, "int"), (salt, "int"), (from_, "long"), (to, "long"), ("shard", "int"), (at, "long"))))
+    rank = F.row_number().over(Window.partitionBy(cell, salt).orderBy(order, *key_cols)) - 1
+    found = rows.withColumn(nth, rank.cast("long")).join(F.broadcast(plan), [cell, salt]).where(F.col(nth).between(F.col(from_), F.col(to)))
+    return found.select(*names, "size", "text_crc32", "shard", (F.col(at) + F.col(nth) - F.col(from_)).alias("slot"))
