@@ -1,12 +1,13 @@
-"""Removal of repeated passages with suffix order of fixed length, which equals thresholding longest-previous-factor arrays.
+"""Removal of repeated passages with longest-previous-factor arrays.
 
 A passage is repeated where a string of 200 bytes also starts elsewhere. The suffixes of a whole corpus are
 never sorted together: two equal strings of 200 bytes choose the same 64 bytes in them (those with the least
 hash), so only strings that share this anchor can be equal. Each anchor stands for a run of starts; the bytes
 around it that these starts can reach are its context. Anchors that occur once are dropped, equal contexts
-become one, and the starts in the contexts of an anchor are put in the order of their first 200 bytes, ties by
-position. Equal neighbours there are the starts whose longest match that starts earlier (LPF), or later, has 200 bytes
-or more; the LPF arrays themselves are not built.
+become one, and the starts in the contexts of an anchor are put in suffix order, with the length that each shares
+with the one before. The longest previous factor of a start is what it shares with the nearest starts above and below
+in that order that come earlier in the corpus (its previous and next smaller position), the longest next factor likewise;
+where it reaches 200 bytes, the start is that of an earlier or later copy. Lengths count up to 200.
 
 An anchor with very many different contexts is split: its starts are halved by their distance to the
 anchor, and each half gets a longer anchor, the bytes that all its starts share. After eight halvings the
@@ -116,16 +117,7 @@ def _pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray,
         yield np.concatenate(parts), np.array(ends), rows
 
 
-def range_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each range: differences of one running polynomial, shifted to start at power 0."""
-    n = len(data)
-    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(_BASE))]))
-    inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))]))
-    upto = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * power[:-1])])
-    return mixed((upto[end] - upto[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-
-
-#: ctx is a hash of the context; with the key, 128 bits of content tell contexts apart. digest holds 64 bits of the text's.
+#: ctx is a hash of the context's bytes, of another kind than the key: both tell contexts apart. digest holds 64 bits of the text's.
 _ANCHORS = "key long, ctx long, doc_id long, digest long, lo int, hi int, off int"
 
 
@@ -138,7 +130,8 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             piece = np.searchsorted(ends, lo, side="right")
             row = pa.array(np.array([r for r, _ in rows])[piece])
             shift = np.array([o for _, o in rows])[piece] - np.concatenate([[0], ends[:-1]])[piece]
-            ctx = range_hashes(data, lo, hi + LENGTH).view(np.int64)
+            raw = memoryview(np.ascontiguousarray(data))
+            ctx = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + LENGTH).tolist(), strict=True)), np.uint64, len(lo)).view(np.int64)
             cols = [pa.array(key), pa.array(ctx), ids.take(row), digests.take(row), *(pa.array(x.astype(np.int32)) for x in (lo + shift, hi + shift, at - lo))]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "ctx", "doc_id", "digest", "lo", "hi", "off"])
 
@@ -160,18 +153,83 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "ctx", "contexts", "off", "first", "content"])
 
 
+def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the starts by their LENGTH bytes, equal ones by position, and the length that each in that order shares with the one before.
+
+    Words of 8 bytes refine the order of ties until none is left; most starts differ early.
+    """
+    n = len(starts)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    words = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        words |= padded[i : i + len(data)] << np.uint64(56 - 8 * i)
+    shared, rank, tied = np.zeros(n, np.int32), np.zeros(n, np.int64), np.arange(n)
+    for k in range(LENGTH // 8):
+        word = words[starts[tied] + 8 * k]
+        order = np.lexsort((word, rank[tied]))  # stable: equal ones stay in the order of positions
+        s, word = tied[order], word[order]
+        old = np.concatenate([[True], rank[s][1:] != rank[s][:-1]])
+        new = old | np.concatenate([[True], word[1:] != word[:-1]])
+        group = np.flatnonzero(new)
+        counts = np.diff(np.concatenate([group, [len(s)]]))
+        base = np.maximum.accumulate(np.where(old, np.arange(len(s)), 0))
+        rank[s] = rank[s] + np.repeat(group, counts) - base  # the place of a group's first in the whole order
+        edge = np.flatnonzero(new & ~old)
+        differ = word[edge] ^ word[edge - 1]
+        bits = np.frexp((differ >> np.uint64(11)).astype(np.float64))[1] + 11  # leading byte of the difference, exactly
+        small_ = differ < np.uint64(1 << 11)
+        bits[small_] = np.frexp(differ[small_].astype(np.float64))[1]
+        shared[rank[s[edge]]] = 8 * k + (64 - bits) // 8
+        tied = np.sort(s[np.repeat(counts > 1, counts)])
+        if not len(tied):
+            break
+    if len(tied):  # equal in all bytes: they follow their group's first
+        order = np.lexsort((tied, rank[tied]))
+        s = tied[order]
+        first = np.flatnonzero(np.concatenate([[True], rank[s][1:] != rank[s][:-1]]))
+        nth = np.arange(len(s)) - np.repeat(first, np.diff(np.concatenate([first, [len(s)]])))
+        rank[s] += nth
+        shared[rank[s[nth > 0]]] = LENGTH
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out, shared
+
+
+def nearest_smaller(value: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each place, the least of `shared` from behind the nearest place above with a smaller value; 0 if there is none.
+
+    Between a place and its candidate all values are larger, whether the candidate is final or not, so all places
+    jump to their candidate's candidate at once until every candidate is smaller.
+    """
+    at, least = np.arange(len(value)) - 1, shared.copy()
+    open_ = np.arange(1, len(value))
+    while len(open_):
+        open_ = open_[value[at[open_]] > value[open_]]
+        further = at[open_]
+        jump, low = at[further], np.minimum(least[open_], least[further])
+        at[open_], least[open_] = jump, low
+        open_ = open_[jump >= 0]
+    least[at < 0] = 0
+    return least
+
+
+def longest_factors(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """In suffix order, the longest match of each position that starts at a smaller one: from its previous and its next smaller position."""
+    below = np.concatenate([shared[1:], [0]])[::-1] if len(shared) else shared
+    return np.maximum(nearest_smaller(position, shared), nearest_smaller(position[::-1], below)[::-1])
+
+
 def matches(contents: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each content and each start in it: does a match of LENGTH start earlier, and does one start later?
+    """For each content and each start in it: is its longest previous, and its longest next factor LENGTH bytes long?
 
-    Earlier means in a content that comes before, or before in the same. Starts whose first 128 bytes occur
-    once are set aside first; the others are put in suffix order, equal strings by position. The previous
-    smaller position of a start is then its neighbour above if they share LENGTH bytes; a next smaller one never is, since
-    equal strings stand in order; and where the shared length falls below LENGTH neither can be.
+    Previous means in a content that comes before, or before in the same. Starts whose first 128 bytes have a hash of their own
+    have none and are set aside first.
     """
     sizes = np.array([len(c) for c in contents])
     data = np.frombuffer(b"".join(contents), np.uint8)
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    starts = np.concatenate([np.arange(b, b + n - LENGTH + 1) for b, n in zip(begins, sizes, strict=True)])
+    many = sizes - LENGTH + 1
+    starts = np.arange(many.sum()) + np.repeat(begins - (np.cumsum(many) - many), many)
     h = window_hashes(data, 128)[starts]
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
@@ -179,31 +237,11 @@ def matches(contents: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     left = np.sort(starts[order[twice]])
     earlier, later = np.zeros(len(data), bool), np.zeros(len(data), bool)
     if len(left):
-        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[left])
-        keys = rows.view(">u8").reshape(len(left), LENGTH // 8)
-        # Suffix order: most starts differ early, so words of 8 bytes refine the order of ties until none is left.
-        rank = np.zeros(len(left), np.int64)
-        tied = np.arange(len(left))
-        for k in range(LENGTH // 8):
-            o = np.lexsort((tied, keys[tied, k], rank[tied]))
-            s = tied[o]
-            new = np.concatenate([[True], (rank[s][1:] != rank[s][:-1]) | (keys[s, k][1:] != keys[s, k][:-1])])
-            group = np.flatnonzero(new)
-            counts = np.diff(np.concatenate([group, [len(s)]]))
-            old = np.concatenate([[True], rank[s][1:] != rank[s][:-1]])
-            base = np.maximum.accumulate(np.where(old, np.arange(len(s)), 0))
-            rank[s] = rank[s] + np.repeat(group, counts) - base
-            tied = np.sort(s[np.repeat(counts > 1, counts)])
-            if not len(tied):
-                break
-        s = np.lexsort((left, rank))
-        equal = np.zeros(len(left), bool)
-        full = np.zeros(len(left), bool)
-        full[tied] = True  # equal in all LENGTH bytes to another
-        equal[1:] = (rank[s][1:] == rank[s][:-1]) & full[s][1:]
-        earlier[left[s[equal]]] = True
-        later[left[s[:-1][equal[1:]]]] = True
-    cut = [slice(b, b + n - LENGTH + 1) for b, n in zip(begins, sizes, strict=True)]
+        order, shared = suffix_order(data, left)
+        at = left[order]
+        earlier[at[longest_factors(at, shared) >= LENGTH]] = True
+        later[at[longest_factors(-at, shared) >= LENGTH]] = True
+    cut = [slice(b, b + n) for b, n in zip(begins, many, strict=True)]
     return [earlier[c] for c in cut], [later[c] for c in cut]
 
 
@@ -279,8 +317,10 @@ def _repeats(sized: DataFrame, hot: int, level: int = 0) -> DataFrame:
     some = sized.where(F.col("contexts") <= hot).select("key", "ctx", "content", "first")
     found = some.repartition("key").sortWithinPartitions("key", "first").select("key", "ctx", "content").mapInArrow(_suffix_order(2 << 20), _FOUND)
     large = sized.where(F.col("contexts") > hot).select("key", "ctx", "off", "content", "first")
-    if level > 8 or large.isEmpty():
+    if large.isEmpty():
         return stored(found, "found")
+    if level > 8:
+        raise RuntimeError("different strings of 200 bytes share one anchor of 200 bytes: two hashes collide")
     halves = stored(large.mapInArrow(_halve(level + 1), _HALVES), "halves")
     subs = halves.groupBy(F.col("sub_key").alias("key"), F.col("sub_ctx").alias("ctx")).agg(F.count("*").alias("n"), F.min("sub_first").alias("first"), F.first("sub_off").alias("off"), F.first("content").alias("content"))
     subs = stored(subs, "subs")
@@ -305,9 +345,14 @@ def _repeats(sized: DataFrame, hot: int, level: int = 0) -> DataFrame:
     return stored(found.unionByName(joined), "found")
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text, runs of removed starts): what is left of each text."""
-    for batch in batches:
+def _removed(with_text: bool):
+    """From (doc_id, text, runs of removed starts): what is left of each text, its bytes only if asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from one(batch)
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
         for doc_id, text, first, last in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
@@ -321,12 +366,26 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     removed, done, end = removed + b - end, b, b
             kept.append(raw[done:])
             left = b"".join(kept)
-            out.append((doc_id, len(raw), removed, spans, hashlib.sha256(left).hexdigest(), left))
+            out.append((doc_id, len(raw), removed, spans, hashlib.sha256(left).hexdigest(), left if with_text else None))
         if out:
             cols = list(zip(*out, strict=True))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
+    return run
+
+
+def _spread(rows: DataFrame, keys: DataFrame, ways: int = 32, share: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """rows (key, ctx, ...) and keys (one row a key, n) with a column salt: a key that holds over a share-th of all rows is dealt over ways tasks.
+
+    There are fewer than share such keys, whatever the input.
+    """
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r[0] for r in keys.where(F.col("n") > max(total // share, share)).select("key").collect()]
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    dealt = F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("ctx", F.lit(3)), F.lit(ways)).cast("int")).otherwise(0)), keys.withColumn("salt", F.explode(dealt))
+
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "none", hot: int = 2000, with_text: bool = False) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans and kept_sha256 (and kept, the bytes left) of each row of df.
@@ -344,14 +403,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
     spark = df.sparkSession
     runs = stored(rows.mapInArrow(_find_anchors, _ANCHORS), "anchors")
-    twice = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    places = stored(runs.join(twice, "key", "left_semi"), "places")
-    release(spark, runs)
+    twice = stored(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    dealt, keys = _spread(runs, twice)
+    places = stored(dealt.join(keys, ["key", "salt"], "left_semi").drop("salt"), "places")
+    release(spark, runs, twice)
     contexts = stored(places.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "lo", "hi", "off")).alias("at")), "contexts")
     release(spark)
     # Only different contexts of one key need their bytes, each from its first place.
-    several = contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = contexts.join(several, "key").select("at.doc_id", "at.digest", F.struct("key", "ctx", "contexts", "at.lo", "at.hi", "at.off").alias("run"))
+    several = stored(contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    dealt, keys = _spread(contexts.select("key", "ctx", "at"), several)
+    wanted = dealt.join(keys.withColumnRenamed("n", "contexts"), ["key", "salt"]).select("at.doc_id", "at.digest", F.struct("key", "ctx", "contexts", "at.lo", "at.hi", "at.off").alias("run"))
     wanted = wanted.groupBy("doc_id", "digest").agg(F.collect_list("run").alias("runs"))  # bounded by the document
     texts = rows.withColumn("digest", F.conv(F.substring(F.sha2("text", 256), 1, 16), 16, -10).cast("long"))
     of_doc = (texts["doc_id"].eqNullSafe(wanted["doc_id"])) & (texts["digest"] == wanted["digest"])
@@ -372,5 +433,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last = F.when(everything, F.array("hi")).otherwise(F.transform(F.coalesce("b", none), lambda x: x + F.col("lo")))
     spans = places.select("doc_id", "digest", first.alias("first"), last.alias("last")).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
     joined = texts.join(spans, (texts["doc_id"].eqNullSafe(spans["doc_id"])) & (texts["digest"] == spans["digest"]), "left").select(texts["doc_id"], "text", "first", "last")
-    done = joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = joined.mapInArrow(_removed(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(F.col("doc_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

@@ -702,6 +702,29 @@ def test_longest_previous_factors():
         assert suffix_dedup.lpf(data) == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_factors_equal_the_textbook(seed):
+    """Previous and next factors up to 200 bytes, on strings with long repeats."""
+    rng = random.Random(seed)
+    block = bytes(rng.choices(b"ab\xff\x00", k=300))
+    data = b"".join(rng.choice([block[rng.randint(0, 80) : rng.randint(200, 300)], bytes(rng.choices(b"abc", k=30)), b"a" * 40]) for _ in range(6)) + b"b" * 260
+    starts = np.arange(len(data) - 199)
+    order, shared = suffix_dedup.suffix_order(np.frombuffer(data, np.uint8), starts)
+    assert order.tolist() == sorted(starts.tolist(), key=lambda i: (data[i : i + 200], i))
+    common_ = lambda a, b: next((n for n in range(200) if data[a + n] != data[b + n]), 200)
+    assert shared.tolist() == [0, *(common_(a, b) for a, b in itertools.pairwise(order.tolist()))]
+    previous, following = suffix_dedup.longest_factors(order, shared), suffix_dedup.longest_factors(-order, shared)
+    assert previous[np.argsort(order)].tolist() == [min(x, 200) for x in suffix_dedup.lpf(data)[: len(starts)]]
+    assert following.tolist() == [max((common_(i, j) for j in range(i + 1, len(starts))), default=0) for i in order.tolist()]
+
+
+def test_hot_keys_are_dealt(spark):
+    runs = spark.range(6000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).cast("long").alias("key"), F.col("id").alias("ctx"))
+    dealt, keys = suffix_dedup._spread(runs, runs.groupBy("key").agg(F.count("*").alias("n")))
+    most = dealt.groupBy("key", "salt").count().agg(F.max("count")).first()[0]
+    assert most < 200 and dealt.join(keys, ["key", "salt"]).count() == 6000
+
+
 def test_anchors_cover_all_starts():
     rng = np.random.default_rng(13)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
