@@ -134,9 +134,18 @@ class Units:
 
     def matrix(self, width: int) -> np.ndarray:
         """First bytes of each unit, 0 beyond its end."""
-        at = self.begins[:, None] + np.arange(width)
-        inside = np.arange(width) < self.lengths[:, None]
-        return np.where(inside, self.data[np.minimum(at, max(len(self.data) - 1, 0))] if len(self.data) else np.uint8(0), np.uint8(0))
+        out = np.zeros((len(self.n), width), np.uint8)
+        of, place = self.places()
+        inside = place < width
+        out[of[inside], place[inside]] = self.data[inside]
+        return out
+
+    def keys(self) -> np.ndarray:
+        """A hash of each unit."""
+        h = self.lengths.astype(np.uint64)
+        for word in self.matrix(8 * (UNIT // 8 + 1)).view("<u8").T:
+            h = mixed(h ^ word) + _ODD[2]
+        return h
 
     def heads(self) -> np.ndarray:
         m = self.matrix(3).astype(np.uint32)
@@ -144,8 +153,8 @@ class Units:
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """Unit and place in it of each byte."""
-        of = np.repeat(np.arange(len(self.n)), self.lengths)
-        return of, np.arange(len(of)) - np.repeat(self.begins, self.lengths)
+        of = np.repeat(np.arange(len(self.n), dtype=np.int32), self.lengths)
+        return of, np.arange(len(of), dtype=np.int32) - np.repeat(self.begins.astype(np.int32), self.lengths)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each byte the keys of its contexts of two and of three (hashed) bytes, with the byte last; blanks stand before the unit."""

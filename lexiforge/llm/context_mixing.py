@@ -105,11 +105,10 @@ class _Part:
         row, word = (np.array(x, np.int64) for x in zip(*self.extra, strict=True)) if self.extra else (np.zeros(0, np.int64),) * 2
         counts = np.bincount(of_word, times[of_unit], len(self.words)) + np.bincount(word[~held[row]], minlength=len(self.words))
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units))
         blob = b"".join(units)
         raw = packed(
             ids=ids, lengths=lengths, before=before.astype(np.uint32), doc_ids=doc_ids, held=held, n_bytes=n_bytes, of_part=of_part, of_row=of_row,
-            unit_lengths=np.array([len(u) for u in units], np.uint8), unit_bytes=np.frombuffer(blob, np.uint8), times=times, keys=keys,
+            unit_lengths=np.array([len(u) for u in units], np.uint8), unit_bytes=np.frombuffer(blob, np.uint8), times=times,
             of_unit=of_unit.astype(np.uint32), of_word=of_word.astype(np.uint32), words=hashes, word_times=counts.astype(np.int64), extra_row=row, extra_word=word,
         )
         write_whole(self.path, [raw])
@@ -192,7 +191,8 @@ def _pairs(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     place, pair = (key & np.uint64((1 << 22) - 1)).view(np.int64), key >> _PLACE_BITS
     new = np.concatenate([[True], pair[1:] != pair[:-1]])
     of, own = np.cumsum(new) - 1, pair[new]
-    a, b = p["keys"][(own >> _UNIT_BITS).view(np.int64)], p["keys"][(own & np.uint64((1 << 20) - 1)).view(np.int64)]
+    keys = Units(_binary(p["unit_lengths"], p["unit_bytes"]), p["times"]).keys()
+    a, b = keys[(own >> _UNIT_BITS).view(np.int64)], keys[(own & np.uint64((1 << 20) - 1)).view(np.int64)]
     return place, of, mixed(mixed(a) + b) << np.uint64(1), before.view(np.int64)
 
 
@@ -242,11 +242,14 @@ def _unit_blocks(n: int) -> Callable[[dict], Iterator[tuple[int, bytes]]]:
     return of
 
 
-_PAIR_BYTES = 6
+_PAIR_BYTES = 5
 
 
 def _keys_out(keys: np.ndarray, times: np.ndarray) -> bytes:
-    """Pairs' keys by six bytes (beside the range that is enough: a range holds RANGE_KEYS or so, whatever the corpus) and words' keys whole; random bytes don't shrink."""
+    """Pairs' keys by five bytes and words' keys whole; random bytes don't shrink.
+
+    A range holds RANGE_KEYS or so, whatever the corpus, so beside the range five bytes mistake about one pair in a million for another.
+    """
     word = (keys & np.uint64(1)).astype(bool)
     raw = keys[~word].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PAIR_BYTES].tobytes(), keys[word].astype("<u8").tobytes()
     return b"".join([len(raw[0]).to_bytes(8, "little"), len(raw[1]).to_bytes(8, "little"), *raw, packed(word=word.astype(np.uint8), times=times)])
@@ -374,7 +377,7 @@ def _unit_answers(low: str, weights: np.ndarray, refine: np.ndarray):
                 for part, size in zip(found["parts"], found["sizes"], strict=True):
                     at = found["at"][begin : begin + size]
                     begin += size
-                    yield _rows([(int(part), 0, r, packed(cost=cost[0, at], loo=cost[1, at], n=n[at]))], ("part", "kind", "range", "cells"))
+                    yield _rows([(int(part), 0, r, packed(cost=cost[0, at], more=(cost[1, at] - cost[0, at]).astype(np.float16), n=n[at]))], ("part", "kind", "range", "cells"))
 
     return run
 
@@ -402,8 +405,8 @@ class _Read:
         self.p = p = unpacked(read_whole(path))
         found = [unpacked(cells) for kind, _, cells, _ in answers if kind == 0]
         order = _unit_order(p, unit_ranges)[1]
-        cost, n = np.empty(len(order), np.float64), np.empty(len(order), np.int64)
-        cost[order], n[order] = np.concatenate([x["loo" if loo else "cost"] for x in found]), np.concatenate([x["n"] for x in found])
+        cost, n = np.empty(len(order), np.float32), np.empty(len(order), np.int64)
+        cost[order], n[order] = np.concatenate([x["cost"] + x["more"] if loo else x["cost"] for x in found]), np.concatenate([x["n"] for x in found])
         _, _, order, _, (place, of, pairs, before) = _asked(p, key_ranges)
         total = np.empty(len(order), np.int64)
         total[order] = np.concatenate([unpacked(cells)["total"] for kind, _, cells, _ in answers if kind == 1])
@@ -425,9 +428,12 @@ class _Read:
             last[begins] = 1
             known = known - last
         since = np.arange(len(ids), dtype=np.int32) - np.repeat(begins, lengths).astype(np.int32)
+        self.log = np.empty((3, len(ids)), np.float32)
+        self.log[0] = np.float32(-np.log(10)) * cost[ids]
         with np.errstate(divide="ignore", invalid="ignore"):
-            after = np.where(known > 0, np.maximum(came, 0) / np.maximum(known, 1), 0.0)
-            self.log = np.stack([-np.log(10) * cost[ids], np.log(after), np.log(earlier / np.maximum(since, 1))])
+            np.log(np.where(known > 0, np.maximum(came, 0) / np.maximum(known, 1), 0.0), out=self.log[1], casting="same_kind")
+            np.log(earlier / np.maximum(since, 1), out=self.log[2], casting="same_kind")
+        del came, place, of, key, at, order, total, found, answers
         self.row, self.begins = row, begins
         foreseen = (self.log[1] > self.log[0]).astype(np.int32)
         again = (earlier > 0).astype(np.int32)
@@ -437,12 +443,27 @@ class _Read:
         recent[1:] = np.where(since[1:] >= 1, again[:-1], 0)
         self.gate = (np.searchsorted(BEFORE, known, side="right") * 4 + hits) * 2 + recent
 
-    def shares(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log of each place's probability, and what share of it each prediction has."""
-        with np.errstate(divide="ignore"):
-            joint = self.log + np.log(weights).T[:, self.gate]
-        total = np.logaddexp(np.logaddexp(joint[0], joint[1]), joint[2])
-        return total, np.exp(joint - total)
+    def joint(self, weights: np.ndarray, step: int = 1 << 17) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Stretches of places: log of each one's probability, and the three that it is made of."""
+        logs = np.log(weights).T.astype(np.float64)
+        for i in range(0, len(self.gate), step):
+            s = slice(i, i + step)
+            three = self.log[:, s] + logs[:, self.gate[s]]
+            yield s, np.logaddexp(np.logaddexp(three[0], three[1]), three[2]), three
+
+    def shares(self, weights: np.ndarray) -> np.ndarray:
+        """By gate, what share of its places' probability each prediction has."""
+        out = np.zeros((TEXT_GATES, 3))
+        for s, total, three in self.joint(weights):
+            for k in range(3):
+                out[:, k] += np.bincount(self.gate[s], np.exp(three[k] - total), TEXT_GATES)
+        return out
+
+    def logs(self, weights: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.gate))
+        for s, total, _ in self.joint(weights):
+            out[s] = total
+        return out
 
 
 def _runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -460,6 +481,7 @@ def _learn_gates(path_of: Callable[[int], str], unit_ranges: int, key_ranges: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TEXT_GATES, 3))
+        _loaded.clear()  # this process may have coded units before
         for part, answers in _groups(batches):
             read = _Read(path_of(part), answers, unit_ranges, key_ranges, loo=True)
             train = ~read.p["held"][read.row]
@@ -467,8 +489,7 @@ def _learn_gates(path_of: Callable[[int], str], unit_ranges: int, key_ranges: in
             weights = np.tile(_START, (TEXT_GATES, 1))
             own = np.zeros((TEXT_GATES, 3))
             for _ in range(rounds if train.any() else 0):
-                share = read.shares(weights)[1]
-                own = np.stack([np.bincount(read.gate, s, TEXT_GATES) for s in share], axis=1)
+                own = read.shares(weights)
                 weights = _weights(own)
             total += own
         if total.any():
@@ -493,10 +514,10 @@ def _score(path_of: Callable[[int], str], unit_ranges: int, key_ranges: int, wei
             read = _Read(path_of(part), answers, unit_ranges, key_ranges, loo=False)
             p, n = read.p, len(read.p["lengths"])
             logs = np.log10(read.words + 1.0)
-            of_units = [np.bincount(p["of_unit"], x, len(p["keys"]))[p["ids"]] for x in (np.ones(len(p["of_unit"])), (read.words > 0)[p["of_word"]], logs[p["of_word"]])]
+            of_units = [np.bincount(p["of_unit"], x, len(p["times"]))[p["ids"]] for x in (np.ones(len(p["of_unit"])), (read.words > 0)[p["of_word"]], logs[p["of_word"]])]
             in_long = [np.bincount(p["extra_row"], x, n) for x in (np.ones(len(p["extra_row"])), (read.words > 0)[p["extra_word"]], logs[p["extra_word"]])]
             tokens, known, sums = (np.add.reduceat(a, read.begins) + b for a, b in zip(of_units, in_long, strict=True))
-            score = np.add.reduceat(read.shares(weights)[0], read.begins) / np.log(10)
+            score = np.add.reduceat(read.logs(weights), read.begins) / np.log(10)
             ids = pa.array(p["doc_ids"], mask=p["doc_ids"] == -(2**63))
             cols = [pa.array(p["of_part"]), pa.array(p["of_row"]), ids, pa.array(p["held"]), *(pa.array(x.astype(np.int64)) for x in (tokens, known)), pa.array(sums), pa.array(p["n_bytes"]), pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _SCORED.split(", ")])

@@ -375,16 +375,16 @@ def _removed(with_text: bool):
     return run
 
 
-def _spread(rows: DataFrame, keys: DataFrame, ways: int = 32, share: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """rows (key, ctx, ...) and keys (one row a key, n) with a column salt: a key that holds over a share-th of all rows is dealt over ways tasks.
+def _spread(rows: DataFrame, keys: DataFrame, key: str = "key", by: tuple[str, ...] = ("ctx",), ways: int = 32, share: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """rows and keys (with n, the rows of each) with a column salt: a key that holds over a share-th of all rows is dealt over ways tasks by a hash of `by`.
 
     There are fewer than share such keys, whatever the input.
     """
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = [r[0] for r in keys.where(F.col("n") > max(total // share, share)).select("key").collect()]
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    hot = [r[0] for r in keys.where(F.col("n") > max(total // share, share)).select(key).collect()]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     dealt = F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("ctx", F.lit(3)), F.lit(ways)).cast("int")).otherwise(0)), keys.withColumn("salt", F.explode(dealt))
+    return rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(*by, F.lit(3)), F.lit(ways)).cast("int")).otherwise(0)), keys.withColumn("salt", F.explode(dealt))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "none", hot: int = 2000, with_text: bool = False) -> DataFrame:
@@ -423,10 +423,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contexts = contexts.select("key", "ctx", "n", F.struct("at.doc_id", "at.digest", "at.lo").alias("first"))
     all_ = contexts.select("key", "ctx", "n", "first").join(found, ["key", "ctx"], "left")
     if keep == "none":
-        solved = all_.where("n > 1 OR size(other_from) > 0").select("key", "ctx", (F.col("n") > 1).alias("whole"), F.lit(None).cast(contexts.schema["first"].dataType).alias("first"), F.col("other_from").alias("a"), F.col("other_to").alias("b"))
+        solved = all_.where("n > 1 OR size(other_from) > 0").select("key", "ctx", "n", (F.col("n") > 1).alias("whole"), F.lit(None).cast(contexts.schema["first"].dataType).alias("first"), F.col("other_from").alias("a"), F.col("other_to").alias("b"))
     else:
-        solved = all_.where("n > 1 OR size(early_from) > 0").select("key", "ctx", (F.col("n") > 1).alias("whole"), "first", F.col("early_from").alias("a"), F.col("early_to").alias("b"))
-    places = places.join(solved, ["key", "ctx"])
+        solved = all_.where("n > 1 OR size(early_from) > 0").select("key", "ctx", "n", (F.col("n") > 1).alias("whole"), "first", F.col("early_from").alias("a"), F.col("early_to").alias("b"))
+    # A passage that very many texts hold is one context with very many places.
+    places, solved = _spread(places, stored(solved, "solved"), "ctx", ("doc_id", "lo"))
+    places = places.join(solved, ["key", "ctx", "salt"])
     everything = F.col("whole") & (F.col("first").isNull() | (F.struct("doc_id", "digest", "lo") != F.col("first")))
     none = F.array().cast("array<int>")
     first = F.when(everything, F.array("lo")).otherwise(F.transform(F.coalesce("a", none), lambda x: x + F.col("lo")))
