@@ -15,13 +15,13 @@ def join_lines(lines: list[str], known: Counter | None = None) -> str:
     text = " ".join(lines).lower()
     words = known if known is not None else Counter(re.findall("[a-z]+", text))
     compounds = Counter(re.findall("[a-z]+-[a-z]+", text))
-    out = ""
-    for line in (x.strip() for x in lines):
-        tail, head = re.search(r"([A-Za-z]+)-$", out), re.match(r"[a-z]+", line)
+    parts: list[str] = []
+    for line in filter(None, (x.strip() for x in lines)):
+        tail, head = re.search(r"([A-Za-z]+)-$", parts[-1]) if parts else None, re.match(r"[a-z]+", line)
         if tail and head:
             left, right = tail[1].lower(), head[0].lower()
             keep = not words[left + right] and (compounds[f"{left}-{right}"] or (words[left] > 1 and words[right] > 1))
-            out = (out if keep else out[:-1]) + line
+            parts[-1] = (parts[-1] if keep else parts[-1][:-1]) + line
         else:
-            out = f"{out} {line}" if out and line else out or line
-    return out
+            parts.append(line)
+    return " ".join(parts)

@@ -34,29 +34,58 @@ def ranked(scores: DataFrame, k: int, order: list[Column], rank: str = "rank", k
     return scores.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def asked_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("qid", F.explode(query_terms(F.col("question"))).alias("term")).withColumn("times", F.lit(1))
+
+
+def _scored(asked: DataFrame, tf: DataFrame, stats: DataFrame) -> DataFrame:
+    """(qid, id, score) from asked(qid, term, times), tf(id, term, dl, tf) of the asked terms and the one row stats(n, avgdl)."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = df.crossJoin(F.broadcast(stats)).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "avgdl")  # stats is one row
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return tf.join(asked.join(idf, "term"), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def bm25(questions: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30, keep: Column | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank) for questions(qid, question): the k best documents of each, of those that satisfy keep.
 
     The terms of all questions, a set whose size the batch bounds, restrict the tokens before they are shuffled; tokens
-    are summed by document and term within each task first.
+    are summed by document and term within each task first. With an index, bm25_indexed reads its postings instead.
     """
-    asked = terms if terms is not None else questions.select("qid", F.explode(query_terms(F.col("question"))).alias("term")).withColumn("times", F.lit(1))
+    asked = terms if terms is not None else asked_terms(questions)
     wanted = asked.select("term").distinct()
     rows = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     hits = rows.select("id", F.explode("t").alias("term"), F.size("t").alias("dl")).join(wanted, "term", "left_semi")
     tf = hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    stats = corpus_stats(docs, text_col)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "avgdl")  # stats is one row
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(asked.join(idf, "term"), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = _scored(asked, tf, corpus_stats(docs, text_col))
     if keep is not None:
         allowed = docs.where(keep).select(F.col(id_col).alias("id"))
         scored = scored.join(allowed, "id", "left_semi")
     return ranked(scored, k, [F.desc("score"), F.asc("id")])
 
 
+def term_part(term: Column, partitions: int) -> Column:
+    """The partition of the postings that holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(partitions)).cast("int")
+
+
+def bm25_indexed(questions: DataFrame, postings_: DataFrame, stats: DataFrame, k: int = 30, partitions: int = 64, keep: DataFrame | None = None) -> DataFrame:
+    """As bm25, from postings(id, term, dl, tf, part) and stats(n, avgdl) of a built index; keep(id) are the rows that may be found.
+
+    Only the partitions that hold asked terms are read (their numbers, partitions at most, are the filter), and only rows of asked terms
+    are shuffled.
+    """
+    asked = asked_terms(questions)
+    wanted = asked.select("term").distinct()
+    parts = sorted(r[0] for r in wanted.select(term_part(F.col("term"), partitions).alias("part")).distinct().collect())
+    tf = postings_.where(F.col("part").isin(parts)).join(wanted, "term", "left_semi").select("id", "term", "dl", "tf")
+    scored = _scored(asked, tf, stats)
+    if keep is not None:
+        scored = scored.join(keep.select("id"), "id", "left_semi")
+    return ranked(scored, k, [F.desc("score"), F.asc("id")])
+
+
 def _block_top(vectors: np.ndarray, qids: list, k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -133,13 +162,29 @@ def hybrid(questions: DataFrame, docs: DataFrame, queries: DataFrame, vectors: D
     return pick(fused, papers, caps, top_k)
 
 
+#: The configurations that are compared. Name; lexical, dense; cap of a paper (0: none, -1: by the question); guaranteed places.
+GRID = (("bm25", True, False, 0, 0), ("dense", False, True, 0, 0), ("hybrid", True, True, 0, 2), ("hybrid_cap3", True, True, 3, 2), ("hybrid_cap2", True, True, 2, 2), ("hybrid_adaptive", True, True, -1, 2))
+
+
+def ablation(lexical: DataFrame, near: DataFrame, papers: DataFrame, caps: DataFrame, top_k: int = 6) -> DataFrame:
+    """(config, qid, id, paper, rank, ...) of each configuration of GRID, from one run of each retriever; caps(qid, cap) are those of the adaptive one."""
+    out = None
+    for name, words, vectors, cap, guaranteed in GRID:
+        fused = fuse(lexical if words else lexical.where("false"), near if vectors else near.where("false"), guaranteed=guaranteed)
+        own = caps if cap < 0 else caps.withColumn("cap", F.lit(cap or top_k))
+        found = pick(fused, papers, own, top_k).select(F.lit(name).alias("config"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def named_papers(questions: DataFrame, papers: DataFrame, fold) -> DataFrame:
     """(qid, paper_id) of papers(paper_id, surnames, year) that a question names: by id, else by surname, and by year if any is given.
 
     fold removes accents and case. The papers are a small dimension, whose surnames are looked for in each question.
     """
     q = questions.select("qid", fold(F.col("question")).alias("q"))
-    ids = q.select("qid", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(r"\b(p(?:0[1-9]|1[0-9]))\b"), F.lit(1)))).alias("paper_id"))
+    ids = q.select("qid", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(r"\b([pu]\d{2,})\b"), F.lit(1)))).alias("paper_id"))
+    ids = ids.join(papers.select("paper_id"), "paper_id", "left_semi").select("qid", "paper_id")
     years = F.transform(F.regexp_extract_all("q", F.lit(r"\b(20\d\d)\b"), F.lit(1)), lambda y: y.cast("int"))
     names = papers.select("paper_id", "year", F.explode("surnames").alias("surname")).withColumn("surname", fold(F.col("surname"))).where(F.length("surname") >= 2)
     quoted = F.concat(F.lit(r"\Q"), F.col("surname"), F.lit(r"\E"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def daily_quota(requests: DataFrame, cap: int, ts: str = "ts", key: str = "event_id") -> DataFrame:
     """requests with day, nth and admitted: the first cap of each UTC day pass.
 
-    A day's rank is taken in two steps, within hours and over the hours before, so that no day is gathered in one task.
+    A day's rank is taken in two steps, within minutes and over the minutes before, so that no day is gathered in one task.
     """
     rows = requests.withColumn("day", F.to_date(ts)).withColumn("_slot", F.hour(ts) * 60 + F.minute(ts))
     hours = rows.groupBy("day", "_slot").agg(F.count("*").alias("_n"))
@@ -77,7 +82,31 @@ def content_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.groupBy("sha256").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(by, n, fingerprint) of rows (by, order, hash) that come in order: hashes are fed to SHA-256 one after the other, none is kept."""
+    group, n, sha = None, 0, hashlib.sha256()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([group], kind), pa.array([n], pa.int64()), pa.array([sha.hexdigest()])], names=names)
+
+    for batch in batches:
+        kind, names = batch.schema.field(0).type, [batch.schema.names[0], "n", "fingerprint"]
+        for by, content_hash in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if n and by != group:
+                yield out()
+                n, sha = 0, hashlib.sha256()
+            group, n = by, n + 1
+            sha.update((content_hash or "").encode())
+    if n:
+        yield out()
+
+
 def fingerprint(chunks: DataFrame, by: str, order: str, content_hash: str = "content_hash") -> DataFrame:
-    """(by, n, fingerprint): SHA-256 of a group's content hashes in order. Hashes of a corpus are taken by paper first and then over papers, so no list grows with the corpus."""
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, content_hash))), lambda x: x[content_hash]), "")
-    return chunks.groupBy(by).agg(F.count("*").alias("n"), F.sha2(listed, 256).alias("fingerprint"))
+    """(by, n, fingerprint): SHA-256 of a group's content hashes in order.
+
+    The digest of a sequence can't be split, so a group's narrow rows are sorted and pass through one task, but they stream:
+    no row or list grows with the corpus.
+    """
+    rows = chunks.select(by, order, content_hash)
+    schema = T.StructType([rows.schema[by], T.StructField("n", T.LongType()), T.StructField("fingerprint", T.StringType())])
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(_digests, schema)

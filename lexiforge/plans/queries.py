@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import mathtext, text, udfs
-from lexiforge.operators import chunking, cleaning, context, evaluate, reports, retrieve, sections, state
+from lexiforge.operators import chunking, cleaning, context, evaluate, reports, retrieve, sections, service, state, structure
 from lexiforge.sources import layout_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,14 @@ def bm25_topk(spark, sf_dir):
     return long(_lexical(spark, sf_dir, 10), "rank")
 
 
+@query(f"WITH {fill(LEXICAL, k=10)} SELECT * FROM lexical")
+def bm25_postings(spark, sf_dir):
+    """The same from postings and statistics, as a built index holds them."""
+    docs = table(spark, sf_dir, "documents")
+    posts = retrieve.postings(docs, "doc_id", "text").withColumn("part", retrieve.term_part(F.col("term"), 64))
+    return retrieve.bm25_indexed(questions(spark, sf_dir), posts, retrieve.corpus_stats(docs, "text"), k=10)
+
+
 @query(f"WITH {BM25} SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored JOIN words USING (id) WHERE source IN ('src1', 'src2')) WHERE rank <= 10")
 def bm25_filtered(spark, sf_dir):
     """Statistics of all documents, hits of two collections."""
@@ -295,23 +303,95 @@ def repeated_lines(spark, sf_dir):
     return cleaning.repeated_lines(lines.withColumn("page", F.floor(F.col("line_no") / 5)))
 
 
+#: Lines that stand beside those of the documents, so that each pattern has something to find and to leave alone.
+SEEDS = (
+    "Downloaded from https://example.org on 3 May", "ISSN: 1234-5678", "E-mail: someone@example.org", "doi: 10.1000/182", "Received 3 May 2020; accepted 4 June 2020", "Volume 7, Issue 2, pp. 11-19",
+    "Copyright 2021 by the authors. Licensee: an open press.", "This is an open access article distributed under the terms of the Creative Commons Attribution License", "© 2020 The Authors. Published by a society.",
+    "All rights reserved. No part may be copied.", "The licence of the driver was renewed.", "the volume of trade rose", "Corresponding author: A. Person", "Page 3 of 12", "www.example.org/journal", "Article", "",
+    "Creative Commons " + "word " * 130,
+)
+SEEDED = LINES + ", seeded AS (SELECT doc, line_no, line FROM lines UNION ALL SELECT -1, i, x FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(SEEDS)) + ") AS v(i, x))"
+
+
+def seeded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = cleaning.lines_of(table(spark, sf_dir, "documents")).select(F.col("doc").cast("long"), F.col("line_no").cast("long"), "line")
+    return lines.unionByName(spark.createDataFrame([(-1, i, x) for i, x in enumerate(SEEDS)], "doc long, line_no long, line string"))
+
+
 PATTERN = "(?i)" + "|".join(text.BOILERPLATE).replace("'", "''")
 
 
-@query(f"WITH {LINES} SELECT doc, line_no, line FROM lines WHERE regexp_matches(line, '{PATTERN}')")
+@query(f"WITH {SEEDED} SELECT doc, line_no, line FROM seeded WHERE regexp_matches(line, '{PATTERN}')")
 def boilerplate_lines(spark, sf_dir):
-    rows = cleaning.lines_of(table(spark, sf_dir, "documents")).where(text.is_boilerplate(F.col("line")))
-    return long(rows, "line_no")
+    return seeded_lines(spark, sf_dir).where(text.is_boilerplate(F.col("line")))
 
 
 LICENCE = text.LICENCE.replace("'", "''")
 
 
-@query(f"WITH {LINES} SELECT doc, line_no, line FROM lines WHERE regexp_matches(line, '{LICENCE}') AND len(regexp_extract_all(line, '\\S+')) <= 120")
+@query(f"WITH {SEEDED} SELECT doc, line_no, line FROM seeded WHERE regexp_matches(line, '{LICENCE}') AND len(regexp_extract_all(line, '\\S+')) <= 120")
 def licence_blocks(spark, sf_dir):
     """A line as a block."""
-    rows = cleaning.lines_of(table(spark, sf_dir, "documents")).where(text.is_licence_block(F.col("line")))
-    return long(rows, "line_no")
+    return seeded_lines(spark, sf_dir).where(text.is_licence_block(F.col("line")))
+
+
+LEAD = structure.BACKMATTER.replace("'", "''")
+LEADS = ("Funding: none.", "Data Availability Statement. On request.", "conflict of interest: none", "Ethics approval and consent to participate: n/a", "Funding was scarce", "The acknowledgements: none")
+
+
+@query(f"WITH {LINES} SELECT doc, line_no, line FROM (SELECT doc, line_no, line FROM lines UNION ALL SELECT -1, i, x FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LEADS)) + f") AS v(i, x)) WHERE regexp_matches(line, '{LEAD}')")
+def backmatter_leads(spark, sf_dir):
+    lines = cleaning.lines_of(table(spark, sf_dir, "documents")).select(F.col("doc").cast("long"), F.col("line_no").cast("long"), "line")
+    rows = lines.unionByName(spark.createDataFrame([(-1, i, x) for i, x in enumerate(LEADS)], "doc long, line_no long, line string"))
+    return rows.where(structure.is_backmatter_lead(F.col("line")))
+
+
+@query(f"""WITH {LINES}, spans AS (SELECT doc, line_no // 3 AS block, length(line) AS n, 8 + line_no % 3 AS size, length(line) % 2 = 0 AS bold FROM lines),
+sizes AS (SELECT doc, block, size, sum(n) AS n, sum(CASE WHEN bold THEN n ELSE 0 END) AS heavy FROM spans GROUP BY doc, block, size)
+SELECT doc, block::BIGINT AS block, arg_max(size, (n, size))::DOUBLE AS size, 2 * sum(heavy) > sum(n) AS bold FROM sizes GROUP BY doc, block""")
+def dominant_styles(spark, sf_dir):
+    """Three lines are a block; a line is a span whose size goes with its number and whose weight goes with its length."""
+    lines = cleaning.lines_of(table(spark, sf_dir, "documents"))
+    spans = lines.select("doc", F.floor(F.col("line_no") / 3).alias("block"), F.col("line").alias("text"), (8.0 + F.col("line_no") % 3).alias("size"), (F.length("line") % 2 == 0).alias("bold"))
+    return structure.dominant_style(spans)
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc, line_no, CASE WHEN length(line) % 3 = 0 THEN line END AS section, CASE WHEN length(line) % 3 = 1 THEN line_no END AS marker FROM lines),
+f AS (SELECT doc, line_no AS no, marker, last_value(section IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no) AS section FROM s)
+SELECT doc, no::BIGINT AS no, marker::BIGINT AS marker, section FROM f WHERE marker IS NOT NULL""")
+def marker_sections(spark, sf_dir):
+    """Lines whose length leaves 0 modulo 3 open sections, those that leave 1 are markers."""
+    lines, left = cleaning.lines_of(table(spark, sf_dir, "documents")), F.length("line") % 3
+    stream = lines.select("doc", F.col("line_no").alias("no"), F.when(left == 0, F.col("line")).alias("section"), F.when(left == 1, F.col("line_no")).alias("marker"))
+    return long(structure.marker_sections(stream), "no", "marker")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN code NOT IN ('user') THEN 401 WHEN m = '' THEN 400 WHEN length(m) > 60 THEN 400 WHEN nth > 100 THEN 429 ELSE 200 END AS status,
+CASE WHEN code NOT IN ('user') THEN 'code' WHEN m = '' THEN 'empty' WHEN length(m) > 60 THEN 'length' WHEN nth > 100 THEN 'budget' END AS reason
+FROM (SELECT conv_id, turn, role AS code, trim(coalesce(text, '')) AS m, (conv_id + turn) % 150 AS nth FROM conversations)""")
+def request_guards(spark, sf_dir):
+    """A turn's role as its access code, and a number of the day from its ids."""
+    turns = table(spark, sf_dir, "conversations")
+    nth = (F.col("conv_id") + F.col("turn")) % 150
+    return service.guarded(turns.select("conv_id", "turn", F.col("role").alias("code"), F.col("text").alias("message"), nth.alias("nth")), "user", 100, 60).select("conv_id", "turn", "status", "reason")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 != 0 THEN turn::INT END AS score, CASE WHEN turn % 3 != 0 THEN turn % 2 = 0 END AS faithful,
+CASE WHEN turn % 3 = 0 THEN 'unparseable judge output: ' || left('{' || coalesce(text, ''), 120) END AS error FROM conversations""")
+def judge_verdicts(spark, sf_dir):
+    """Every third turn's verdict is cut off."""
+    turns = table(spark, sf_dir, "conversations")
+    good = F.to_json(F.struct(F.col("turn").cast("int").alias("score"), (F.col("turn") % 2 == 0).alias("faithful"), F.lit("r").alias("reason")))
+    replies = turns.select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, good).otherwise(F.concat(F.lit("{"), F.coalesce("text", F.lit("")))).alias("text"))
+    return service.verdicts(replies).select("conv_id", "turn", "score", "faithful", "error")
+
+
+@query("SELECT g.item_id AS qid, coalesce(o.text, g.text) AS needs FROM benchmark g LEFT JOIN benchmark o ON o.item_id = CASE WHEN g.item_id % 2 = 1 THEN g.item_id - 1 END WHERE g.item_id % 5 != 0")
+def gold_questions(spark, sf_dir):
+    """Odd items paraphrase the item before; every fifth can't be answered."""
+    i = F.col("item_id")
+    gold = table(spark, sf_dir, "benchmark").select(i.alias("qid"), F.when(i % 2 == 1, i - 1).alias("paraphrase_of"), F.array("text").alias("must_include"), F.when(i % 5 == 0, "unanswerable").otherwise("factoid").alias("type"), F.array(i).alias("papers"))
+    return service.answerable(service.with_originals(gold)).select("qid", F.get("must_include", F.lit(0)).alias("needs"))
 
 
 @query()
@@ -348,8 +428,9 @@ def math_density(spark, sf_dir):
 ISLAND = f"(length(line) - length(r)) / greatest(1, length(regexp_replace(r, '[^\\p{{L}}]', '', 'g'))) > 0.25 OR (regexp_matches(line, '\\((\\d{{1,3}}[a-z]?)\\)\\s*$') AND w <= 3) OR (w <= 1 AND regexp_matches(line, '[=+\\-−^_βαγδσμλθ∑∫]|\\(\\d'))"
 
 
-@query(f"""WITH {LINES}, m AS (SELECT doc, line_no, ({ISLAND}) AS math FROM (SELECT *, regexp_replace(line, '{MATH}', '', 'g') AS r, len(regexp_extract_all(line, '\\b[A-Za-z]{{3,}}\\b')) AS w FROM lines)),
-c AS (SELECT *, coalesce((math != lag(math) OVER (PARTITION BY doc ORDER BY line_no))::INT, 0) AS change FROM m),
+@query(f"""WITH {LINES}, m AS (SELECT doc, line_no, w, ({ISLAND}) AS math FROM (SELECT *, regexp_replace(line, '{MATH}', '', 'g') AS r, len(regexp_extract_all(line, '\\b[A-Za-z]{{3,}}\\b')) AS w FROM lines)),
+g AS (SELECT doc, line_no, math AND bool_or(w >= 4) OVER (PARTITION BY doc) AS math FROM m),
+c AS (SELECT *, coalesce((math != lag(math) OVER (PARTITION BY doc ORDER BY line_no))::INT, 0) AS change FROM g),
 i AS (SELECT *, sum(change) OVER (PARTITION BY doc ORDER BY line_no)::BIGINT AS island FROM c)
 SELECT doc, island, math, min(line_no) AS first, count(*) AS n FROM i GROUP BY doc, island, math""")
 def line_islands(spark, sf_dir):

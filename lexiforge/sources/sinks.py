@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,25 @@ def as_markdown(parsed: DataFrame) -> DataFrame:
 
 
 def write_documents(parsed: DataFrame, folder: str) -> None:
+    """Documents as JSON lines, and as Markdown in lines of JSON with their id: files by partition, not by document."""
     parsed.write.mode("overwrite").json(f"{folder}/json")
-    as_markdown(parsed).write.mode("overwrite").partitionBy("paper_id").text(f"{folder}/markdown")
+    as_markdown(parsed).write.mode("overwrite").json(f"{folder}/markdown")
+
+
+def write_chunks(chunks: DataFrame, folder: str) -> None:
+    """Chunks as JSON lines, each paper's together and in order."""
+    chunks.repartition("paper_id").sortWithinPartitions("paper_id", "seq").write.mode("overwrite").json(folder)
+
+
+def events(answer: dict, sources: list[dict]) -> Iterator[tuple[str, dict]]:
+    """What a client is sent for one answer: its sources, the text word by word, then the end; or the error alone."""
+    if answer.get("error"):
+        yield "error", {"message": answer["error"]}
+        return
+    yield "sources", {"sources": sources}
+    for token in re.findall(r"\S+\s*", answer["text"]):
+        yield "token", {"text": token}
+    yield "done", {k: answer.get(k) for k in ("cited", "dropped", "refused")}
 
 
 def report(table: DataFrame, title: str, most: int = 1000) -> str:

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexiforge.functions import udfs
-from lexiforge.operators import cleaning, context, evaluate, retrieve, sections, state
+from lexiforge.operators import cleaning, context, evaluate, retrieve, sections, service, state, structure
 from lexiforge.sources import index, layout_json, manifest, sinks
 from lexiforge.streaming import state as streaming
 
@@ -182,3 +182,70 @@ def test_windows(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
     assert streaming.windowed_counts(events, "1 hour").agg(F.sum("n")).first()[0] == events.count()
     assert streaming.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_search_reads_the_index(spark, sf_dir, tmp_path):
+    """The index's postings give what the texts give, and only the partitions of asked terms are read; a new build takes over at once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    chunks = docs.select(F.col("source").alias("paper_id"), F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("embed_text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.lit("core").alias("collection"))
+    chunks = index.numbered(chunks)
+    want = {(r["paper_id"], r["seq"]): i for i, r in enumerate(sorted(chunks.select("paper_id", "seq").collect()), 1)}
+    assert {(r["paper_id"], r["seq"]): r["id"] for r in chunks.collect()} == want
+    papers, vectors = chunks.select("paper_id").distinct(), chunks.select("id")
+    for _ in range(2):
+        index.build(chunks, papers, vectors, str(tmp_path), "m")
+    opened = index.open_index(spark, str(tmp_path), "m")
+    asked = spark.createDataFrame([(1, "the and of heat"), (2, "zu und der"), (3, "nothing xyzzy")], "qid int, question string")
+    found = index.search_words(opened, asked, k=5)
+    plain = retrieve.bm25(asked, chunks, "id", "embed_text", k=5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.count() > 0
+    assert "PartitionFilters: [isnotnull(part" in found._jdf.queryExecution().toString() or "PartitionFilters: [part" in found._jdf.queryExecution().toString()
+    ids = [r["content_hash"] for r in chunks.orderBy("seq").collect() if r["paper_id"] == "src1"]
+    import hashlib
+
+    sums = {r["paper_id"]: r["fingerprint"] for r in state.fingerprint(chunks, "paper_id", "seq").collect()}
+    assert not ids or sums["src1"] == hashlib.sha256("".join(ids).encode()).hexdigest()
+
+
+def test_ablation_equals_single_runs(spark):
+    rows = lambda xs: spark.createDataFrame([(1, x, i) for i, x in enumerate(xs, 1)], "qid int, id int, rank int")
+    lexical, near = rows([1, 2, 3, 4, 5, 6, 7]), rows([9, 8, 1])
+    papers = spark.createDataFrame([(i, f"p{i % 2}") for i in range(10)], "id int, paper string")
+    caps = spark.createDataFrame([(1, 1)], "qid int, cap int")
+    found = {}
+    for r in retrieve.ablation(lexical, near, papers, caps).orderBy("config", "rank").collect():
+        found.setdefault(r["config"], []).append(r["id"])
+    assert found["bm25"] == [1, 2, 3, 4, 5, 6] and found["dense"] == [9, 8, 1] and len(found) == 6
+    one = [r["id"] for r in retrieve.pick(retrieve.fuse(lexical, near, guaranteed=2), papers, caps).orderBy("rank").collect()]
+    assert found["hybrid_adaptive"] == one
+
+
+def test_drop_caps_and_leading_headings(spark):
+    rows = [(0, 0, "I. INTRODUCTION", 10.0, "heading"), (0, 1, "S", 30.0, "heading"), (1, 0, "TOCKS are", 10.0, "text"), (1, 1, "risky", 10.0, "text"), (2, 0, "A", 30.0, "text"), (3, 0, "plain", 10.0, "text")]
+    lines = spark.createDataFrame([("d", *r, 10.0) for r in rows], "doc string, block int, line int, text string, size double, kind string, body_size double")
+    found = [r["text"] for r in structure.without_drop_caps(lines).orderBy("block", "line").collect()]
+    assert found == ["I. INTRODUCTION", "STOCKS are", "risky", "A", "plain"]
+    line = "array<struct<text:string,size:double,bold:boolean>>"
+    blocks = spark.createDataFrame([(1, "text", [("2.1 Euler method", 10.0, True), ("We use it.", 10.0, False)], 10.0), (2, "text", [("2.1 Euler method", 10.0, True), ("Bold too", 10.0, True)], 10.0), (3, "text", [("plain words", 10.0, False), ("more", 10.0, False)], 10.0)], f"no int, kind string, lines {line}, body_size double")
+    parts = structure.split_leading_headings(blocks).groupBy("no").count()
+    assert {r["no"]: r["count"] for r in parts.collect()} == {1: 2, 2: 1, 3: 1}
+
+
+def test_classes_of_blocks(spark):
+    rows = [(0, 1, "heading", "A Study of Rain and Snow"), (1, 1, "text", "Ann Smith and Bo Li"), (2, 1, "heading", "1 Introduction"), (3, 1, "text", "Smith says it rains."), (4, 2, "text", "Funding: none."), (5, 2, "text", "Fig. 2 Rain"), (6, 3, "heading", "Funding: this work was paid for by nobody at all")]
+    stream = spark.createDataFrame([("d", *r) for r in rows], "doc string, no int, page int, kind string, text string")
+    papers = spark.createDataFrame([("d", "A study of rain and snow", ["Smith", "Li"])], "doc string, title string, surnames array<string>")
+    found = [r["kind"] for r in structure.classified(stream, papers).orderBy("no").collect()]
+    assert found == ["title", "byline", "heading", "text", "backmatter", "caption", "backmatter"]
+
+
+def test_embedder_and_events(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "Rain and snow"), (2, "rain AND snow"), (3, "stock prices"), (4, None)], "id long, text string")
+    vec = {r["id"]: r["vec"] for r in service.embedded(texts).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(vec[a], vec[b], strict=True))
+    assert abs(dot(1, 2) - 1) < 1e-9 and dot(1, 3) < 0.5 and set(vec[4]) == {0.0}
+    assert [r["vec"] for r in service.embedded(texts.where("id = 1"), questions=True).collect()] != [vec[1]]
+    names = [n for n, _ in sinks.events({"text": "It rains [1].", "cited": [1]}, [{"n": 1}])]
+    assert names == ["sources", "token", "token", "token", "done"] and next(sinks.events({"error": "no"}, []))[0] == "error"
+    sinks.write_chunks(chunk_rows(spark), str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c")).count() == chunk_rows(spark).count()
