@@ -8,8 +8,9 @@ known, how many of the last three units were foreseen by the one before them, an
 come earlier in the text. So a text's state begins afresh and adapts as it is read, and its score depends on
 nothing that is scored beside it. The sum of the logarithms is the text's log-probability.
 
-All learning is over all training texts, each text's own counts taken out first. The mixer's weights are learned
-online over units that weigh as often as they came, the gates' weights by expectation-maximisation in parts;
+All learning is over all training texts. The mixer's weights are learned online over units that weigh as often as they
+came, one occurrence of the unit taken out of the counts; the gates' weights by expectation-maximisation in parts, the
+text's own counts of pairs taken out and one occurrence of each unit;
 tasks' results are merged by averages weighted by what each saw, and by sums.
 
 Nothing that grows with the corpus is held whole anywhere. Texts are cut into parts of bounded size. What a
