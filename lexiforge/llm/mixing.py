@@ -13,7 +13,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import checked, free_name, small, stored
+from lexiforge.llm.common import checked, free_name, release, small, stored
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> dict[str | None, float]:
@@ -94,7 +94,61 @@ def route(mass: dict[frozenset, int], quota: dict[str | None, int], most: int) -
 
 
 #: Columns that mix() joins to its rows; columns of that name are called otherwise meanwhile.
-_INNER = {"whole", "ends", "upto", "more", "less", "_source"}
+_INNER = {"whole", "ends", "upto", "more", "less"}
+
+
+def _sources(patterns: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """source, source_size, weight, target and shared (some pattern has it beside others) of each source.
+
+    Ranks by code point come from the place in sorted ranges and the counts of ranges before, so no task holds
+    all sources. The rate that shares what is left rises as full sources drop out, a sum over the sources each time.
+    """
+    spark = patterns.sparkSession
+    held = patterns.select(F.explode("pattern").alias("source"), "mass", (F.size("pattern") > 1).alias("several"))
+    held = held.groupBy("source").agg(F.sum("mass").alias("source_size"), F.max("several").alias("shared"))
+    in_order = F.col("source").asc_nulls_last()
+    held = stored(held.repartitionByRange(in_order).sortWithinPartitions(in_order).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    of_range = F.shiftright("at", 33)
+    before, starts = 0, []  # a row for each range, however many sources there are
+    for r, n in sorted(held.groupBy(of_range.alias("range")).count().collect()):
+        starts.append((r, before))
+        before += n
+    rank = F.col("start") + F.col("at") - F.shiftleft(of_range, 33)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    ranked = held.join(F.broadcast(small(spark, starts, "range long, start long")), of_range == F.col("range")).withColumn("weight", weight)
+
+    total, once = ranked.agg(F.sum("source_size")).first()[0] or 0, patterns.agg(F.sum("mass")).first()[0] or 0
+    limit = most * F.col("source_size")
+    rate, known = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(rate) > limit
+        n, capped, open_ = ranked.agg(F.count_if(full), F.sum(F.when(full, limit)), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == known or not open_:
+            break
+        rate, known = (total - (capped or 0)) / open_, n
+    # Shares are of the mass of all documents, each counted once though several sources may hold it.
+    target = F.when(full, limit.cast("double")).otherwise(F.col("weight") * F.lit(rate)) * F.lit(once / max(1, total))
+    return stored(ranked.select("source", "source_size", "weight", "shared", target.alias("target")), "mix-targets")
+
+
+def _routed(patterns: DataFrame, sources: DataFrame, most: int, most_patterns: int) -> DataFrame:
+    """pattern, mass and got, the tokens that flow from each pattern.
+
+    A source that only its own pattern holds fills its quota from there, as the cheapest flow does, so these need
+    no network. Patterns that share sources go through route() on the driver, most_patterns at most.
+    """
+    first, alone = F.element_at("pattern", 1), F.size("pattern") == 1
+    own = patterns.where(alone).join(sources.where("NOT shared"), first.eqNullSafe(F.col("source")))
+    own = own.select("pattern", "mass", F.least(F.rint("target").cast("long"), most * F.col("mass")).alias("got"))
+    tied = patterns.where(alone).join(sources.where("shared"), first.eqNullSafe(F.col("source")), "left_semi").unionByName(patterns.where(~alone))
+    what = "membership patterns that share sources"
+    mass = {frozenset(p): (p, n) for p, n in checked(tied.limit(most_patterns + 1).collect(), most_patterns, what)}
+    quota = {}
+    if mass:
+        quota = {s: round(t) for s, t in checked(sources.where("shared").select("source", "target").limit(most_patterns + 1).collect(), most_patterns, "sources that share patterns")}
+    flow = route({p: n for p, (_, n) in mass.items()}, quota, most)
+    found = [(p, n, sum(flow[key].values())) for key, (p, n) in mass.items()]
+    return own.unionByName(small(patterns.sparkSession, found, "pattern array<string>, mass long, got long"))
 
 
 def mix(df: DataFrame, size: Column, members: Column, order: list[str], weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, buckets: int = 1 << 14, most_patterns: int = 100_000) -> DataFrame:
@@ -109,8 +163,9 @@ def mix(df: DataFrame, size: Column, members: Column, order: list[str], weights:
 
     Plan: a narrow table of patterns, sizes and hashes is stored once. Sums by pattern and hash bucket are
     pre-aggregated; only the bucket in which a pattern's flow ends is summed up row by row, so a source with
-    a third of all rows is never gathered. The number of patterns is checked against most_patterns before
-    the driver gets anything; the last pass only compares hashes.
+    a third of all rows is never gathered. Sources, targets and cuts are stored tables with a row for each pattern,
+    which Spark broadcasts if their files are small and joins by key otherwise, so any number of sources will do;
+    only patterns that share sources meet on the driver, most_patterns at most (an error beyond). The last pass only compares hashes.
     """
     spark = df.sparkSession
     keep = [c for c in df.columns if c.lower() not in ("pattern", "size", "source_size", "target", "repeats")]
@@ -122,61 +177,55 @@ def mix(df: DataFrame, size: Column, members: Column, order: list[str], weights:
     rows = rows.withColumn(b, F.shiftrightunsigned(h, 64 - (buckets.bit_length() - 1)).cast("int"))
     narrow = stored(rows.groupBy("pattern", b, h).agg(F.sum("size").alias("size")), "mix")
 
-    def collected(found: DataFrame) -> list:
-        return checked(found.limit(most_patterns + 1).collect(), most_patterns, "membership patterns")
-
-    sums = collected(narrow.groupBy("pattern").agg(F.sum("size")))
-    mass = {frozenset(p): n for p, n in sums}
-    sizes: dict[str | None, int] = {}
-    for p, n in mass.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    targets = shared_targets(mass, sizes, weights, most)
-    flow = route(mass, {s: round(t) for s, t in targets.items()}, most)
-    plans = {}
-    for p, n in sums:
-        got = sum(flow[frozenset(p)].values())
-        whole = min(got // n, most) if n else 0
-        plans[tuple(p)] = (whole, got - whole * n)
-
-    def planned(values: dict[tuple, tuple], schema: str) -> DataFrame:
-        return F.broadcast(small(spark, [(list(p), *v) for p, v in values.items()], f"pattern array<string>, {schema}"))
+    patterns = stored(narrow.groupBy("pattern").agg(F.sum("size").alias("mass")), "mix-patterns")
+    sources = _sources(patterns, weights, most)
+    whole = F.when(F.col("mass") > 0, F.least(F.floor(F.col("got") / F.col("mass")), F.lit(most))).otherwise(0)
+    plan = _routed(patterns, sources, most, most_patterns).withColumn("whole", whole.cast("int"))
+    plan = stored(plan.select("pattern", "whole", (F.col("got") - F.col("whole") * F.col("mass")).alias("rest")), "mix-plan")
 
+    # The bucket in which each pattern's rest ends.
     up_to = Window.partitionBy("pattern").rowsBetween(Window.unboundedPreceding, 0)
     cells = narrow.groupBy("pattern", b).agg(F.sum("size").alias("in_it")).withColumn("upto", F.sum("in_it").over(up_to.orderBy(b)))
-    cells = cells.join(planned(plans, "whole int, rest long"), "pattern").where("upto >= rest AND upto - in_it < rest")
-    ends = {tuple(p): (x, n, rest) for p, x, n, rest in collected(cells.select("pattern", b, F.col("upto") - F.col("in_it"), "rest"))}
-    last = narrow.join(planned(ends, "ends int, before long, rest long"), "pattern").where(F.col(b) == F.col("ends"))
-    last = last.withColumn("upto", F.col("before") + F.sum("size").over(up_to.orderBy(h))).where("upto <= rest")
-    cuts = {tuple(p): (x, n) for p, x, n in collected(last.groupBy("pattern").agg(F.max(h), F.max("upto")))}
-    # (bucket, last hash taken in it or null, still missing)
-    stops = {p: (x, cuts[p][0] if p in cuts else None, rest - (cuts[p][1] if p in cuts else n)) for p, (x, n, rest) in ends.items()}
+    cells = cells.join(plan, "pattern").where("upto >= rest AND upto - in_it < rest")
+    ends = stored(cells.select("pattern", F.col(b).alias("ends"), (F.col("upto") - F.col("in_it")).alias("before"), "rest"), "mix-ends")
+    # The last hash taken in it or null, and what is still missing.
+    last = narrow.join(ends, "pattern").where(F.col(b) == F.col("ends"))
+    last = last.withColumn("with", F.col("before") + F.sum("size").over(up_to.orderBy(h))).where("with <= rest")
+    cuts = last.groupBy("pattern").agg(F.max(h).alias("upto"), F.max("with").alias("with"))
+    stops = ends.join(cuts, "pattern", "left").select("pattern", "ends", "upto", (F.col("rest") - F.coalesce("with", "before")).alias("missing"))
+    stops = stored(stops, "mix-stops")
     taken = (F.col(b) < F.col("ends")) | ((F.col(b) == F.col("ends")) & (F.col(h) <= F.col("upto")))
-    near = narrow.where("size > 0").join(planned(stops, "ends int, upto long, missing long"), "pattern").withColumn("in_it", F.coalesce(taken, F.lit(False)))
-    left, gap = near.where("NOT in_it"), F.abs(F.col("size") - F.col("missing"))
+    near = narrow.where("size > 0").join(stops, "pattern").withColumn("in_it", F.coalesce(taken, F.lit(False)))
     # Either the row nearest to what is missing comes in, or the next larger one does and one of about the surplus goes.
-    come = {tuple(p): (x, y) for p, x, y in collected(left.groupBy("pattern").agg(F.min(F.struct(gap.alias("off"), h)), F.min(F.when(F.col("size") > F.col("missing"), F.struct("size", h)))))}
-    surplus = {p: (*stops[p], y[0] - stops[p][2]) for p, (_, y) in come.items() if y}
-    go = near.where("in_it").join(planned(surplus, "_e int, _u long, _m long, surplus long").drop("_e", "_u", "_m"), "pattern")
-    go = {tuple(p): x for p, x in collected(go.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("surplus")).alias("off"), h))))}
-    final = {}
-    for p, (whole, _) in plans.items():
-        x, y = come.get(p, (None, None))
-        options = [(stops[p][2] if p in stops else 0, None, None)] + ([(x[0], x[1], None)] if x else []) + ([(go[p][0], y[1], go[p][1])] if p in go else [])
-        final[p] = (whole, *stops.get(p, (-1, None, 0))[:2], *min(options, key=lambda o: o[0])[1:])
-    by_source = F.broadcast(small(spark, [(s, sizes[s], float(targets[s])) for s in sizes], "_source string, source_size long, target double"))
-    found = rows.join(planned(final, "whole int, ends int, upto long, more long, less long"), "pattern").join(by_source, F.element_at("pattern", 1).eqNullSafe(F.col("_source")), "left")
+    gap = F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), F.col(h).alias("at"))
+    larger = F.when(F.col("size") > F.col("missing"), F.struct("size", F.col(h).alias("at")))
+    come = stored(near.where("NOT in_it").groupBy("pattern").agg(F.min(gap).alias("nearest"), F.min(larger).alias("larger")), "mix-come")
+    go = near.where("in_it").join(come.where("larger IS NOT NULL").select("pattern", "larger"), "pattern")
+    surplus = F.col("larger.size") - F.col("missing")
+    go = go.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - surplus).alias("off"), F.col(h).alias("at"))).alias("goes"))
+
+    def choice(off: Column, place: int, more: Column, less: Column) -> Column:
+        return F.struct(off.cast("long").alias("off"), F.lit(place).alias("place"), more.cast("long").alias("more"), less.cast("long").alias("less"))
+
+    none = F.lit(None)
+    best = F.array_min(
+        F.array(
+            choice(F.coalesce("missing", F.lit(0)), 0, none, none),
+            F.when(F.col("nearest").isNotNull(), choice(F.col("nearest.off"), 1, F.col("nearest.at"), none)),
+            F.when(F.col("goes").isNotNull(), choice(F.col("goes.off"), 2, F.col("larger.at"), F.col("goes.at"))),
+        )
+    )
+    final = plan.join(stops, "pattern", "left").join(come, "pattern", "left").join(go, "pattern", "left").withColumn("best", best)
+    final = final.join(sources, F.element_at("pattern", 1).eqNullSafe(F.col("source")))
+    final = stored(final.select("pattern", "whole", F.coalesce("ends", F.lit(-1)).alias("ends"), "upto", "best.more", "best.less", "source_size", "target"), "mix-final")
+    release(spark, narrow, patterns, sources, plan, ends, stops, come)
+
+    found = rows.join(final, "pattern")
     extra = F.when(F.col(h) == F.col("less"), 0).when(taken | (F.col(h) == F.col("more")), 1).otherwise(0)
     repeats = F.when(F.col("size") > 0, F.least(F.col("whole") + extra, F.lit(most))).otherwise(0)
     return found.select(*[F.col(own.get(c, c)).alias(c) for c in keep], "pattern", "size", "source_size", "target", repeats.cast("int").alias("repeats"))
 
 
-def shared_targets(mass: dict[frozenset, int], sizes: dict[str | None, int], weights: tuple[int, ...], most: float) -> dict[str | None, float]:
-    """Targets of sources that share the mass of all documents, each counted once though several sources may hold it."""
-    scale = sum(mass.values()) / max(1, sum(sizes.values()))
-    return {s: t * scale for s, t in source_targets(sizes, weights, most).items()}
-
-
 def mix_documents(df: DataFrame, size: Column, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """mix() where each row has the one source in source_col."""
     return mix(df, size, F.array(F.col(source_col).cast("string")), [id_col, text_col], **options)

@@ -448,6 +448,35 @@ def test_overlapping_sources(spark):
     assert (found.repeats <= 3).all() and abs(int((found["size"] * found.repeats).sum()) - 3000) <= 10
 
 
+def test_targets_and_takes_of_many_sources(spark):
+    """Sources beyond the bound on patterns that share them: targets as the plain loop has them, each met as near as its rows allow."""
+    rng = random.Random(3)
+    table = [(i, f"s{rng.randint(0, 400) ** 2 // 400}" if i % 50 else None, rng.choice([1, 7, 40])) for i in range(3000)]
+    found = mixing.mix(spark.createDataFrame(table, "doc_id long, source string, n long"), F.col("n"), F.array("source"), ["doc_id"], most_patterns=5).toPandas()
+    sizes = collections.Counter()
+    for _, s, n in table:
+        sizes[s] += n
+    targets = mixing.source_targets(dict(sizes), most=3)
+    by = found.assign(taken=found["size"] * found.repeats, source=found.source.fillna("-")).groupby("source")
+    for s, of in by:
+        s = None if s == "-" else s
+        assert of.target.iloc[0] == pytest.approx(targets[s], abs=1e-6) and of.source_size.iloc[0] == sizes[s]
+        assert abs(of.taken.sum() - targets[s]) <= of["size"].max() / 2 + 1
+    assert (found.repeats <= 3).all() and len(found) == 3000
+
+
+def test_shared_and_own_sources(spark):
+    """A source held alone goes beside the network of those that overlap; too many overlapping patterns fail loudly."""
+    table = spark.createDataFrame([(i, [["a"], ["b"], ["b", "a"], ["c"], None][i % 5]) for i in range(500)], "doc_id long, sources array<string>")
+    found = mixing.mix(table, F.lit(10), F.col("sources"), ["doc_id"], most_patterns=3)
+    frame = found.toPandas()
+    assert abs(int((frame["size"] * frame.repeats).sum()) - 5000) <= 30
+    c = frame[frame.pattern.map(list).map(lambda p: p == ["c"])]
+    assert abs(int((c["size"] * c.repeats).sum()) - c.target.iloc[0]) <= 10
+    with pytest.raises(ValueError, match="membership patterns"):
+        mixing.mix(table, F.lit(10), F.col("sources"), ["doc_id"], most_patterns=2)
+
+
 def test_mixing_odd_rows(odd):
     found = mixing.mix_documents(clash(odd), common.word_count("text"))
     assert found.count() == 12 and rows(mixing.mix_documents(odd.limit(0), common.word_count("text"))) == []
