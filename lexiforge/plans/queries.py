@@ -507,6 +507,58 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
+# Text rules, each over whole tables.
+
+
+@query("SELECT doc_id, regexp_replace(translate(lower(text), chr(8722) || chr(8211) || chr(160) || ',', '-- '), '\\s+', ' ', 'g') AS text FROM documents")
+def parser_texts(spark, sf_dir):
+    """Texts as parsers' outputs are compared."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.parser_norm(F.col("text")).alias("text"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(substr(t, 1, 299), '\\s\\S*$', '') || chr(8230) END AS snippet
+FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""")
+def snippets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
+@query("""SELECT conv_id, coalesce(string_agg(role || ': ' || substr(regexp_replace(text, '[ \\t]*\\[\\d{1,2}(?:\\s*[,;]\\s*\\d{1,2})*\\]', '', 'g'), 1, 600), chr(10) ORDER BY turn, role, text), '') AS transcript
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations) WHERE back <= 6 GROUP BY conv_id""")
+def transcripts(spark, sf_dir):
+    """The last six turns of each conversation as lines. Ranks cut each group before its turns are gathered."""
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    recent = table(spark, sf_dir, "conversations").withColumn("back", F.row_number().over(newest)).where("back <= 6")
+    turns = recent.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return turns.select("conv_id", text.transcript(F.col("turns")).alias("transcript"))
+
+
+@query(fill("SELECT item_id AS qid, CASE WHEN regexp_matches(text, '{breadth}') THEN 2 ELSE 6 END::BIGINT AS cap FROM benchmark", breadth=text.BREADTH.replace("'", "''")))
+def breadth_caps(spark, sf_dir):
+    """The most chunks of one paper for each question that names none."""
+    cap = text.per_paper_cap(F.col("question"), F.lit(0), 6).cast("long")
+    return questions(spark, sf_dir).select("qid", cap.alias("cap"))
+
+
+DESPACED = "array_to_string(list_transform(regexp_split_to_array(trim(line), '\\s{2,}'), lambda p: CASE WHEN regexp_full_match(p, '(?:[A-Z] )+[A-Z]') THEN replace(p, ' ', '') ELSE p END), ' ')"
+LABELLED = " ".join(f"WHEN regexp_matches(h, '(?i)\\b({words})') THEN '{label}'" for label, words in text.LABELS.items())
+
+
+@query(f"""WITH {LINES} SELECT doc, line_no, CASE WHEN regexp_matches(h, '(?i)\\bresults?\\b') AND NOT regexp_matches(h, '(?i)\\b({text.LABELS["backmatter"]})') THEN 'results' {LABELLED} ELSE 'other' END AS label
+FROM (SELECT doc, line_no, regexp_replace({DESPACED}, '^(\\d+(\\.\\d+)*\\.?|[IVX]+\\.)\\s*', '') AS h FROM lines)""")
+def heading_labels(spark, sf_dir):
+    """Each line as a heading: the section that it would open."""
+    lines = cleaning.lines_of(table(spark, sf_dir, "documents"))
+    return long(lines.select("doc", "line_no", text.section_label(F.col("line")).alias("label")), "line_no")
+
+
+@query(f"""WITH {LINES} SELECT doc, line_no, CASE WHEN number <> '' THEN len(string_split(number, '.')) WHEN regexp_matches(line, '{text.ROMAN}') OR (upper(line) = line AND lower(line) <> line)
+  OR regexp_matches(line, '{text.STRUCTURAL}') THEN 1 ELSE 2 END::BIGINT AS level FROM (SELECT *, regexp_extract(line, '{text.NUMBERED}', 1) AS number FROM lines)""")
+def heading_levels(spark, sf_dir):
+    """Each line as a heading in plain type: its depth."""
+    lines = cleaning.lines_of(table(spark, sf_dir, "documents"))
+    return long(lines.select("doc", "line_no", text.heading_level(F.col("line"), F.lit(False)).alias("level")), "line_no", "level")
+
+
 # State. Events are requests.
 
 
