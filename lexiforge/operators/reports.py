@@ -11,7 +11,7 @@ from lexiforge.functions.text import n_words, parser_norm
 def layout_votes(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     """(doc, voted, stated, agrees): the layout of most pages(doc, page, layout) against manifest(doc, layout); of equals the first by name."""
     each = pages.groupBy("doc", "layout").agg(F.count("*").alias("n"))
-    best = each.groupBy("doc").agg(F.max_by("layout", F.struct("n", F.negative(F.ascii("layout")))).alias("voted"))
+    best = each.groupBy("doc").agg(F.min_by("layout", F.struct(F.negative("n"), "layout")).alias("voted"))
     return best.join(manifest.select("doc", F.col("layout").alias("stated")), "doc", "left").withColumn("agrees", F.col("voted").eqNullSafe(F.col("stated")))
 
 

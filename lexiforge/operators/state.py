@@ -72,8 +72,9 @@ def without_document(table: DataFrame, doomed: DataFrame) -> DataFrame:
     return table.join(doomed.select("paper_id").withColumn("collection", F.lit("user")), ["paper_id", "collection"], "left_anti")
 
 
-def latest(states: DataFrame, key: str = "paper_id") -> DataFrame:
-    return states.groupBy(key).agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("ts"))
+def latest(states: DataFrame, key: str = "paper_id", tie: str = "status") -> DataFrame:
+    """(key, status, ts): the last of states(key, status, ts[, tie]); of those at one time the one with the largest tie."""
+    return states.groupBy(key).agg(F.max_by("status", F.struct("ts", tie)).alias("status"), F.max("ts").alias("ts"))
 
 
 def content_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

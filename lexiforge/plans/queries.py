@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import mathtext, text, udfs
 from lexiforge.operators import chunking, cleaning, context, evaluate, reports, retrieve, sections, service, state, structure
-from lexiforge.sources import layout_json
+from lexiforge.sources import layout_json, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -482,20 +482,18 @@ def corpus_fingerprint(spark, sf_dir):
     return state.fingerprint(rows, "source", "doc_id")
 
 
-@query("""SELECT doc_id, 'missing label' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT doc_id, 'unknown document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
-UNION ALL SELECT doc_id, 'duplicate id' FROM documents GROUP BY doc_id HAVING count(*) > 1
-UNION ALL SELECT doc_id, 'wrong length' FROM documents WHERE n_chars != length(text)""")
+@query("""WITH m AS (SELECT CASE WHEN doc_id % 10 = 9 THEN 'd' || (doc_id - 1) ELSE 'd' || doc_id END AS id, doc_id, coalesce(text, '') AS t FROM documents)
+SELECT id, 'duplicate id' AS problem FROM m GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT id, 'missing file' FROM m WHERE doc_id % 7 = 3
+UNION ALL SELECT id, 'other content' FROM m WHERE doc_id % 7 <> 3 AND sha256(t) <> CASE WHEN doc_id % 6 = 5 THEN sha256('') ELSE sha256(t) END""")
 def manifest_check(spark, sf_dir):
-    """Labels as the manifest of documents."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    say = lambda df, what: df.select("doc_id", F.lit(what).alias("problem"))
-    return (
-        say(docs.join(labels, "doc_id", "left_anti"), "missing label")
-        .unionByName(say(labels.join(docs, "doc_id", "left_anti"), "unknown document"))
-        .unionByName(say(docs.groupBy("doc_id").count().where("count > 1"), "duplicate id"))
-        .unionByName(say(docs.where(F.col("n_chars") != F.length("text")), "wrong length"))
-    )
+    """Documents as files, and a manifest in which ids repeat, files are missing and hashes are those of other contents."""
+    i, content = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    docs, file = table(spark, sf_dir, "documents"), F.concat(i.cast("string"), F.lit(".txt"))
+    of_id = F.concat(F.lit("d"), F.when(i % 10 == 9, i - 1).otherwise(i).cast("string"))
+    papers = docs.select(of_id.alias("id"), file.alias("file"), F.sha2(F.when(i % 6 == 5, "").otherwise(content), 256).alias("sha256"))
+    files = docs.where(i % 7 != 3).select(F.concat(F.lit("papers/"), file).alias("path"), content.cast("binary").alias("content"))
+    return manifest.problems(papers, files)
 
 
 TAGS = "regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
@@ -587,8 +585,8 @@ def counts_by_collection(spark, sf_dir):
 @query("SELECT user_id AS paper_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY user_id")
 def job_status(spark, sf_dir):
     """The last state of each user, as of a job."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), "ts", "event_id", "event_type")
-    return rows.groupBy("paper_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), "ts", "event_id", F.col("event_type").alias("status"))
+    return state.latest(rows, tie="event_id")
 
 
 @query(f"SELECT item_id AS qid, array_to_string(list_transform(list_distinct_ordered, lambda t: chr(34) || t || chr(34)), ' OR ') AS expression FROM (SELECT item_id, list(term ORDER BY first) AS list_distinct_ordered FROM (SELECT item_id, term, min(pos) AS first FROM (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark)) WHERE term NOT IN ({STOP}) GROUP BY item_id, term) GROUP BY item_id)")
@@ -620,3 +618,146 @@ def parser_scores(spark, sf_dir):
 def html_blocks(spark, sf_dir):
     rows = layout_json.html_blocks(table(spark, sf_dir, "pages"))
     return long(rows.select("doc", "no", (F.coalesce("kind", F.lit("")) == "text").alias("paragraph")), "no")
+
+
+@query("SELECT ts::DATE::VARCHAR AS day, count(*) AS n FROM events GROUP BY ts::DATE")
+def used_by_day(spark, sf_dir):
+    return state.used(table(spark, sf_dir, "events")).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents),
+known AS (SELECT sha256 FROM d JOIN labels USING (doc_id) WHERE quality = 1)
+SELECT sha256, uploaded_at, filename FROM (SELECT sha256, doc_id % 100 AS uploaded_at, doc_id AS filename, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id % 100, doc_id) AS n FROM d)
+WHERE n = 1 AND sha256 NOT IN (SELECT sha256 FROM known)""")
+def new_uploads(spark, sf_dir):
+    """Documents as uploads; labelled ones are registered, those of low quality as failed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    registered = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("sha256", F.when(F.col("quality") == 1, "ready").otherwise("failed").alias("status"))
+    uploads = docs.select("sha256", (F.col("doc_id") % 100).alias("uploaded_at"), F.col("doc_id").alias("filename"))
+    return state.new_uploads(uploads, registered)
+
+
+@query("SELECT min(printf('u%02d', i)) AS paper_id FROM range(1, 100) r(i) WHERE i NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 13 != 12)")
+def smallest_free_id(spark, sf_dir):
+    """Keys of nations as registered ids, two of which are free."""
+    taken = table(spark, sf_dir, "nation").where("n_nationkey % 13 != 12").select(F.format_string("u%02d", "n_nationkey").alias("paper_id"))
+    return state.smallest_free_id(taken)
+
+
+@query("SELECT doc_id, source AS paper_id, CASE WHEN doc_id % 3 = 0 THEN 'core' ELSE 'user' END AS collection FROM documents WHERE NOT coalesce(source IN ('src1', 'src4') AND doc_id % 3 != 0, FALSE)")
+def deleted_documents(spark, sf_dir):
+    """What stays after two papers are deleted: core rows of theirs, and all others."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("paper_id"), F.when(F.col("doc_id") % 3 == 0, "core").otherwise("user").alias("collection"))
+    return state.without_document(rows, spark.createDataFrame([("src1",), ("src4",)], "paper_id string"))
+
+
+@query(fill("""SELECT doc_id, CASE WHEN doc_id % 9 = 0 AND NOT starts_with(t, '%PDF') THEN 'not a PDF' WHEN doc_id % 8 = 0 THEN 'encrypted' WHEN length(t) // 100 > 60 THEN 'too many pages'
+WHEN length(regexp_replace(t, '[^\\p{L}]', '', 'g')) < 200 THEN 'no text layer' END AS reason FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""))
+def upload_admission(spark, sf_dir):
+    """Documents as uploads, of which every ninth has no signature and every eighth is encrypted; 100 characters are a page."""
+    i, content = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    letters = F.length(F.regexp_replace(content, r"[^\p{L}]", ""))
+    uploads = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(i % 9 == 0, content).otherwise(F.concat(F.lit("%PDF"), content)).cast("binary").alias("content"), (i % 8 == 0).alias("encrypted"),
+        F.floor(F.length(content) / 100).alias("n_pages"), letters.alias("letters"),
+    )
+    return state.admission(uploads).select("doc_id", "reason")
+
+
+@query("""SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN w < 100 THEN 0 WHEN w < 200 THEN 100 WHEN w < 300 THEN 200 WHEN w < 400 THEN 300 WHEN w < 450 THEN 400 WHEN w < 513 THEN 450 END AS bucket
+FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS w FROM documents)) GROUP BY bucket""")
+def size_histogram(spark, sf_dir):
+    """Words of documents as tokens of chunks."""
+    return evaluate.size_histogram(table(spark, sf_dir, "documents").select(text.n_words(F.coalesce("text", F.lit(""))).alias("n_tokens")))
+
+
+@query("SELECT conv_id, list_sort(list(length(text)))[count(text) // 2 + 1]::BIGINT AS middle FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def upper_medians(spark, sf_dir):
+    """The middle length of each conversation's turns."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return turns.groupBy("conv_id").agg(evaluate.upper_median(F.collect_list(F.length("text"))).cast("long").alias("middle"))
+
+
+@query("""WITH p AS (SELECT doc_id % 150 AS doc, lang FROM documents WHERE lang IS NOT NULL), c AS (SELECT doc, lang, count(*) AS n FROM p GROUP BY ALL),
+v AS (SELECT doc, arg_min(lang, (-n, lang)) AS voted FROM c GROUP BY doc)
+SELECT doc, voted, CASE WHEN doc % 5 != 0 THEN 'en' END AS stated, voted IS NOT DISTINCT FROM CASE WHEN doc % 5 != 0 THEN 'en' END AS agrees FROM v""")
+def layout_votes(spark, sf_dir):
+    """Documents as pages of 150 papers, languages as layouts; the manifest says en, and nothing of every fifth paper."""
+    pages = table(spark, sf_dir, "documents").select((F.col("doc_id") % 150).alias("doc"), F.col("doc_id").alias("page"), F.col("lang").alias("layout")).dropna()
+    stated = spark.range(150).where("id % 5 != 0").select(F.col("id").alias("doc"), F.lit("en").alias("layout"))
+    return reports.layout_votes(pages, stated)
+
+
+@query(f"""WITH {LINES} SELECT doc, bool_or(line ILIKE '%th%' AND line_no % 2 = 0) AND bool_or(line ILIKE '%an%' AND line_no % 2 = 1) AS complete FROM lines GROUP BY doc""")
+def core_sections(spark, sf_dir):
+    """Lines as sections: even ones with th are abstracts, odd ones with an are conclusions."""
+    lines, low = cleaning.lines_of(table(spark, sf_dir, "documents")), F.lower("line")
+    even = F.col("line_no") % 2 == 0
+    label = F.when(low.contains("th") & even, "abstract").when(low.contains("an") & ~even, "conclusion").otherwise("other")
+    return reports.has_core_sections(lines.select("doc", label.alias("label")))
+
+
+@query("SELECT event_id // 5 AS doc FROM events WHERE event_type IN ('click', 'error') GROUP BY event_id // 5 HAVING count(DISTINCT event_type) = 2")
+def common_documents(spark, sf_dir):
+    """Five events in a row are a document, types of events are parsers; two of them are compared."""
+    events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 5).alias("doc"), F.col("event_type").alias("parser"))
+    return reports.common_documents(events, ["click", "error"])
+
+
+@query("SELECT round(sum((length(text) + 9000) / 3.5), 4) AS tokens_in, count(*) * 350 AS tokens_out, round((sum((length(text) + 9000) / 3.5) * 3 + count(*) * 350 * 15) / 1e6 * 1.5, 8) AS cost FROM benchmark")
+def cost_estimate(spark, sf_dir):
+    found = reports.cost_estimate(questions(spark, sf_dir), 3.0, 15.0, 9000, judge=0.5)
+    return found.select(F.round("tokens_in", 4).alias("tokens_in"), "tokens_out", F.round("cost", 8).alias("cost"))
+
+
+@query(f"""WITH {LINES}, k AS (SELECT doc, line_no, line, CASE length(line) % 3 WHEN 0 THEN 'caption' WHEN 1 THEN 'table' ELSE 'text' END AS kind FROM lines),
+t AS (SELECT *, coalesce(sum((kind = 'table')::INT) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM k),
+p AS (SELECT *, last_value(CASE WHEN kind = 'caption' THEN line END IGNORE NULLS) OVER (PARTITION BY doc, taken ORDER BY line_no) AS caption FROM t)
+SELECT doc, line_no AS no, caption FROM p WHERE kind = 'table'""")
+def pending_captions(spark, sf_dir):
+    """Lines as captions, tables and texts by what their length leaves modulo 3."""
+    left = F.length("line") % 3
+    kind = F.when(left == 0, "caption").when(left == 1, "table").otherwise("text")
+    blocks = cleaning.lines_of(table(spark, sf_dir, "documents")).select("doc", F.col("line_no").alias("no"), kind.alias("kind"), F.col("line").alias("text"))
+    return long(sections.with_captions(blocks).select("doc", "no", "caption"), "no")
+
+
+@query(f"""WITH {LINES}, e AS (SELECT doc, line_no // 8 AS page, line_no AS no, line || CASE WHEN line_no % 4 = 1 THEN ' (' || (line_no % 90 + 1) || ')' ELSE '' END AS text, length(line) % 3 != 0 AS equation FROM lines),
+r AS (SELECT *, sum((NOT equation)::INT) OVER (PARTITION BY doc, page ORDER BY no) AS run FROM e),
+g AS (SELECT doc, page, run, min(no) AS first, count(*) AS n, list(regexp_extract(text, '{mathtext.EQUATION_NUMBER}', 1) ORDER BY no) AS all_ FROM r WHERE equation GROUP BY doc, page, run),
+f AS (SELECT *, list_filter(all_, lambda x: x <> '') AS q FROM g)
+SELECT doc, page::BIGINT AS page, run::BIGINT AS run, first, n, CASE WHEN len(q) = 0 THEN '[equation omitted]' WHEN len(q) = 1 THEN '[equation (' || q[1] || ') omitted]' ELSE '[equations (' || q[1] || ')-(' || q[-1] || ') omitted]' END AS placeholder FROM f""")
+def equation_runs(spark, sf_dir):
+    """Eight lines are a page; those whose length isn't divisible by 3 are equations, every fourth numbered."""
+    lines, no = cleaning.lines_of(table(spark, sf_dir, "documents")), F.col("line_no")
+    number = F.when(no % 4 == 1, F.concat(F.lit(" ("), (no % 90 + 1).cast("string"), F.lit(")"))).otherwise("")
+    blocks = lines.select("doc", F.floor(no / 8).alias("page"), no.alias("no"), F.concat("line", number).alias("text"), (F.length("line") % 3 != 0).alias("equation"))
+    return long(sections.equation_runs(blocks), "page", "run", "first", "n")
+
+
+BOXED = """b AS (SELECT vec_id, least(embedding[1], embedding[2])::DOUBLE AS ax0, greatest(embedding[1], embedding[2])::DOUBLE AS ax1, least(embedding[3], embedding[4])::DOUBLE AS ay0, greatest(embedding[3], embedding[4])::DOUBLE AS ay1,
+least(embedding[5], embedding[6])::DOUBLE AS bx0, greatest(embedding[5], embedding[6])::DOUBLE AS bx1, least(embedding[7], embedding[8])::DOUBLE AS by0, greatest(embedding[7], embedding[8])::DOUBLE AS by1 FROM embeddings)"""
+
+
+@query(f"""WITH {BOXED} SELECT vec_id, ax0 < bx1 AND bx0 < ax1 AND ay0 < by1 AND by0 < ay1 AS meet, (ax0 + ax1) / 2 BETWEEN bx0 - 0.05 AND bx1 + 0.05 AND (ay0 + ay1) / 2 BETWEEN by0 - 0.05 AND by1 + 0.05 AS inside,
+round(CASE WHEN least((ax1 - ax0) * (ay1 - ay0), (bx1 - bx0) * (by1 - by0)) > 0 THEN greatest(0, least(ax1, bx1) - greatest(ax0, bx0)) * greatest(0, least(ay1, by1) - greatest(ay0, by0)) / least((ax1 - ax0) * (ay1 - ay0), (bx1 - bx0) * (by1 - by0)) ELSE 0 END, 6) AS share,
+least(ax0, bx0) AS x0, least(ay0, by0) AS y0, greatest(ax1, bx1) AS x1, greatest(ay1, by1) AS y1 FROM b""")
+def box_tests(spark, sf_dir):
+    """Two boxes from a vector's first eight numbers: whether they meet, whether one's centre is in the other, the common share, and the box around both."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+
+    def corners(i: int):
+        low, high = (lambda j: F.least(at(j), at(j + 1))), (lambda j: F.greatest(at(j), at(j + 1)))
+        return F.struct(low(i).alias("x0"), low(i + 2).alias("y0"), high(i).alias("x1"), high(i + 2).alias("y1"))
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", corners(0).alias("a"), corners(4).alias("b"))
+    a, b, around = F.col("a"), F.col("b"), mathtext.union_box(F.array("a", "b"))
+    return rows.select("vec_id", mathtext.overlaps(a, b).alias("meet"), mathtext.centre_in(a, b, 0.05).alias("inside"), F.round(mathtext.overlap_ratio(a, b), 6).alias("share"), around.alias("u")).select("vec_id", "meet", "inside", "share", "u.*")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 5) AS norm, round(u[1], 5) AS head FROM (SELECT vec_id, list_transform(v, lambda x: (x / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings))")
+def unit_vectors(spark, sf_dir):
+    """Vectors of three times their length, brought back to length 1."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", mathtext.unit(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("u"))
+    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return rows.select("vec_id", F.round(norm, 5).alias("norm"), F.round(F.get("u", F.lit(0)).cast("double"), 5).alias("head"))
