@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import mathtext, text, udfs
-from lexiforge.operators import chunking, cleaning, context, evaluate, reports, retrieve, sections, service, state, structure
+from lexiforge.operators import answers, chunking, cleaning, context, evaluate, layout, reports, retrieve, sections, service, state, structure, uploads
 from lexiforge.sources import layout_json, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -761,3 +761,71 @@ def unit_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", mathtext.unit(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("u"))
     norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return rows.select("vec_id", F.round(norm, 5).alias("norm"), F.round(F.get("u", F.lit(0)).cast("double"), 5).alias("head"))
+
+
+FIRST_PAGE = f"""{LINES}, spans AS (SELECT doc, line_no, trim(line) AS t, 8 + length(line) % 5 AS size FROM lines WHERE line_no < 5 AND trim(line) <> ''),
+largest AS (SELECT doc, string_agg(t, ' ' ORDER BY line_no) AS big FROM (SELECT *, max(size) OVER (PARTITION BY doc) AS top FROM spans) WHERE size = top GROUP BY doc)"""
+
+
+@query(f"""WITH {FIRST_PAGE}, m AS (SELECT doc_id, trim(regexp_replace(CASE doc_id % 4 WHEN 0 THEN 'Untitled draft of ' || source WHEN 1 THEN coalesce(text, '') WHEN 2 THEN 'paper_1.tex' ELSE '' END, '\\s+', ' ', 'g')) AS stated, big,
+  coalesce(lang, 'xx') || ' ' || doc_id || '.v1' AS stem, doc_id % 40 + 1990 AS y FROM documents LEFT JOIN largest ON doc = doc_id)
+SELECT doc_id, CASE WHEN length(stated) >= 8 AND NOT regexp_matches(stated, '{uploads.NO_TITLE}') THEN left(stated, 200) WHEN length(big) >= 8 THEN left(trim(regexp_replace(big, '\\s+', ' ', 'g')), 200) ELSE stem END AS title,
+  CASE WHEN doc_id % 3 = 0 THEN 'Unknown author' ELSE 'A. ' || doc_id || '|Brandt|C' END AS authors, CASE WHEN doc_id % 6 = 5 THEN 2024 ELSE y END AS year FROM m""")
+def upload_metadata(spark, sf_dir):
+    """Documents as uploads: every property is missing or useless in some, a text's first lines are spans whose size goes with their length."""
+    i, content = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    meta = F.when(i % 4 == 0, F.concat(F.lit("Untitled draft of "), "source")).when(i % 4 == 1, content).when(i % 4 == 2, "paper_1.tex").otherwise("")
+    spans = F.transform(F.split(content, "\n"), lambda t, n: F.struct(t.alias("text"), (8 + F.length(t) % 5).cast("double").alias("size"), (n * 10).alias("y")))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("up/"), F.coalesce("lang", F.lit("xx")), F.lit("_"), i.cast("string"), F.lit(".v1.pdf")).alias("filename"), meta.alias("meta_title"),
+        F.when(i % 3 != 0, F.concat(F.lit("A. "), i.cast("string"), F.lit(" and Brandt; , C"))).alias("meta_author"),
+        F.when(i % 6 != 5, F.concat(F.lit("D:"), (i % 40 + 1990).cast("string"), F.lit("0101"))).otherwise("2001").alias("created"), spans.alias("spans"), F.lit(100).alias("height"),
+    )
+    return uploads.described(rows, F.lit("2024-06-01").cast("timestamp")).select("doc_id", "title", F.array_join("authors", "|").alias("authors"), "year")
+
+
+@query("""SELECT doc_id, CASE WHEN len(l) > 1 AND (regexp_full_match(f, '(Table|TABLE)\\s+\\S+[.:]?') OR (regexp_matches(trim(l[2]), '^\\p{Ll}') AND length(f) > 40)) THEN 2 ELSE 1 END AS n FROM
+(SELECT doc_id, l, CASE WHEN doc_id % 4 = 0 THEN 'TABLE II.' ELSE trim(l[1]) END AS f FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN lower(coalesce(text, '')) ELSE coalesce(text, '') END, chr(10)) AS l FROM documents))""")
+def caption_lines(spark, sf_dir):
+    """Documents as caption blocks: every fourth begins with a bare label, every third is in lower case."""
+    i, content = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    lines = F.split(F.when(i % 3 == 0, F.lower(content)).otherwise(content), "\n")
+    lines = F.transform(lines, lambda t, n: F.when((i % 4 == 0) & (n == 0), "TABLE II.").otherwise(t))
+    return table(spark, sf_dir, "documents").select("doc_id", layout.caption_lines(lines).alias("n"))
+
+
+@query(f"""WITH {LINES}, b AS (SELECT doc, line_no // 12 AS page, line_no AS no, line_no % 12 * 20.0 + length(line) % 7 AS y0, line_no % 12 * 20.0 + length(line) % 7 + 10 AS y1, line_no % 5 AS kind FROM lines),
+n AS (SELECT t.doc, t.no, c.no AS caption_no, least(abs(t.y0 - c.y1), abs(c.y0 - t.y1)) AS gap FROM b t JOIN b c ON t.doc = c.doc AND t.page = c.page AND t.kind = 0 AND c.kind = 3),
+m AS (SELECT doc, no, arg_min(caption_no, (gap, caption_no)) AS caption_no FROM n WHERE gap < 40 GROUP BY doc, no)
+SELECT b.doc, b.page::BIGINT AS page, b.no, m.caption_no, 'Table ' || m.caption_no || '. Lines' AS caption FROM b LEFT JOIN m USING (doc, no) WHERE kind = 0""")
+def nearby_captions(spark, sf_dir):
+    """Twelve lines are a page; of five lines the first is a table and the fourth a caption."""
+    no = F.col("line_no")
+    y = (no % 12 * 20 + F.length("line") % 7).cast("double")
+    box = F.struct(F.lit(0.0).alias("x0"), y.alias("y0"), F.lit(100.0).alias("x1"), (y + 10).alias("y1"))
+    says = F.when(no % 5 == 3, F.concat(F.lit("Table "), no.cast("string"), F.lit(". Lines"))).otherwise(F.concat(F.lit("- "), "line"))
+    rows = cleaning.lines_of(table(spark, sf_dir, "documents")).select("doc", F.floor(no / 12).alias("page"), no.cast("long").alias("no"), F.lit("text").alias("kind"), says.alias("text"), box.alias("box"), (no % 5 == 0).alias("is_table"))
+    return layout.nearby_captions(rows.where("is_table").select("doc", "page", "no", "box"), rows.where("NOT is_table")).drop("box")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a question with itself as its passage; collections go by its number."""
+    i = F.col("qid")
+    searched = F.when(i % 4 == 1, F.array(F.lit("user"))).when(i % 4 == 2, F.array(F.lit("user"), F.lit("core"))).when(i % 4 == 3, F.array(F.lit("core")))
+    return questions(spark, sf_dir).select(
+        "qid", "question", F.when(i % 6 == 0, "unanswerable").otherwise("factoid").alias("type"), F.col("question").alias("gold"), F.concat(F.lit("[1] "), "question").alias("context"), searched.alias("collections"),
+        F.lit(1).alias("n_passages"), F.array(F.when(i % 5 == 0, "not in any text").otherwise(F.col("question"))).alias("must_include"), F.lit(False).alias("no_metric"),
+    )
+
+
+@query("""SELECT item_id AS qid, CASE item_id % 4 WHEN 1 THEN 'Scope: documents the user uploaded (ids u01, u02, ...), not the 19 core papers.' || chr(10) || chr(10)
+WHEN 2 THEN 'Scope: the 19 core papers plus documents the user uploaded (ids u..).' || chr(10) || chr(10) ELSE '' END || 'Passages:' || chr(10) || chr(10) || '[1] ' || text || chr(10) || chr(10) || 'Question: ' || text AS message FROM benchmark""")
+def answer_messages(spark, sf_dir):
+    return answers.messages(_asked(spark, sf_dir)).select("qid", "message")
+
+
+@query("""SELECT item_id AS qid, item_id % 6 = 0 AS refused, item_id % 6 = 0 OR item_id % 5 != 0 AS auto_pass, 2 AS correctness, 2 AS faithfulness, 0.00975 AS cost, 0.00725 AS judge_cost FROM benchmark""")
+def answer_run(spark, sf_dir):
+    """A dry run over all items: those whose asked string is in no text fail their checks."""
+    rows = answers.run(_asked(spark, sf_dir), {"dry": (1.0, 15.0)})
+    return rows.select("qid", "refused", "auto_pass", "correctness", "faithfulness", F.round("cost", 8).alias("cost"), F.round("judge_cost", 8).alias("judge_cost"))

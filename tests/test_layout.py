@@ -57,3 +57,25 @@ def test_reports(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_captions_beside_and_above_tables(spark):
+    box = "box struct<x0: double, y0: double, x1: double, y1: double>"
+    tables = spark.createDataFrame([("d", 1, 0, (0.0, 100.0, 90.0, 200.0)), ("d", 2, 9, (0.0, 100.0, 90.0, 200.0))], f"doc string, page int, no int, {box}")
+    blocks = [
+        ("d", 1, 1, "text", "Table 3. Far above", (0.0, 10.0, 90.0, 60.0)),
+        ("d", 1, 2, "text", "Table 4. Just below", (0.0, 212.0, 90.0, 220.0)),
+        ("d", 1, 3, "text", "Table 5. As near above", (0.0, 80.0, 90.0, 88.0)),
+        ("d", 1, 4, "text", "The table shows prose", (0.0, 201.0, 90.0, 210.0)),
+        ("d", 2, 5, "heading", "Table 6. No text", (0.0, 90.0, 90.0, 99.0)),
+    ]
+    found = layout.nearby_captions(tables, spark.createDataFrame(blocks, f"doc string, page int, no int, kind string, text string, {box}"))
+    assert {(r.no, r.caption_no) for r in found.collect()} == {(0, 2), (9, None)}
+
+
+def test_layout_ties_go_by_whole_name(spark):
+    from lexiforge.operators import reports
+
+    pages = spark.createDataFrame([("d", 1, "two_b"), ("d", 2, "two_a"), ("d", 3, "two_b"), ("d", 4, "two_a")], "doc string, page int, layout string")
+    stated = spark.createDataFrame([("d", "two_a")], "doc string, layout string")
+    assert reports.layout_votes(pages, stated).first()["voted"] == "two_a"
