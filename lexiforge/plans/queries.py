@@ -184,12 +184,12 @@ NORM = "regexp_replace(regexp_replace(translate(lower({x}), '−– ', '-- '),
 
 
 @query(f"""WITH {HITS}, texts AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN documents ON doc_id = id GROUP BY qid)
-SELECT item_id AS qid, contains({fill(NORM, x='context')}, {fill(NORM, x="split_part(b.text, '.', 1)")})::INT AS evidence FROM benchmark b JOIN texts ON qid = item_id""")
+SELECT item_id AS qid, list_bool_and(list_transform(string_split(b.text, '.'), lambda s: contains({fill(NORM, x="coalesce(context, '')")}, {fill(NORM, x='s')})))::INT AS evidence FROM benchmark b LEFT JOIN texts ON qid = item_id""")
 def evidence_recall(spark, sf_dir):
-    """Is the first sentence of each item in the context of its hits?"""
+    """Are all sentences of each item in the context of its hits?"""
     hits = _hits(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     contexts = hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n").alias("context"))
-    gold = questions(spark, sf_dir).select("qid", F.array(F.split("question", r"\.")[0]).alias("must_include"))
+    gold = questions(spark, sf_dir).select("qid", F.split("question", r"\.").alias("must_include"))
     return evaluate.evidence(contexts, gold)
 
 
@@ -245,26 +245,26 @@ def citation_validate(spark, sf_dir):
 NUMBERS = "regexp_extract_all(" + fill(NORM, x="{x}") + ", '\\d+(?:\\.\\d+)?')"
 
 
-@query(f"""SELECT d.doc_id, list_filter({fill(NUMBERS, x="coalesce(text, '')")}, lambda n: list_contains({fill(NUMBERS, x="url || ' ' || html")}, n) AND NOT regexp_matches(n, '^(19|20)\\d\\d$') AND n NOT IN ('0', '1', '2')) AS leaked
-FROM documents d JOIN pages ON page_id = doc_id""")
+@query(f"""SELECT d.doc_id, list_filter({fill(NUMBERS, x="coalesce(text, '')")}, lambda n: list_contains({fill(NUMBERS, x="coalesce(url || ' ' || html, '')")}, n) AND NOT regexp_matches(n, '^(19|20)\\d\\d$') AND n NOT IN ('0', '1', '2')) AS leaked
+FROM documents d LEFT JOIN pages ON page_id = doc_id""")
 def leak_numbers(spark, sf_dir):
-    """Numbers of a document that the page of its number has too."""
+    """Numbers of a document that the page of its number has too; none where there is no page."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "url", "html").alias("passages"))
-    return table(spark, sf_dir, "documents").join(pages, "doc_id").select("doc_id", evaluate.leaked_numbers(F.coalesce("text", F.lit("")), F.col("passages")).alias("leaked"))
+    return table(spark, sf_dir, "documents").join(pages, "doc_id", "left").select("doc_id", evaluate.leaked_numbers(F.coalesce("text", F.lit("")), F.coalesce("passages", F.lit(""))).alias("leaked"))
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = questions(spark, sf_dir)
     answer = F.when(F.col("qid") % 5 == 0, text.REFUSAL).otherwise(F.concat(F.col("question"), F.when(F.col("qid") % 3 > 0, " [1]").otherwise(" [9]")))
     rows = context.checked_answers(rows.select("qid", F.when(F.col("qid") % 4 == 0, "unanswerable").otherwise("factoid").alias("type"), "question", answer.alias("text"), F.lit(3).alias("n_passages")))
-    return evaluate.auto_checks(rows.withColumns({"must_include": F.array(F.split("question", " ")[0]), "context": F.col("question"), "no_metric": F.col("qid") % 7 == 0}))
+    return evaluate.auto_checks(rows.withColumns({"must_include": F.split("question", " "), "context": F.col("question"), "no_metric": F.col("qid") % 7 == 0}))
 
 
 @query(f"""
 WITH a AS (SELECT item_id AS qid, item_id % 4 = 0 AS un, item_id % 5 = 0 AS refused, item_id % 5 != 0 AND item_id % 3 > 0 AS cites, item_id % 5 != 0 AND item_id % 3 = 0 AS bad,
   CASE WHEN item_id % 5 = 0 THEN 'The corpus doesn''t cover this.' ELSE text END AS t, text AS question, item_id % 7 = 0 AS no_metric FROM benchmark),
 c AS (SELECT *, {fill(NORM, x='t')} AS norm, list_filter({fill(NUMBERS, x="replace(t, 'The corpus doesn''t cover this.', '')")}, lambda n: list_contains({fill(NUMBERS, x='question')}, n) AND NOT regexp_matches(n, '^(19|20)\\d\\d$') AND n NOT IN ('0', '1', '2')) AS leaked FROM a),
-m AS (SELECT *, NOT no_metric OR NOT (regexp_matches(norm, '\\d(?:\\.\\d+)?\\s*%') OR regexp_matches(norm, '\\b(mape|rmse)\\b[^.\\n]{{0,25}}\\d')) AS metric_ok, contains(norm, {fill(NORM, x="split_part(question, ' ', 1)")}) AS has FROM c)
+m AS (SELECT *, NOT no_metric OR NOT (regexp_matches(norm, '\\d(?:\\.\\d+)?\\s*%') OR regexp_matches(norm, '\\b(mape|rmse)\\b[^.\\n]{{0,25}}\\d')) AS metric_ok, list_bool_and(list_transform(string_split(question, ' '), lambda w: contains(norm, {fill(NORM, x='w')}))) AS has FROM c)
 SELECT qid, CASE WHEN un THEN 'unanswerable' ELSE 'factoid' END AS type, refused, NOT bad AS citations_valid,
   NOT bad AND metric_ok AND CASE WHEN un THEN refused AND len(leaked) = 0 ELSE has AND cites AND NOT refused END AS auto_pass FROM m""")
 def auto_checks(spark, sf_dir):
@@ -594,7 +594,9 @@ def match_expressions(spark, sf_dir):
     return questions(spark, sf_dir).select("qid", text.match_expression(F.col("question")).alias("expression"))
 
 
-@query()
+@query(f"""WITH {HITS}, t AS (SELECT qid, rank AS n, text AS t, regexp_replace(text, '\\b(et al|Fig|Eq|e\\.g|i\\.e|vs|No|pp|al)\\.(\\s)', '\\1' || chr(1) || '\\2', 'g') AS m FROM hits JOIN documents ON doc_id = id WHERE rank <= 2),
+p AS (SELECT qid, n, t, replace(list_filter(string_split(regexp_replace(m, '([.!?])\\s+([A-Z0-9(\\[$])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: trim(s) != '')[1], chr(1), '.') AS s FROM t)
+SELECT qid, string_agg(regexp_replace(coalesce(s, t), '[ \\t]*\\[\\d{{1,2}}(?:\\s*[,;]\\s*\\d{{1,2}})*\\]', '', 'g') || ' [' || n || ']', ' ' ORDER BY n) AS text, list(n::INT ORDER BY n) AS cited, false AS refused, false AS uncited FROM p GROUP BY qid""")
 def extractive_answers(spark, sf_dir):
     """The offline answer to each question from its two first hits, with its citations checked."""
     hits = _hits(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("qid", F.col("rank").alias("n"), "text")
