@@ -61,7 +61,7 @@ class _Part:
 
     def __init__(self, path: str) -> None:
         self.path, self.index, self.words, self.n = path, _Index(), {}, 0
-        self.ids, self.rows, self.extra = [], [], []  # extra: (row, word) of words in long pieces
+        self.ids, self.rows, self.extra = [], [], []  # extra: (row, word, 1) of words in long pieces, (row, word, -1) of those that only their tails' units have
 
     def add(self, row: tuple, pieces: list[bytes], before: bytes, last: bool) -> bytes:
         """A stretch of a text, after the unit `before`; returns the last unit as a key."""
@@ -74,8 +74,12 @@ class _Part:
                     ids.append(self.index[piece])
                     key = piece
                     continue
-                self.extra += [(len(self.rows), self.words.setdefault(w, len(self.words))) for w in piece.split()]
-                for unit in cut(piece):
+                cuts = cut(piece)
+                # A tail's unit is one like others, whose words are counted wherever it stands: here they are none.
+                tail = cuts[-1] if len(cuts[-1]) < UNIT else b""
+                for of, sign in ((piece, 1), (tail, -1)):
+                    self.extra += [(len(self.rows), self.words.setdefault(w, len(self.words)), sign) for w in of.split()]
+                for unit in cuts:
                     key = b"\xfe" + unit if len(unit) == UNIT else unit  # not the key of a piece as long, which is cut further
                     ids.append(self.index.setdefault(key, len(self.index)))
         if last:
@@ -90,7 +94,7 @@ class _Part:
 
     def closed(self, part: int) -> pa.RecordBatch:
         ids = np.concatenate(self.ids)
-        doc_ids, held, n_bytes, of_part, of_row, lengths, before = (np.array(x) for x in zip(*self.rows, strict=True))
+        doc_ids, no_id, held, n_bytes, of_part, of_row, lengths, before = (np.array(x) for x in zip(*self.rows, strict=True))
         train = np.repeat(~held, lengths)
         times = np.bincount(ids[train], minlength=len(self.index))
         units, of_unit, of_word = [], [], []
@@ -101,16 +105,16 @@ class _Part:
             for w in found:
                 of_unit.append(i)
                 of_word.append(self.words.setdefault(w, len(self.words)))
-        # The tail of a cut piece is a unit like others, but its words were counted with the piece.
         of_unit, of_word = np.array(of_unit, np.int64), np.array(of_word, np.int64)
-        row, word = (np.array(x, np.int64) for x in zip(*self.extra, strict=True)) if self.extra else (np.zeros(0, np.int64),) * 2
-        counts = np.bincount(of_word, times[of_unit], len(self.words)) + np.bincount(word[~held[row]], minlength=len(self.words))
+        row, word, sign = (np.array(x, np.int64) for x in zip(*self.extra, strict=True)) if self.extra else (np.zeros(0, np.int64),) * 3
+        learned_from = ~held[row]
+        counts = np.bincount(of_word, times[of_unit], len(self.words)) + np.bincount(word[learned_from], sign[learned_from], len(self.words))
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
         blob = b"".join(units)
         raw = packed(
-            ids=ids, lengths=lengths, before=before.astype(np.uint32), doc_ids=doc_ids, held=held, n_bytes=n_bytes, of_part=of_part, of_row=of_row,
+            ids=ids, lengths=lengths, before=before.astype(np.uint32), doc_ids=doc_ids, no_id=no_id, held=held, n_bytes=n_bytes, of_part=of_part, of_row=of_row,
             unit_lengths=np.array([len(u) for u in units], np.uint8), unit_bytes=np.frombuffer(blob, np.uint8), times=times,
-            of_unit=of_unit.astype(np.uint32), of_word=of_word.astype(np.uint32), words=hashes, word_times=counts.astype(np.int64), extra_row=row, extra_word=word,
+            of_unit=of_unit.astype(np.uint32), of_word=of_word.astype(np.uint32), words=hashes, word_times=counts.astype(np.int64), extra_row=row, extra_word=word, extra_sign=sign.astype(np.int8),
         )
         write_whole(self.path, [raw])
         ends = int((ids[train] == self.index[END]).sum()) if END in self.index else 0
@@ -137,9 +141,8 @@ def _cut_parts(folder: str):
                         part, number = _Part(f"{folder}/part-{own:012d}"), number + 1
                     first = uid is None
                     uid = uid or (own, len(part.rows))
-                    # A null id is marked by the least long, which no join or sum looks at.
                     doc = ids[i].as_py()
-                    before = part.add((-(2**63) if doc is None else doc, held[i], len(raw) if first else 0, *uid), pieces, before, last)
+                    before = part.add((doc or 0, doc is None, held[i], len(raw) if first else 0, *uid), pieces, before, last)
                     if part.full():
                         yield part.closed(own)
                         part = None
@@ -516,10 +519,10 @@ def _score(path_of: Callable[[int], str], unit_ranges: int, key_ranges: int, wei
             p, n = read.p, len(read.p["lengths"])
             logs = np.log10(read.words + 1.0)
             of_units = [np.bincount(p["of_unit"], x, len(p["times"]))[p["ids"]] for x in (np.ones(len(p["of_unit"])), (read.words > 0)[p["of_word"]], logs[p["of_word"]])]
-            in_long = [np.bincount(p["extra_row"], x, n) for x in (np.ones(len(p["extra_row"])), (read.words > 0)[p["extra_word"]], logs[p["extra_word"]])]
+            in_long = [np.bincount(p["extra_row"], p["extra_sign"] * x, n) for x in (1.0, (read.words > 0)[p["extra_word"]], logs[p["extra_word"]])]
             tokens, known, sums = (np.add.reduceat(a, read.begins) + b for a, b in zip(of_units, in_long, strict=True))
             score = np.add.reduceat(read.logs(weights), read.begins) / np.log(10)
-            ids = pa.array(p["doc_ids"], mask=p["doc_ids"] == -(2**63))
+            ids = pa.array(p["doc_ids"], mask=p["no_id"])
             cols = [pa.array(p["of_part"]), pa.array(p["of_row"]), ids, pa.array(p["held"]), *(pa.array(x.astype(np.int64)) for x in (tokens, known)), pa.array(sums), pa.array(p["n_bytes"]), pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _SCORED.split(", ")])
 

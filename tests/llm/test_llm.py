@@ -546,6 +546,23 @@ def test_scores(spark, docs):
     assert found[found.held_out].bits_per_byte.median() < 2.5 and (found.score < 0).all()
 
 
+def test_words_of_cut_pieces_count_once(spark):
+    """The tail of a piece that is cut is a unit, but no word; the least long is an id like others."""
+    rng = random.Random(5)
+    sizes = (1, 2, 46, 47, 48, 49, 50, 95, 96, 97, 130)
+    word = lambda: rng.choice(["Red", "x" * rng.choice(sizes), "É" * rng.randint(1, 60), "\x1c\x00", ("y" * 60 + "\t") * 2])
+    table = [(i, "".join(word() + rng.choice(" \n\t\r\x0b\x0c") for _ in range(rng.choice((0, 1, 5, 30))))) for i in range(-20, 40)]
+    table += [(None, None), (None, "red " + "x" * 50), (-(2**63), "x" * 50 + "\n"), (2**63 - 1, "z" * 5000), (7, "x x"), (7, "x x")]
+    found = context_mixing.score_texts(spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+    tokens = [(i, [*(t or "").encode().translate(LOWER).split(), None]) for i, t in table]
+    count = collections.Counter(w for i, ws in tokens if is_train(i) for w in ws)
+    n, v = count.total(), len(count)
+    want = [(str(i), not is_train(i), len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in tokens]
+    got = [(str(r["doc_id"]), *(r[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score"))) for r in rows(found)]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9)
+
+
 def plain_units(text):
     """Pieces that end at a blank or behind a line end, cut to 48 bytes; the separator belongs to the unit."""
     out = []
