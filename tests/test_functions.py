@@ -45,6 +45,13 @@ def test_heading_rules(spark):
     assert found == [True, False, False, False, True, False, True, False]
 
 
+def test_heading_numbers_of_any_length(spark):
+    numbers = ["1", "20", "20.99", "020", "0", "21", "21.1", "99.1", "100", "0021", "2147483648", "4355709550244650", "9" * 400, "0" * 30 + "7"]
+    frame = spark.createDataFrame([(f"{n} Euler method",) for n in numbers], "t string").repartition(1)
+    found = {r[0]: r[1] for r in frame.select("t", text.is_heading(F.col("t"), F.lit(10.0), F.lit(True), F.lit(1), F.lit(10.0), F.lit("text"))).collect()}
+    assert found == {f"{n} Euler method": int(n.split(".")[0]) <= 20 for n in numbers}
+
+
 def test_boilerplate(spark):
     lines = ["Downloaded from https://onlinelibrary.wiley.com", "ISSN: 2146-4553", "E-mail: a@b.c", "doi: 10.1/x", "the model is fitted", "Volume of trade rose"]
     frame = spark.createDataFrame([(x,) for x in lines], "t string")
