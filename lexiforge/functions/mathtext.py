@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MATH_CLASS = r"[\x{1D400}-\x{1D7FF}\x{0370}-\x{03FF}⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎=+\-−×÷±∓∑∏∫∂∇√∞≈≠≤≥∈∉⊂⊆∪∩∀∃→←↔⇒⇔′″‖·∘⊗⊕^_|<>*/\p{Sm}]"
 THRESHOLD = 0.25
 EQUATION_NUMBER = r"\((\d{1,3}[a-z]?)\)\s*$"
+#: EQUATION_NUMBER of a line, whose end is its last character, with no separator of another kind behind it.
+NUMBER_AT_END = r"\(\d{1,3}[a-z]?\)[ \t\n\f\r]*\z"
 
 
 def math_density(raw: Column) -> Column:
@@ -21,6 +23,11 @@ def real_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\b[A-Za-z]{3,}\b"))
 
 
+def ascii_words(text: Column) -> Column:
+    """real_words of lines: letters and digits beyond ASCII bound a word as blanks do, whatever the Java version takes for a boundary."""
+    return F.regexp_count(text, F.lit(r"(?<![A-Za-z0-9_])[A-Za-z]{3,}(?![A-Za-z0-9_])"))
+
+
 def is_equation(text: Column, raw: Column) -> Column:
     """A block that is an equation or what is left of one."""
     words = real_words(text)
@@ -36,8 +43,8 @@ def is_equation(text: Column, raw: Column) -> Column:
 
 
 def is_math_line(text: Column, raw: Column) -> Column:
-    words = real_words(text)
-    return (math_density(raw) > THRESHOLD) | (text.rlike(EQUATION_NUMBER) & (words <= 3)) | ((words <= 1) & text.rlike(r"[=+\-−^_βαγδσμλθ∑∫]|\(\d"))
+    words = ascii_words(text)
+    return (math_density(raw) > THRESHOLD) | (text.rlike(NUMBER_AT_END) & (words <= 3)) | ((words <= 1) & text.rlike(r"[=+\-−^_βαγδσμλθ∑∫]|\(\d"))
 
 
 def equation_placeholder(numbers: Column) -> Column:

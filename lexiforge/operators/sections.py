@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.functions.mathtext import EQUATION_NUMBER, equation_placeholder, is_equation, is_math_line, real_words
+from lexiforge.functions.mathtext import EQUATION_NUMBER, ascii_words, equation_placeholder, is_equation, is_math_line
 from lexiforge.functions.text import heading_level, is_heading, section_label
 
 ABSTRACT_PREFIX = r"^\s*(Abstract|ABSTRACT)\s*[.:—–-]?\s*"
@@ -63,7 +63,7 @@ def line_islands(lines: DataFrame) -> DataFrame:
     Where no line has four real words nothing tells prose apart, and all stay one run of no mathematics.
     """
     order = Window.partitionBy("doc").orderBy("line_no")
-    wordy = F.max((real_words(F.col("line")) >= 4).cast("int")).over(Window.partitionBy("doc")) == 1
+    wordy = F.max((ascii_words(F.col("line")) >= 4).cast("int")).over(Window.partitionBy("doc")) == 1
     rows = lines.withColumn("math", is_math_line(F.col("line"), F.col("line")) & wordy)
     change = F.coalesce((F.col("math") != F.lag("math").over(order)).cast("int"), F.lit(0))
     rows = rows.withColumn("change", change).withColumn("island", F.sum("change").over(order))
